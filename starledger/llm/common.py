@@ -89,11 +89,11 @@ def chunks(values: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def word_table(separators: bytes, lower: bool = True) -> bytes:
     """A 256-byte table for ``bytes.translate``: separators become spaces, A-Z lower case."""
     out = bytearray(range(256))
-    if lower:
-        for c in range(65, 91):
-            out[c] = c + 32
     for c in separators:
         out[c] = 32
+    if lower:  # lower-casing comes first, so A-Z are no separators
+        for c in range(65, 91):
+            out[c] = c + 32
     return bytes(out)
 
 

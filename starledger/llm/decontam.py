@@ -207,3 +207,17 @@ def _without(docs: DataFrame, at: int, block: list[tuple[str, list[int | None]]]
         return b.filter(pa.array(keep, pa.bool_()))
 
     return per_batch(docs, kernel, docs.schema)
+
+
+ORACLE = r"""
+with b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') as win
+        from b, lateral (select unnest(range(0, greatest(len(w) - 9, 1))) as i) where len(w) > 0),
+d as (select doc_id, row_number() over () as row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+g as (select row, i, n, array_to_string(w[i + 1 : i + n], ' ') as win from d, (select distinct n from win) sizes, lateral (select unnest(range(0, len(w) - n + 1)) as i) where len(w) >= n),
+m as (select row, i, g.n, item_id from g join win on g.win = win.win and g.n = win.n),
+h as (select row, count(distinct i + k) as n_hit from (select distinct row, i, n from m) x, range(10) t(k) where k < n group by row),
+x as (select row, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names from (select distinct row, item_id from m) group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (row) left join x using (row)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, simhash, token_records
+from . import credentials, decontam, langid, linededup, mixing, repetition, simhash, sitetemplate, token_records, toxicity
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.written(table(spark, sf_dir, "documents"), spark)
 
@@ -24,9 +32,23 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetemplate.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_records, op5_language_id, op6_source_mixing, op10_simhash)}
-ORACLES = {"op6_source_mixing": mixing.ORACLE}
+OPERATORS = (op1_decontamination, op2_toxicity, op3_line_dedup, op4_token_records, op5_language_id, op6_source_mixing, op7_site_templates, op8_secrets, op9_repetition, op10_simhash)
+QUERIES = {f.__name__: f for f in OPERATORS}
+#: Trained models, token ids, 64-bit string hashes and html have no SQL form; tests hold them against brute force.
+ORACLES = {"op1_decontamination": decontam.ORACLE, "op3_line_dedup": linededup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op9_repetition": repetition.ORACLE}
