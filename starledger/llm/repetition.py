@@ -154,10 +154,11 @@ def _share(n: int) -> str:
 
     A longer n-gram can only repeat where its first words do.
     """
-    source = "w, lateral (select unnest(range(0, len(ws) - 4)) as i) where len(ws) >= 5" if n == 5 else f"g5 join w using (doc_id) where g5.n > 1 and i + {n} <= len(ws)"
+    key = f"doc_id, hash({', '.join(f'w{k}' for k in range(n))})"
+    source = "wd where w4 is not null" if n == 5 else f"wd join (select doc_id, i from g5 where n > 1) x using (doc_id, i) where w{n - 1} is not null"
     return f"""
-g{n} as (select doc_id, i, row_number() over (partition by doc_id, hash(ws[i + 1 : i + {n}]) order by i) as rn, count(*) over (partition by doc_id, hash(ws[i + 1 : i + {n}])) as n from {source}),
-s{n} as (select c.doc_id, sum(length(ws[p + 1])) as chars from (select distinct doc_id, i + k as p from g{n}, range({n}) t(k) where rn > 1) c join w on w.doc_id = c.doc_id group by c.doc_id)"""
+g{n} as (select doc_id, i, row_number() over (partition by {key} order by i) as rn, count(*) over (partition by {key}) as n from {source}),
+s{n} as (select c.doc_id, sum(length(w0)) as chars from (select distinct doc_id, i + k as i from g{n}, range({n}) t(k) where rn > 1) c join wd using (doc_id, i) group by c.doc_id)"""
 
 
 ORACLE = (
@@ -165,6 +166,9 @@ ORACLE = (
 with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 ln as (select doc_id, line, row_number() over (partition by doc_id, line order by i) as rn from
        (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from w) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+wd as (select doc_id, i, w0, """
+    + ", ".join(f"lead(w0, {k}) over (partition by doc_id order by i) as w{k}" for k in range(1, 10))
+    + r""" from (select doc_id, unnest(ws) as w0, generate_subscripts(ws, 1) as i from w) x),
 dl as (select doc_id, count(*) as n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) as chars from ln where rn > 1 group by doc_id),"""
     + ",".join(map(_share, LIMITS))
     + r""",
