@@ -26,7 +26,8 @@ from .common import clash_free, per_batch, scratch, stored, texts, word_table
 WINDOW_WORDS = 10
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 TABLE = word_table(SEPARATORS)
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that is not lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Characters of windows that one automaton holds; about 100 bytes of memory for each.
 BLOCK_CHARS = 2_000_000
 
