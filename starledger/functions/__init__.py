@@ -1 +1 @@
-
+"""Column functions: sensors and sky."""

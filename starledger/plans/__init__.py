@@ -1,4 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregates, arrays, feeds, filters, joins, live, ordering, physics, tables_dml
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates", "arrays", "feeds", "filters", "joins", "live", "ordering", "physics", "tables_dml"]
