@@ -187,7 +187,8 @@ for _name, _f in _FILTERS.items():
 @query()
 def debayer(t):
     """N23."""
-    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [(y, x, *map(float, kernels.debayer(a)[y, x])) for y in range(SIZE) for x in range(SIZE)], "frame bigint, y int, x int, r double, g double, b double")
+    rows = lambda rgb: [(y, x, *map(float, rgb[y, x])) for y in range(SIZE) for x in range(SIZE)]
+    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: rows(kernels.debayer(a)), "frame bigint, y int, x int, r double, g double, b double")
 
 
 @query()

@@ -103,14 +103,14 @@ def existing_nonempty_files(t):
     return t.frames.join(listing, "id", "left_semi").select("id", "filename")
 
 
-@query("select id, strftime(create_date, '%Y%m%d') as day, strftime(create_date, '%H:%M:%S') as clock, strftime(create_date, '%B') as month, printf('%.2f s, gain %d', exposure, gain) as label from frames")
+@query("select id, strftime(create_date, '%Y%m%d') as day, strftime(create_date, '%H:%M:%S') as clock, strftime(create_date, '%B') as month, printf('gain %d, %03d stars', gain, stars) as label from frames")
 def label_templates(t):
     """P21, F2, F6."""
     d = lambda f: F.date_format("create_date", f)
-    return t.frames.select("id", d("yyyyMMdd").alias("day"), d("HH:mm:ss").alias("clock"), d("MMMM").alias("month"), F.format_string("%.2f s, gain %d", "exposure", "gain").alias("label"))
+    return t.frames.select("id", d("yyyyMMdd").alias("day"), d("HH:mm:ss").alias("clock"), d("MMMM").alias("month"), F.format_string("gain %d, %03d stars", "gain", "stars").alias("label"))
 
 
-@query("select id from (select id, row_number() over (partition by camera_id order by create_date, id) as at from frames) where at % 5 = 0")
+@query("select id from (select id, row_number() over (partition by camera_id order by create_date, id) as n from frames) where n % 5 = 0")
 def every_fifth_frame(t):
     """P22, A25."""
     return op.every_nth(t.frames, 5, [F.col("create_date"), F.col("id")], ["camera_id"]).select("id")

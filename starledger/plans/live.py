@@ -1 +1,90 @@
-"""Filled below."""
+"""Streams run to the end of their input (Q1-Q12)."""
+
+from pyspark.sql import functions as F
+
+from starledger.operators import rollups
+from starledger.streaming import live as op
+
+from .registry import query
+
+
+def _frames(t):
+    return op.frames(t.spark, t.sf_dir)
+
+
+def _plain(df, *columns):
+    """Timestamps as the stored tables have them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("select camera_id, day_date, night, count(*) as frames, max(stars) as max_stars, round(avg(sqm), 6) as avg_sqm from frames where not exclude group by all")
+def stream_night_rollup(t):
+    """Q1: each batch's nights."""
+    return op.in_batches(_frames(t), lambda df: rollups.night_rollup(df).select("camera_id", "day_date", "night", "frames", "max_stars", F.round("avg_sqm", 6).alias("avg_sqm")))
+
+
+_END = "(select date_trunc('millisecond', max(create_date)) - interval 10 minutes from frames)"
+
+
+@query(f"select camera_id, start, n, round(adu, 6) as adu, round(sqm, 6) as sqm from (select camera_id, time_bucket(interval '15 minutes', create_date) as start, count(*) as n, avg(adu) as adu, avg(sqm) as sqm from frames group by all) where start + interval 15 minutes <= {_END}")
+def stream_15min(t):
+    """Q2: the windows that the watermark has closed."""
+    return _plain(op.drained(op.tumbling(_frames(t), 15, "10 minutes", ["adu", "sqm"])), "start").select("camera_id", "start", "n", F.round("adu", 6).alias("adu"), F.round("sqm", 6).alias("sqm"))
+
+
+@query(f"select camera_id, start, count(*) as n, round(avg(stars), 6) as stars from (select camera_id, stars, time_bucket(interval '10 minutes', create_date) - interval 10 minutes * k as start from frames, range(3) s(k)) where start + interval 30 minutes <= {_END} group by all")
+def stream_sliding(t):
+    """Q3: half an hour, every ten minutes."""
+    return _plain(op.drained(op.sliding(_frames(t), 30, 10, "10 minutes", ["stars"])), "start").select("camera_id", "start", "n", F.round("stars", 6).alias("stars"))
+
+
+@query("select id from frames where create_date > timestamp '2024-01-20 00:00:00' - interval 4 hours and create_date <= timestamp '2024-01-20 00:00:00'")
+def stream_history(t):
+    """Q4: the history that a chart shows."""
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return op.drained(_frames(t).where((F.col("create_date") > now - F.make_dt_interval(hours=F.lit(4))) & (F.col("create_date") <= now)).select("id"))
+
+
+@query(f"""with g as (select camera_id, create_date, case when create_date - lag(create_date) over w <= interval 45 minutes then 0 else 1 end as opens from frames window w as (partition by camera_id order by create_date)),
+s as (select *, sum(opens) over (partition by camera_id order by create_date) as s from g)
+select camera_id, start, "end", n from (select camera_id, s, min(create_date) as start, max(create_date) + interval 45 minutes as "end", count(*) as n from s group by all) where "end" <= {_END}""")
+def stream_sessions(t):
+    """Q5."""
+    return _plain(op.drained(op.sessions(_frames(t), "45 minutes", "10 minutes")), "start", "end")
+
+
+@query("select camera_id, list(id order by create_date, id) as ids from (select * from frames qualify row_number() over (partition by camera_id order by create_date desc, id desc) <= 100) group by camera_id")
+def stream_buffer(t):
+    """Q6: the last hundred columns, as one batch leaves them."""
+    return op.drained(op.last_columns(_frames(t), 100))
+
+
+@query()
+def stream_exposures(t):
+    """Q7: tests hold it against the batch form."""
+    return op.drained(op.exposures(_frames(t)))
+
+
+@query()
+def stream_notifications(t):
+    """Q8: tests hold it against the batch form."""
+    return op.drained(op.notifications(_frames(t), 43200))
+
+
+@query("select id from frames where stars <= 60")
+def stream_fresh(t):
+    """Q9: the sender's clock is ``stars`` seconds off."""
+    late = _frames(t).withColumn("received", F.col("create_date") + F.make_dt_interval(secs=F.col("stars").cast("decimal(18,6)")))
+    return op.drained(op.fresh(late, 60).select("id"))
+
+
+@query("select id from frames where create_date > timestamp '2024-01-29 00:00:00'")
+def clock_skew(t):
+    """Q10."""
+    return op.skewed_clocks(t.frames, F.lit("2024-01-29").cast("timestamp_ntz")).select("id")
+
+
+@query("select count(*) as n from (select distinct camera_id, stars, day_date from frames)")
+def stream_dedup(t):
+    """Q11, Q12: a command that is repeated within the delay is taken once."""
+    return op.drained(op.without_repeats(_frames(t), ["camera_id", "stars", "day_date"], "40 days").select("id")).agg(F.count("*").alias("n"))

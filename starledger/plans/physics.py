@@ -7,8 +7,8 @@ from starledger.functions import sensors, sky
 from .registry import query
 
 
-def _r(**columns):
-    return [F.round(c, 6).alias(n) for n, c in columns.items()]
+def _r(digits=6, **columns):
+    return [F.round(c, digits).alias(n) for n, c in columns.items()]
 
 
 _SQL_CONVERSIONS = {
@@ -18,10 +18,10 @@ _SQL_CONVERSIONS = {
 }
 
 
-@query("select id, " + ", ".join(f"round({x}, 6) as {n}" for n, x in _SQL_CONVERSIONS.items()) + " from (select id, adu as v from frames)")
+@query("select id, " + ", ".join(f"round({x}, 8) as {n}" for n, x in _SQL_CONVERSIONS.items()) + " from (select id, adu as v from frames)")
 def unit_conversions(t):
     """inches of mercury become hectopascals by the physical factor."""
-    return t.frames.select("id", *_r(**{n: f(F.col("adu")) for n, f in sensors.CONVERSIONS.items()}))
+    return t.frames.select("id", *_r(8, **{n: f(F.col("adu")) for n, f in sensors.CONVERSIONS.items()}))
 
 
 @query("""with s as (select id, sqm as c, least(100.0::double, stars::double) as h from frames),
@@ -35,19 +35,19 @@ def dew_frost_heat(t):
     return t.frames.select("id", *_r(dew=dew, frost=sensors.frost_point(c, dew), heat=sensors.heat_index(c * 9.0 / 5.0 + 32, h)))
 
 
-@query("""select id, round(case when adu - 100 > 0 then -2.5 * log10(greatest(adu - 100, 1e-9)) else 0 end, 6) as mag, round(((60.0 - exposure) / 10 + 1) * (adu * ((1000.0 - gain) / 10 + 1)), 6) as weighted,
-round(least(60.0, greatest(0.00001, case when adu > 0 then exposure - (exposure - exposure * (75.0 / adu)) * 0.5 else exposure end)), 6) as next_exposure, round(case when gain > 0 then 20 * log10(greatest(gain, 1) / 100.0) end, 6) as decibel,
+@query("""select id, round(case when adu - 100 > 0 then -2.5 * log10(greatest(adu - 100, 1e-9)) else 0 end, 8) as mag, round(((60.0 - exposure) / 10 + 1) * (adu * ((1000.0 - gain) / 10 + 1)), 8) as weighted,
+round(least(60.0, greatest(0.00001, case when adu > 0 then exposure - (exposure - exposure * (75.0 / adu)) * 0.5 else exposure end)), 8) as next_exposure, round(case when gain > 0 then 20 * log10(greatest(gain, 1) / 100.0) end, 8) as decibel,
 cast(floor(floor(adu * 100) / 256.0) as int) as bits8, case when delta <= 1 then 'high' when delta <= 3 then 'medium' when delta <= 6 then 'low' else 'off' end as heater from (select *, sqm - 15 as delta from frames)""")
 def exposure_and_brightness(t):
     """F15, F16, F22, F23, F27, F29."""
     c = F.col
     return t.frames.select(
-        "id", *_r(mag=sensors.magnitude(c("adu") - 100), weighted=sensors.weighted_sqm(c("adu"), c("exposure"), c("gain"), 60.0, 1000.0), next_exposure=sensors.next_exposure(c("exposure"), c("adu"), 75.0, 0.5, 0.00001, 60.0), decibel=sensors.to_decibel(c("gain"), 100.0)),
+        "id", *_r(8, mag=sensors.magnitude(c("adu") - 100), weighted=sensors.weighted_sqm(c("adu"), c("exposure"), c("gain"), 60.0, 1000.0), next_exposure=sensors.next_exposure(c("exposure"), c("adu"), 75.0, 0.5, 0.00001, 60.0), decibel=sensors.to_decibel(c("gain"), 100.0)),
         sensors.eight_bits(F.floor(c("adu") * 100), 16).alias("bits8"), sensors.tier(c("sqm") - 15, 6.0, 3.0, 1.0).alias("heater"),
     )
 
 
-@query("select c.id, i::int as step, round(i * 37.5 + 100.0, 3) as gain from cameras c, range(9) t(i)")
+@query("select c.id, i::int as step, round(i * 37.5::double + 100.0, 3) as gain from cameras c, range(9) t(i)")
 def gain_ladder(t):
     """F24."""
     return t.cameras.select("id", F.posexplode(sensors.gain_ladder(100.0, 400.0, 8)).alias("step", "gain"))
