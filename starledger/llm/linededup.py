@@ -52,7 +52,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     Other columns are untouched and no row is dropped: a text whose lines all go is empty. A
     null text stays null with no lines; a text of fewer than three lines has no window and is
     kept whole. Rows that repeat doc_id and text are one occurrence and all keep the same
-    text; a null doc_id counts as the least.
+    text; a null doc_id counts as the least. Columns of ``docs`` named n_lines or n_removed
+    are replaced.
     """
     doc, mark = F.col("doc_id"), F.col("mark")
     later = later_occurrences(windows(clash_free(docs, "doc_id", "text")))
@@ -62,15 +63,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("since"), F.struct(F.col("since").alias("from"), (F.col("pos") - F.col("since")).alias("n"))))).alias("kept"),
         (F.max("pos") + LINES).alias("tail"),
     )
-    cuts = cuts.select(doc.alias("cut_doc"), mark.alias("cut_mark"), "kept", "tail")
-    joined = docs.withColumn("cut_by", F.xxhash64("text")).join(cuts, doc.eqNullSafe(F.col("cut_doc")) & (F.col("cut_by") == F.col("cut_mark")), "left")
+    cuts = cuts.select(doc.alias("__cut_doc"), mark.alias("__cut_mark"), F.col("kept").alias("__kept"), F.col("tail").alias("__tail"))
+    joined = docs.withColumn("__cut_by", F.xxhash64("text")).join(cuts, doc.eqNullSafe(F.col("__cut_doc")) & (F.col("__cut_by") == F.col("__cut_mark")), "left")
     lines = F.split("text", "\n")
-    joined = joined.withColumn("cut_lines", F.when(F.col("tail").isNotNull(), F.concat(F.flatten(F.transform("kept", lambda s: F.slice(lines, s["from"] + 1, s["n"]))), F.slice(lines, F.col("tail") + 1, F.greatest(F.size(lines) - F.col("tail"), F.lit(0))))))
+    joined = joined.withColumn("__cut_lines", F.when(F.col("__tail").isNotNull(), F.concat(F.flatten(F.transform("__kept", lambda s: F.slice(lines, s["from"] + 1, s["n"]))), F.slice(lines, F.col("__tail") + 1, F.greatest(F.size(lines) - F.col("__tail"), F.lit(0))))))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    n_removed = F.coalesce(n_lines - F.size("cut_lines"), F.lit(0)).cast("bigint")
-    text = F.when(F.col("tail").isNull(), F.col("text")).otherwise(F.array_join("cut_lines", "\n"))
-    out = joined.withColumn("n_lines", n_lines).withColumn("n_removed", n_removed).withColumn("text", text)
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    n_removed = F.coalesce(n_lines - F.size("__cut_lines"), F.lit(0)).cast("bigint")
+    text = F.when(F.col("__tail").isNull(), F.col("text")).otherwise(F.array_join("__cut_lines", "\n"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -67,22 +67,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
 
     ``copy`` counts from 1; ``shuffle_key`` is the order of the global shuffle. Rows keep all
     their columns. Null texts are documents like any other; rows of one doc_id share their
-    draw and null ids draw as the empty text; an empty table gives an empty one.
+    draw and null ids draw as the empty text; an empty table gives an empty one. Columns of
+    ``docs`` named copy or shuffle_key are replaced.
     """
     table = _tables(rates(docs, weights, total))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    table = table.withColumnRenamed("source", "rated_source")
+    # names of its own, so that columns of the documents never clash
+    table = table.select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # count of one draw: terms of the distribution that lie at or below the uniform number
-    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(str(seed), doc, j.cast("string")))
-    count = F.aggregate("numbers", F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda p: p <= u)))
-    columns = docs.columns
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("rated_source"))).withColumn("numbers", numbers).withColumn("copies", count).where("copies > 0")
-    spread = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda j: uniform(str(seed), doc, j.cast("string")))
+    count = F.aggregate("__numbers", F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda p: p <= u)))
+    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    joined = docs.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__numbers", numbers).withColumn("__copies", count).where("__copies > 0")
+    spread = joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    spread = spread.withColumn("shuffle_key", key).select(*columns, "copy", "shuffle_key")
-    return spread.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return spread.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def report(docs: DataFrame) -> DataFrame:
