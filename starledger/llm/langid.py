@@ -6,9 +6,9 @@ languages. Embeddings and softmax are trained by stochastic gradient descent in
 bounded sample of labelled rows. Once trained, embedding times softmax is one table of
 logits a bucket, so a text's score is a mean of table rows.
 
-The probabilities are calibrated on rows the training has not seen: a temperature for each
-quarter of lengths is not needed, one temperature serves; the least probability at which a
-text is still accepted is the low quantile of the rightly told calibration rows.
+The probabilities are calibrated by one temperature on rows the training has not seen; the
+least probability at which a text is still accepted is the low quantile of the rightly told
+calibration rows.
 """
 
 from __future__ import annotations
@@ -61,7 +61,10 @@ def subwords(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = h[:m] * np.uint32(0x01000193) ^ wide[n - 1 : n - 1 + m]
         if n in ORDERS:
             mixed = (h + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            ok = np.flatnonzero(~inner & (at[:m] + n <= owner_end[:m]) & ~(blank[:m] & blank[n - 1 : n - 1 + m]))
+            ok = ~inner & (at[:m] + n <= owner_end[:m])
+            if n == 2:  # a text without words is two blanks
+                ok &= ~(blank[:m] & blank[1 : 1 + m])
+            ok = np.flatnonzero(ok)
             found.append((mixed[ok] >> np.uint32(32 - BITS)).astype(np.int32))
             owners.append(ok)
     if not found:
