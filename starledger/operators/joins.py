@@ -38,12 +38,18 @@ def best_match(requests: DataFrame, library: DataFrame, equal: list[str], temp_r
 def asof_neighbours(rows: DataFrame, wanted: Column, by: list[str], time: str, ident: str, most_seconds: int) -> DataFrame:
     """For each wanted row the last other row before and the first after it, at other times.
 
-    One sort by key and time serves both directions. Rows of equal time never pair.
+    Rows of equal time never pair. Partners lie within ``most_seconds``, so time is cut into
+    slots of that length and other rows stand in their own slot and both beside it: a slot of
+    a key is all that a task must sort, however many rows the key has.
     """
-    past = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy(*by).orderBy(time).rangeBetween(1, Window.unboundedFollowing)
-    other = F.when(~wanted, F.struct(F.col(time).alias("t"), F.col(ident).alias("i")))
-    found = rows.select(*by, time, ident, wanted.alias("wanted"), F.max(other).over(past).alias("b"), F.min(other).over(future).alias("a"))
+    own = F.floor(F.col(time) / most_seconds)
+    slots = F.when(wanted, F.array(own)).otherwise(F.array(own - 1, own, own + 1))
+    spread = rows.withColumns({"wanted": wanted, "slot": F.explode(slots)})
+    other = F.when(~F.col("wanted"), F.struct(F.col(time).alias("t"), F.col(ident).alias("i")))
+    # both frames run forward from the partition's start, the second in descending time
+    past = Window.partitionBy(*by, "slot").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*by, "slot").orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, -1)
+    found = spread.select(*by, "slot", time, ident, "wanted", F.max(other).over(past).alias("b"), F.min(other).over(future).alias("a"))
     inside = lambda s: F.when(F.abs(F.col(f"{s}.t") - F.col(time)) <= most_seconds, F.col(f"{s}.i"))
     return found.where("wanted").select(*by, ident, inside("b").alias("before"), inside("a").alias("after"))
 

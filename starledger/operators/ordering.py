@@ -12,11 +12,28 @@ from pyspark.sql import functions as F
 HISTORY, STACK_LEAST, STACK_SIGMAS = 6, 15, 3.0
 
 
+ORDER = ("create_date", "id")
+
+
+def with_previous(df: DataFrame, columns: list[str], by: str = "camera_id", order: tuple[str, ...] = ORDER) -> DataFrame:
+    """``df`` with ``previous``: the columns of the row before, in order, of the same key.
+
+    A key may hold a large share of all rows, so it is cut by day: the row before is looked up
+    within the day, and for a day's first row among the last rows of all days, a small table.
+    """
+    kept = F.struct(*columns)
+    days = df.withColumn("__day", F.to_date(order[0]))
+    last = days.groupBy(by, "__day").agg(F.max_by(kept, F.struct(*order)).alias("__last"))
+    before = last.select(by, "__day", F.lag("__last").over(Window.partitionBy(by).orderBy("__day")).alias("__before"))
+    inner = Window.partitionBy(by, "__day").orderBy(*order)
+    return days.join(before, [by, "__day"]).withColumn("previous", F.coalesce(F.lag(kept).over(inner), "__before")).drop("__day", "__before")
+
+
 def lags(frames: DataFrame) -> DataFrame:
     """Seconds since the previous frame of the camera, and how much the frame took beyond its exposure."""
-    w = Window.partitionBy("camera_id").orderBy("create_date", "id")
-    t = F.unix_micros(F.col("create_date").cast("timestamp"))
-    return frames.select("id", "camera_id", "create_date", ((t - F.lag(t).over(w)) / 1e6).alias("period"), (F.col("elapsed") - F.col("exposure")).alias("delta"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = with_previous(frames.select("id", "camera_id", "create_date", "elapsed", "exposure"), ["create_date"])
+    return rows.select("id", "camera_id", "create_date", ((micros("create_date") - micros("previous.create_date")) / 1e6).alias("period"), (F.col("elapsed") - F.col("exposure")).alias("delta"))
 
 
 def moving_average(frames: DataFrame, value: str, reset: Column, size: int = HISTORY) -> DataFrame:
@@ -98,10 +115,13 @@ class Gate:
 
 
 def transitions(frames: DataFrame, flag: str) -> DataFrame:
-    """Rows at which a flag changes, with the number of the session that begins."""
+    """Rows at which a flag changes, with the number of the session that begins.
+
+    Only the changes are numbered, which are few.
+    """
+    before = with_previous(frames, [flag])
+    changes = before.where(F.col("previous").isNull() | (F.col(f"previous.{flag}") != F.col(flag)))
     w = Window.partitionBy("camera_id").orderBy("create_date", "id")
-    before = frames.withColumn("before", F.lag(flag).over(w))
-    changes = before.where(F.col("before").isNull() | (F.col("before") != F.col(flag)))
     return changes.withColumn("session", F.row_number().over(w)).select("id", "camera_id", "create_date", flag, "session")
 
 
@@ -112,9 +132,18 @@ def next_transition(changes: DataFrame) -> DataFrame:
 
 
 def running(frames: DataFrame) -> DataFrame:
-    """The greatest value so far, and the frame of the least value so far."""
-    w = Window.partitionBy("camera_id").orderBy("create_date", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.select("id", "camera_id", F.max("adu").over(w).alias("max_so_far"), F.min_by("id", F.struct("adu", "id")).over(w).alias("darkest_so_far"))
+    """The greatest value so far, and the frame of the least value so far.
+
+    As in ``with_previous``: the days before a row come from one row a day.
+    """
+    days = frames.select("id", "camera_id", "create_date", "adu", F.to_date("create_date").alias("day"))
+    dark = F.struct("adu", "id")
+    ends = days.groupBy("camera_id", "day").agg(F.max("adu").alias("top"), F.min(dark).alias("dark"))
+    past = Window.partitionBy("camera_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("camera_id", "day", F.max("top").over(past).alias("top"), F.min("dark").over(past).alias("dark"))
+    w = Window.partitionBy("camera_id", "day").orderBy("create_date", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = days.join(before, ["camera_id", "day"]).select("id", "camera_id", "top", "dark", F.max("adu").over(w).alias("m"), F.min(dark).over(w).alias("d"))
+    return rows.select("id", "camera_id", F.greatest("m", "top").alias("max_so_far"), F.least("d", "dark")["id"].alias("darkest_so_far"))
 
 
 def age(df: DataFrame, time: str, as_of: Column, limit: int) -> DataFrame:

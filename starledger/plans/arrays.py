@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starledger.operators import frames as op
-from starledger.operators import kernels
+from starledger.operators import kernels, strategies
 
 from .registry import query
 
@@ -220,3 +220,64 @@ def protection_masks(t):
 def registration(t):
     """The offset of each frame against the one rolled by (1, 2)."""
     return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [kernels.shift_between(a, np.roll(a, (1, 2), axis=(0, 1)))], "frame bigint, dy int, dx int")
+
+
+@query()
+def lens_fit(t):
+    """Stars of the catalogue projected with known parameters are found again; tests check them."""
+    from starledger.operators import lens
+
+    part = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_000)) / 1e6
+    stars = t.spark.range(120).select(F.col("id").alias("star"), (0.2 + 1.3 * part(1)).alias("alt"), (part(2) * 6.283185307).alias("az"))
+    r, a = 850.0 * F.sin((1.5707963267948966 - F.col("alt")) / 2) * 1.4142135623730951, F.col("az") - F.radians(F.lit(37.5))
+    seen = stars.where("star % 10 > 0").select(F.col("star").alias("rid"), (960.0 + 25 - r * F.sin(a)).alias("rx"), (960.0 + 12 - r * F.cos(a)).alias("ry"))
+    return t.spark.createDataFrame([lens.solve(stars, seen, 1920, 1920, 1650.0)], "success boolean, azimuth double, diameter double, offset_x double, offset_y double, rms double, matched int")
+
+
+_SAMPLES = "s as (select stack as pair, (['r', 'g1', 'g2', 'b'])[(y % 2) * 2 + x % 2 + 1] as parity, (v * 200 + frame % 7)::int as bad, v * 100 as reference, v % 5 > 0 as stable from px)"
+
+
+@query(f"""with {PX}, {_SAMPLES}, g as (select *, bad / reference as ratio from s where stable and reference between 256 and 60000 and bad between 256 and 62000), q as (select pair, parity, quantile_cont(ratio, 0.1) as lo, quantile_cont(ratio, 0.9) as hi from g group by all having count(*) >= 4),
+p as (select parity, quantile_cont(ratio, 0.5) filter (ratio between lo and hi) as gain from g join q using (pair, parity) group by pair, parity)
+select parity, round(quantile_cont(gain, 0.5), 8) as gain, round(mad(gain), 8) as mad, count(*) as pairs from p group by parity""")
+def repair_gains(t):
+    """N37."""
+    from starledger.operators import repair
+
+    parity = F.element_at(F.array(*[F.lit(p) for p in repair.PARITIES]), F.col("y") % 2 * 2 + F.col("x") % 2 + 1)
+    samples = _px(t).select(F.col("stack").alias("pair"), parity.alias("parity"), (F.col("v") * 200 + F.col("frame") % 7).cast("int").alias("bad"), (F.col("v") * 100).alias("reference"), (F.col("v") % 5 > 0).alias("stable"))
+    return repair.gains(samples).select("parity", F.round("gain", 8).alias("gain"), F.round("mad", 8).alias("mad"), "pairs")
+
+
+@query()
+def frame_repair(t):
+    """Tests check the cases."""
+    from starledger.operators import repair
+
+    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: _cells(repair.repaired(a * 300, (2.0, 1.9, 1.9, 1.8), 60_000)), "frame bigint, y int, x int, v double")
+
+
+for _name, _sql in (("average", "floor(avg(v))::int"), ("maximum", "max(v)")):
+    query(f"with {PX} select stack, y, x, {_sql} as v from px group by all", name=f"strategy_stack_{_name}")(lambda t, n=_name: strategies.named(strategies.STACKS, n)(_px(t)))
+for _name in ("deviation", "midtones", "midtones_twice", "adaptive"):
+    query(name=f"strategy_stretch_{_name}")(lambda t, n=_name: strategies.named(strategies.STRETCHES, n)(_px(t)).select("frame", "y", "x", "v"))
+
+
+@query("""select id, round(least(60.0, greatest(0.00001, case when adu > 0 then exposure - (exposure - exposure * (75.0 / adu)) * 0.5 else exposure end)), 8) as exposure, round(least(1000.0::double, greatest(0.0::double, case when adu > 0 then gain + 20 * log10(75.0 / adu) else gain end)), 8) as gain from frames""")
+def strategy_exposures(t):
+    """E2, E6."""
+    e, g, adu = F.col("exposure"), F.col("gain").cast("double"), F.col("adu")
+    first, second = strategies.named(strategies.EXPOSURES, "exposure_first")(e, g, adu), strategies.named(strategies.EXPOSURES, "gain_first")(e, g, adu)
+    return t.frames.select("id", F.round(first[0], 8).alias("exposure"), F.round(second[1], 8).alias("gain"))
+
+
+@query("select id as key, '{\"camera\": ' || camera_id || ', \"stars\": ' || (stars + 1) || '}' as document, case when stars % 10 = 0 then 'ValueError' end as failure from frames where stars % 10 > 0 union all select id, '{\"camera\": ' || camera_id || ', \"stars\": ' || stars || '}', 'ValueError' from frames where stars % 10 = 0")
+def presave_hooks(t):
+    """A failing hook leaves its document as it was."""
+
+    def hook(doc):
+        if doc["stars"] % 10 == 0:
+            raise ValueError
+        return {"stars": doc["stars"] + 1}
+
+    return strategies.hooked(t.frames, "id", F.to_json(F.struct(F.col("camera_id").alias("camera"), "stars")), hook)

@@ -183,3 +183,38 @@ def test_all_or_defaults_with_null(spark, late):
 
     r = df.select(*all_or_defaults({"kpindex": 0.0, "smoke_rating": -1})).first()
     assert tuple(r) == ((0.0, -1) if late else (2.0, 3))
+
+
+def test_lens_fit_finds_the_parameters(spark, sf_dir):
+    r = QUERIES["lens_fit"](spark, sf_dir).first()
+    assert r.success and abs(r.azimuth - 37.5) < 0.1 and abs(r.diameter - 1700) < 2 and abs(r.offset_x - 25) < 1 and abs(r.offset_y + 12) < 1
+
+
+def test_noise_is_no_fit(spark):
+    from starledger.operators import lens
+
+    rng = np.random.default_rng(9)
+    stars = spark.createDataFrame([(i, float(a), float(z)) for i, (a, z) in enumerate(zip(rng.uniform(0.2, 1.5, 80), rng.uniform(0, 6.28, 80), strict=True))], "star bigint, alt double, az double")
+    noise = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1920, (60, 2)))], "rid bigint, rx double, ry double")
+    assert not lens.solve(stars, noise, 1920, 1920, 1700.0)["success"]
+    assert not lens.solve(stars, noise.where("rid < 0"), 1920, 1920, 1700.0)["success"]
+
+
+def test_repair():
+    from starledger.operators.repair import repaired
+
+    a = np.full((4, 4), 20_000.0)
+    assert (repaired(a, (2.0, 2.0, 2.0, 2.0), 60_000) == 10_000).all()
+    a[0, 1] = 61_000  # a clipped first green below its neighbours stays, above it is lifted
+    a[1::2, 0::2] = 50_000
+    assert repaired(a, (2.0, 4.0, 2.0, 2.0), 60_000)[0, 1] == 25_000
+    a[:] = 65_535
+    out = repaired(a, (1.0, 2.0, 2.0, 1.0), 60_000)
+    assert (out == 65_535).all()
+
+
+def test_unknown_strategy_is_told():
+    from starledger.operators import strategies
+
+    with pytest.raises(ValueError, match="average"):
+        strategies.named(strategies.STACKS, "none")
