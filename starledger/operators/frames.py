@@ -173,9 +173,8 @@ def bit_depth(px: DataFrame) -> DataFrame:
 def panorama(px: DataFrame, size: int, columns: int, rows: int) -> DataFrame:
     """The round frame unrolled: a column is a direction, a row a distance from the edge in."""
     c = (size - 1) / 2
-    turn = px.sparkSession.range(columns).select(F.col("id").cast("int").alias("col"))
-    depth = px.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"))
-    r, a = c - F.col("row") * (c / rows), F.col("col") * (2 * math.pi / columns)
     # the map is columns by rows, the same for every frame and no larger than one
-    where = turn.crossJoin(F.broadcast(depth)).select("col", "row", F.floor(c + r * F.sin(a) + 0.5).cast("int").alias("x"), F.floor(c - r * F.cos(a) + 0.5).cast("int").alias("y"))
+    turns = px.sparkSession.range(columns).select(F.col("id").cast("int").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
+    r, a = c - F.col("row") * (c / rows), F.col("col") * (2 * math.pi / columns)
+    where = turns.select("col", "row", F.floor(c + r * F.sin(a) + 0.5).cast("int").alias("x"), F.floor(c - r * F.cos(a) + 0.5).cast("int").alias("y"))
     return px.join(F.broadcast(where), ["y", "x"]).select("frame", "row", "col", "v")

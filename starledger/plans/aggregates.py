@@ -207,4 +207,5 @@ def exclusion_reasons(t):
 @query("select (select count(*) from cameras where not hidden) as cameras, (select count(distinct camera_id) from frames) as seen")
 def camera_counts(t):
     """A24."""
-    return t.cameras.where("not hidden").agg(F.count("*").alias("cameras")).crossJoin(t.frames.agg(F.count_distinct("camera_id").alias("seen")))
+    seen = t.frames.agg(F.lit(0).cast("bigint").alias("cameras"), F.count_distinct("camera_id").alias("seen"))
+    return t.cameras.where("not hidden").agg(F.count("*").alias("cameras"), F.lit(0).cast("bigint").alias("seen")).union(seen).agg(F.sum("cameras").alias("cameras"), F.sum("seen").alias("seen"))

@@ -104,9 +104,8 @@ p as (select id, cast(((cast(floor(longitude) as int) * 5) % 360 + 360) % 360 as
 select p.id, count(*) as cells, max(value) as max_value, round(avg(value), 6) as mean_value from p join grid on ((grid.lon - p.lon) % 360 + 360 + 9) % 360 <= 18 and grid.lat between p.lat - 7 and p.lat + 7 group by p.id""")
 def grid_box(t):
     """The box wraps at 0/360 degrees."""
-    degrees, rows = t.spark.range(360).select(F.col("id").cast("int").alias("lon")), t.spark.range(-90, 91).select(F.col("id").cast("int").alias("lat"))
     # the feed is a fixed grid of 360 by 181 whole degrees
-    grid = degrees.crossJoin(F.broadcast(rows)).withColumn("value", ((F.col("lon") * 7 + F.col("lat") * 13 + 1000) % 50).cast("bigint"))
+    grid = t.spark.range(360).select(F.col("id").cast("int").alias("lon"), F.explode(F.sequence(F.lit(-90), F.lit(90))).alias("lat")).withColumn("value", ((F.col("lon") * 7 + F.col("lat") * 13 + 1000) % 50).cast("bigint"))
     points = t.cameras.select("id", F.pmod(F.floor("longitude").cast("int") * 5, F.lit(360)).alias("lon"), F.floor("latitude").cast("int").alias("lat"))
     return op.grid_lookup(points, grid, 9, 7).withColumn("mean_value", F.round("mean_value", 6))
 

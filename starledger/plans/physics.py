@@ -75,9 +75,9 @@ a as (select *, degrees(asin(least(1.0, greatest(-1.0, sin(radians(lat)) * sin(r
  (degrees(atan2(-sin(ha) * cos(radians(dec)), sin(radians(dec)) * cos(radians(lat)) - cos(radians(dec)) * cos(ha) * sin(radians(lat)))) + 360.0) % 360.0 as az from h)
 select id, star, round(alt, 6) as alt, round(az, 6) as az, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * sin(radians(az + 37.5)), 6) as x, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * cos(radians(az + 37.5)), 6) as y from a where alt > 0""")
 def star_projection(t):
-    """The catalogue has a fixed number of stars, so it is broadcast."""
+    """each camera's sky holds the whole catalogue, whose numbers are exploded and looked up."""
     stars = t.nation.select(F.col("n_nationkey").alias("star"), (F.col("n_nationkey") * 14.4).alias("ra"), (F.col("n_nationkey") * 6.0 - 70).alias("dec"))
-    seen = t.cameras.where("id < 20").crossJoin(F.broadcast(stars))
+    seen = t.cameras.where("id < 20").withColumn("star", F.explode(F.sequence(F.lit(0), F.lit(24)))).join(stars, "star")
     at = sky.horizontal(F.col("ra"), F.col("dec"), F.col("latitude"), F.col("longitude"), F.lit(1_770_000_000.0))
     up = seen.withColumns(at).where("alt > 0")
     xy = sky.fisheye(F.col("alt"), F.col("az"), 1700.0, 960.0, 960.0, 37.5)
