@@ -25,14 +25,16 @@ def best_match(requests: DataFrame, library: DataFrame, equal: list[str], temp_r
     ``requests``: id, the equal keys, gain, exposure, temp; ``library``: the same and create_date.
     """
     lib = library.select(*equal, *[F.col(c).alias(f"cal_{c}") for c in ("id", "gain", "exposure", "temp", "create_date")])
-    met = requests.join(lib, equal).where((F.col("cal_gain") >= F.col("gain")) & (F.col("cal_exposure") >= F.col("exposure")))
+    # frames share their settings, so each setting is looked up once
+    setting = [*equal, "gain", "exposure", "temp"]
+    met = requests.select(*setting).distinct().join(lib, equal).where((F.col("cal_gain") >= F.col("gain")) & (F.col("cal_exposure") >= F.col("exposure")))
     near = (F.col("cal_temp") >= F.col("temp")) & (F.col("cal_temp") <= F.col("temp") + temp_range)
     rank = F.struct(
         F.when(near, 0).otherwise(1).alias("tier"), F.col("cal_gain"), F.col("cal_exposure"), F.when(near, F.col("cal_temp")).otherwise(-F.col("cal_temp")).alias("t"), (-F.unix_micros(F.col("cal_create_date").cast("timestamp"))).alias("age"), F.col("cal_id")
     )
     # a minimum combines on the map side; a ranking window would sort all candidates
-    best = met.groupBy("id").agg(F.min(rank).alias("best"))
-    return requests.join(best, "id", "left").select(requests["*"], F.col("best.cal_id").alias("calibration_id"), F.col("best.tier").alias("tier"))
+    best = met.groupBy(*setting).agg(F.min(rank).alias("best"))
+    return requests.join(best, setting, "left").select(*requests.columns, F.col("best.cal_id").alias("calibration_id"), F.col("best.tier").alias("tier"))
 
 
 def asof_neighbours(rows: DataFrame, wanted: Column, by: list[str], time: str, ident: str, most_seconds: int) -> DataFrame:
@@ -103,6 +105,12 @@ def box_meets_polygon(lo: tuple[Column, Column], hi: tuple[Column, Column], ring
     return boxes & ~F.exists(F.sequence(F.lit(0), n - 1), parted)
 
 
+def in_cells(df: DataFrame, lo: tuple[Column, Column], hi: tuple[Column, Column], size: float) -> DataFrame:
+    """Rows once for each cell (cx, cy) of a grid that their box touches, so that boxes meet by equality."""
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    return df.withColumn("cx", F.explode(span(lo[0], hi[0]))).withColumn("cy", F.explode(span(lo[1], hi[1])))
+
+
 def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """J13, first half: all pairs of points at most ``radius`` apart, by cells of that size.
 

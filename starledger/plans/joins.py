@@ -115,10 +115,12 @@ def smoke_polygons(t):
     """The worst smoke that a box of half a degree around each camera meets; tests hold it against numpy."""
     ring = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct((F.col("x0") + F.col("r") * F.cos(i * 3.141592653589793 / 3)).alias("x"), (F.col("y0") + F.col("r") * F.sin(i * 3.141592653589793 / 3)).alias("y")))
     polygons = t.nation.select((F.col("n_nationkey") * 4 - 10.0).alias("x0"), (F.col("n_regionkey") * 10.0).alias("y0"), (1.0 + F.col("n_nationkey") % 3).alias("r"), (F.col("n_nationkey") % 3).alias("rank")).select(ring.alias("ring"), "rank")
-    boxes = t.cameras.select("id", "longitude", "latitude")
-    # a feed has tens of polygons; their number is checked before they are broadcast
-    few = polygons.limit(10_001).count() <= 10_000
-    pairs = boxes.join(F.broadcast(polygons) if few else polygons, op.box_meets_polygon((F.col("longitude") - 0.5, F.col("latitude") - 0.5), (F.col("longitude") + 0.5, F.col("latitude") + 0.5), "ring"), "left")
+    x, y = F.col("longitude"), F.col("latitude")
+    lo, hi = (x - 0.5, y - 0.5), (x + 0.5, y + 0.5)
+    ends = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    cells = op.in_cells(polygons, (ends(F.array_min, "x"), ends(F.array_min, "y")), (ends(F.array_max, "x"), ends(F.array_max, "y")), 4.0)
+    met = op.in_cells(t.cameras.select("id", "longitude", "latitude"), lo, hi, 4.0).join(cells, ["cx", "cy"]).where(op.box_meets_polygon(lo, hi, "ring"))
+    pairs = t.cameras.select("id").join(met.select("id", "rank"), "id", "left")
     return pairs.groupBy("id").agg(F.min("rank").alias("rank"))
 
 
