@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SEED = 20
 #: Largest mean of one draw.
 STEP = 16.0
@@ -45,10 +47,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(named, F.coalesce("source", F.lit(""))), F.lit(0.0))
-    sizes = sizes.withColumn("weight", weight)
-    sums = sizes.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))
-    size = F.col("all_n") if total is None else F.lit(total)
-    return sizes.crossJoin(F.broadcast(sums)).select("source", F.when(F.col("all_w") > 0, F.col("weight") / F.col("all_w") * size / F.col("n")).otherwise(0.0).alias("rate"))
+    sizes = stored(sizes.withColumn("weight", weight), "sources")
+    sums = sizes.agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).first()
+    if not sums.w:
+        return sizes.select("source", F.lit(0.0).alias("rate"))
+    share = F.col("weight") / F.lit(float(sums.w))
+    return sizes.select("source", (share * F.lit(float(sums.n if total is None else total)) / F.col("n")).alias("rate"))
 
 
 def _tables(rate: DataFrame) -> DataFrame:
