@@ -45,20 +45,20 @@ NOISE = frozenset(
 )
 #: Such words that count outside an article only.
 NOISE_OUTSIDE = frozenset("header head top bottom site logo brand".split())
-MAIN = frozenset("main articlebody".split())
+COMMENT = frozenset("comment comments commentlist reply replies respond".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: White space of HTML, and what str.split takes besides; all of it parts words.
 CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "noise", "outside", "main", "children", "digest")
+    __slots__ = ("tag", "noise", "outside", "main", "named", "children", "digest")
 
     def __init__(self, tag: str, noise: bool = False, outside: bool = False, main: bool = False):
         self.tag, self.noise, self.outside, self.main = tag, noise, outside, main
+        self.named = False  # noise by class, id, role or hiding, not by tag
         self.children: list[Node | str] = []
         self.digest = 0
 
@@ -66,25 +66,48 @@ class Node:
 def _node(tag: str, attributes: str) -> Node:
     node = Node(tag, noise=tag in DROPPED, outside=tag == "header", main=tag == "main")
     if attributes and "=" in attributes or "hidden" in attributes:
+        words = words_of(attributes)
+        node.noise |= not NOISE.isdisjoint(words)
+        node.outside |= not NOISE_OUTSIDE.isdisjoint(words)
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
-            if name in ("class", "id", "role"):
-                words = {w.lower() for w in WORDS.findall(value)}
-                node.noise |= not NOISE.isdisjoint(words)
-                node.outside |= not NOISE_OUTSIDE.isdisjoint(words)
-                node.main |= name == "role" and value.lower() == "main"
+            if name == "role":
+                node.main |= value.lower() == "main"
             elif name == "itemprop":
                 node.main |= value.lower() == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 node.noise = True
-        if tag in ("html", "body", "article", "main"):
-            node.noise = False
+        node.named = node.noise and tag not in DROPPED
+        if tag == "article" and node.noise:  # an article's many labels say little, but a comment is one
+            node.noise = node.named = not COMMENT.isdisjoint(words_of(attributes))
+        elif tag == "main":
+            node.noise = node.named = False
     return node
 
 
+def words_of(attributes: str) -> set[str]:
+    return {w.lower() for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") for w in WORDS.findall(a or b or c)}
+
+
+def _spare_wrappers(root: Node) -> None:
+    """A wrapper named after its layout ("with-sidebar") that holds the article is no noise."""
+    nodes = _walk(root)
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        if any(isinstance(c, Node) and (id(c) in holds or (c.tag == "article" or c.main) and not c.noise) for c in node.children):
+            holds.add(id(node))
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag != "article":
+            if node.named and id(node) in holds:
+                node.noise = False
+            todo.extend(c for c in node.children if isinstance(c, Node))
+
+
 def parse(html: str) -> Node:
     """The element tree of a page, however broken: text children are decoded strings."""
-    root = Node("html")
+    root, named = Node("html"), False
     stack = [root]
     pos, end = 0, len(html)
     while pos < end:
@@ -136,8 +159,11 @@ def parse(html: str) -> Node:
             continue
         node = _node(tag, attributes)
         stack[-1].children.append(node)
+        named |= node.named
         if tag not in VOID:
             stack.append(node)
+    if named:
+        _spare_wrappers(root)
     return root
 
 
@@ -184,9 +210,28 @@ def article_of(root: Node) -> Node | None:
     return max(articles or [n for n, _ in found], key=lambda n: sum(len(c) for x in _walk(n) for c in x.children if isinstance(c, str)))
 
 
+def _menus(root: Node) -> set[int]:
+    """Elements (by id) that hold three links or more and no text besides."""
+    nodes, sizes = _walk(root), {}
+    for node in reversed(nodes):
+        text = links = count = 0
+        for c in node.children:
+            if isinstance(c, str):
+                text += len("".join(c.split()))
+            else:
+                t, n, k = sizes[id(c)]
+                text, links, count = text + t, links + n, count + k
+        sizes[id(node)] = (text, text, 1) if node.tag == "a" else (text, links, count)
+    return {i for i, (text, links, count) in sizes.items() if count >= 3 and text == links}
+
+
 def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article, or of the page without one, joined by newlines."""
+    """Blocks of the article, or of the page without one, joined by newlines.
+
+    Where no element is the article, lists of links are menus.
+    """
     article = article_of(root)
+    menus = _menus(root) if article is None else ()
     blocks: list[str] = []
     run: list[str] = []
 
@@ -202,7 +247,7 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x.noise or x.outside and article is None or template and x.digest in template:
+        elif x.noise or x.outside and article is None or template and x.digest in template or id(x) in menus:
             flush() if x.tag in BLOCK else None
         else:
             if x.tag in BLOCK:

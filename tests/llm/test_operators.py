@@ -229,6 +229,11 @@ def test_main_text():
     assert sitetemplate.main_text(sitetemplate.parse("<p>a<p>b</div></b>c<!-- x")) == "a\nb\nc".replace("b\nc", "bc")
     assert sitetemplate.main_text(sitetemplate.parse("<div>" * 5000 + "deep")) == "deep"
     assert sitetemplate.main_text(sitetemplate.parse('<article><p title="a>b">x</p><script>no')) == "x"
+    wrapped = '<div class="page with-sidebar"><div class=sidebar><p>side</div><article class="post tag-alert"><p>Body</p><div class=comments><article class=comment>Me</article></div></article></div>'
+    assert sitetemplate.main_text(sitetemplate.parse(wrapped)) == "Body"
+    menu = "<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><p>Text with <a href=4>link</a>.</p>"
+    assert sitetemplate.main_text(sitetemplate.parse(menu)) == "Text with link."
+    assert sitetemplate.main_text(sitetemplate.parse('<div role="main"><p>x</div><div hidden>y</div>')) == "x"
 
 
 def test_templates_of_a_site_go(spark):
