@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a kernel handles at once; a longer text is a chunk of its own.
+#: Bytes that a kernel handles at once, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a cut of an Arrow batch.
+CUT_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +60,20 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
+def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows of about ``CUT_BYTES``, so that Python copies stay small."""
+    for b in batches:
+        step = max(1, b.num_rows * CUT_BYTES // max(1, b.nbytes))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
 def per_batch(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``kernel`` over Arrow batches; one batch in memory at a time."""
+    """``kernel`` over cuts of Arrow batches, one in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := kernel(b)) is not None:
+        for b in cuts(batches):
+            if (out := kernel(b)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

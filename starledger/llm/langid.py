@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,66 +34,73 @@ REJECTED_SHARE = 0.002
 #: Fold of held-out rows, fixed by the contract.
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: Bytes of text whose subwords are held at once.
+PIECE_BYTES = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 #: Digits, punctuation and controls part words; letters of all scripts are bytes above 0x7F or a-z.
+CUT = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 TABLE = word_table(bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
-def subwords(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords of the texts one after another, and how many each text has."""
+def subwords(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram length: buckets of the texts' subwords one after another, and how many each text has."""
     parts = [b" " + b" ".join(v.translate(TABLE).split()) + b" " for v in values]
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = starts_of([len(p) for p in parts])
-    owner_end = np.repeat(ends[1:], np.diff(ends))
-    at = np.arange(len(data))
+    last = np.repeat(ends[1:].astype(np.int32), np.diff(ends))  # where each byte's text ends
+    at = np.arange(len(data), dtype=np.int32)
     blank = data == 32
     wide = data.astype(np.uint32)
-    found, owners = [], []
     h = wide.copy()
     inner = np.zeros(len(data), dtype=bool)  # a blank strictly inside the n-gram
     for n in range(2, max(ORDERS) + 1):
         m = len(data) - n + 1
         if m <= 0:
             break
-        if n > 2:
-            inner = inner[:m] | blank[n - 2 : n - 2 + m]
-        else:
-            inner = inner[:m]
+        inner = inner[:m] | blank[n - 2 : n - 2 + m] if n > 2 else inner[:m]
         h = h[:m] * np.uint32(0x01000193) ^ wide[n - 1 : n - 1 + m]
         if n in ORDERS:
-            mixed = (h + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            ok = ~inner & (at[:m] + n <= owner_end[:m])
+            ok = ~inner & (at[:m] + n <= last[:m])
             if n == 2:  # a text without words is two blanks
                 ok &= ~(blank[:m] & blank[1 : 1 + m])
-            ok = np.flatnonzero(ok)
-            found.append((mixed[ok] >> np.uint32(32 - BITS)).astype(np.int32))
-            owners.append(ok)
-    if not found:
-        return np.zeros(0, dtype=np.int32), np.zeros(len(values), dtype=np.int64)
-    buckets = np.concatenate(found)
-    doc = np.searchsorted(ends[1:], np.concatenate(owners), side="right")
-    order = np.argsort(doc, kind="stable")
-    return buckets[order], np.bincount(doc, minlength=len(values))
+            mixed = (h[ok] + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            counts = np.diff(np.concatenate(([0], np.cumsum(ok)))[np.minimum(ends, m)])
+            yield (mixed >> np.uint32(32 - BITS)).astype(np.int32), counts
+
+
+def pieces(text: bytes, most: int = PIECE_BYTES) -> Iterator[bytes]:
+    """The text cut between words into pieces of about ``most`` bytes; no subword is lost."""
+    lo = 0
+    while len(text) - lo > most:
+        m = CUT.search(text, lo + most)
+        if m is None:
+            break
+        yield text[lo : m.start()]
+        lo = m.end()
+    yield text[lo:]
 
 
 @dataclasses.dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray  # buckets x languages
+    logits: np.ndarray  # languages x buckets
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
 
     def raw(self, values: list[bytes]) -> np.ndarray:
-        out = np.tile(self.bias, (len(values), 1))
-        for lo, hi in chunks(values):
-            buckets, counts = subwords(values[lo:hi])
-            starts = starts_of(counts)
-            full = np.flatnonzero(counts)
-            if len(full):
-                for k in range(len(self.languages)):
-                    out[lo + full, k] += np.add.reduceat(self.logits[:, k][buckets], starts[full]) / counts[full]
-        return out
+        sums, sizes = np.zeros((len(values), len(self.languages))), np.zeros(len(values))
+        cut = [(i, p) for i, v in enumerate(values) for p in pieces(v)]
+        for lo, hi in chunks([p for _, p in cut], PIECE_BYTES):
+            owners = np.array([i for i, _ in cut[lo:hi]])
+            for buckets, counts in subwords([p for _, p in cut[lo:hi]]):
+                full = np.flatnonzero(counts)
+                if len(full):
+                    starts = starts_of(counts)[full]
+                    np.add.at(sizes, owners[full], counts[full])
+                    for k in range(len(self.languages)):
+                        np.add.at(sums[:, k], owners[full], np.add.reduceat(self.logits[k][buckets], starts))
+        return sums / np.maximum(sizes, 1)[:, None] + self.bias
 
     def probabilities(self, values: list[bytes]) -> np.ndarray:
         return softmax(self.raw(values) / self.temperature)
@@ -107,7 +115,7 @@ def fit(values: list[bytes], langs: list[str], calibrate: list[bool]) -> Model:
     """A model of the texts' languages; rows marked ``calibrate`` only set the calibration."""
     names = sorted(set(langs))
     if not names:
-        return Model([UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1))
+        return Model([UNKNOWN], np.zeros((1, BUCKETS)), np.zeros(1))
     rng, of = np.random.default_rng(SEED), {x: i for i, x in enumerate(names)}
     y = np.array([of[x] for x in langs])
     emb, out, bias = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(names))), np.zeros(len(names))
@@ -118,7 +126,7 @@ def fit(values: list[bytes], langs: list[str], calibrate: list[bool]) -> Model:
         # the whole text, and one line of it, so that short texts are met in training too
         lines = [x for x in values[i].split(b"\n") if x.strip()]
         for v in [values[i], *([lines[i % len(lines)]] if len(lines) > 1 else [])]:
-            b, c = np.unique(subwords([v])[0], return_counts=True)
+            b, c = np.unique(np.concatenate([x for x, _ in subwords([v])]), return_counts=True)
             if len(b):
                 rows.append((b, c / c.sum(), y[i]))
     steps, total = 0, max(1, EPOCHS * len(rows))
@@ -136,7 +144,7 @@ def fit(values: list[bytes], langs: list[str], calibrate: list[bool]) -> Model:
             bias -= 0.1 * rate * p
             emb[b] -= (rate * len(b) ** 0.5) * np.outer(w, back)
             steps += 1
-    model = Model(names, np.ascontiguousarray(emb @ out), bias)
+    model = Model(names, np.ascontiguousarray((emb @ out).T), bias)
     held = [i for i in range(len(values)) if calibrate[i]] or train
     raw, y = model.raw([values[i] for i in held]), y[held]
     best = min((float(-np.log(softmax(raw / t)[np.arange(len(y)), y] + 1e-12).mean()), t) for t in np.geomspace(0.02, 4, 40))

@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clash_free, per_batch, scratch, stored, texts
+from .common import clash_free, cuts, per_batch, scratch, stored, texts
 
 #: Mask of the checksums, end id of the contract.
 MASK_DELTA = 0xA282EAD8
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker remembers.
-MEMORY = 700_000
+MEMORY = 250_000
 #: Letters below U+0180 but the dotted capital I, whose lower case is two letters; marks that end words.
 LATIN = [c for c in range(0x41, 0x180) if chr(c).isalpha() and c != 0x130]
 LATIN_WORD = re.compile("[" + "".join(map(chr, LATIN)) + "]+")
@@ -182,9 +182,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
         draft, f, offset, place = str(PurePosixPath(base, f".{name}.{uuid.uuid4().hex}")), None, 0, 0
         encoder = _encoder(vocabulary, width)
         try:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in cuts(batches):
                 if f is None:
                     fs.create_dir(base, recursive=True)
                     f = fs.open_output_stream(draft)

@@ -177,10 +177,19 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_subwords_stay_in_words():
-    b, n = langid.subwords([b"ab c", b"", b"x"])
+    found = list(langid.subwords([b"ab c", b"", b"x"]))
     # " ab " has 3 of two bytes, 2 of three and 1 of four; " c " and " x " have 2 and 1
-    assert n.tolist() == [3 + 2 + 1 + 2 + 1, 0, 3] and len(b) == n.sum()
-    assert (langid.subwords([b"x"])[0] == b[-3:]).all()
+    assert sum(n for _, n in found).tolist() == [3 + 2 + 1 + 2 + 1, 0, 3]
+    assert all(len(b) == n.sum() for b, n in found)
+    alone = list(langid.subwords([b"x"]))
+    assert all((b[len(b) - len(x) :] == x).all() for (b, _), (x, _) in zip(found, alone, strict=False))
+
+
+def test_pieces_lose_no_subword():
+    text = b"Wor\xc3\xa4 and, more-of it " * 40 + b"x" * 300 + b" end"
+    whole = np.sort(np.concatenate([b for b, _ in langid.subwords([text])]))
+    cut = list(langid.pieces(text, 50))
+    assert len(cut) > 10 and (np.sort(np.concatenate([b for p in cut for b, _ in langid.subwords([p])])) == whole).all()
 
 
 # 6 mixing
