@@ -139,7 +139,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     chosen = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
     chosen = stored(chosen.where("first").select(F.col("doc_id").alias("__kept_id"), (F.col("rows") > 1).alias("repeated")), "kept")
     of = F.col("doc_id").eqNullSafe(F.col("__kept_id"))
-    once = docs.join(chosen.where("not repeated"), of, "left_semi")
+    # the kept ids grow with the documents: one plan at every size, never a broadcast
+    once = docs.join(chosen.where("not repeated").hint("merge"), of, "left_semi")
     again = chosen.where("repeated")
     if again.isEmpty():
         return once
