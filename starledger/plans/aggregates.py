@@ -162,10 +162,11 @@ def ovation_cells(t):
     return _rounded(t.frames.where("stars between 40 and 60").groupBy("camera_id").agg(F.max("ovation_max").alias("max_cell"), F.avg("ovation_max").alias("mean_cell")), "mean_cell")
 
 
-@query("select camera_id, day_date, case when count(*) > 1 then round(regr_slope(kpindex, i), 6) end as slope, case when count(*) > 1 then round(regr_intercept(kpindex, i), 6) end as intercept, arg_max(kpindex, i) as last from (select *, row_number() over (partition by camera_id, day_date order by create_date, id) - 1 as i from frames where kpindex is not null) group by all")
+@query("select camera_id, day_date, case when count(*) > 1 then round(regr_slope(kpindex, i), 6) + 0.0 end as slope, case when count(*) > 1 then round(regr_intercept(kpindex, i), 6) + 0.0 end as intercept, arg_max(kpindex, i) as last from (select *, row_number() over (partition by camera_id, day_date order by create_date, id) - 1 as i from frames where kpindex is not null) group by all")
 def kp_regression(t):
     """Both coefficients under their own names; null where a group has a single row."""
-    return _rounded(op.index_regression(t.frames.where("kpindex is not null"), ["camera_id", "day_date"], ["create_date", "id"], "kpindex"), "slope", "intercept")
+    fitted = _rounded(op.index_regression(t.frames.where("kpindex is not null"), ["camera_id", "day_date"], ["create_date", "id"], "kpindex"), "slope", "intercept")
+    return fitted.withColumns({c: F.col(c) + F.lit(0.0) for c in ("slope", "intercept")})  # no negative zero
 
 
 @query("select camera_id, arg_max(adu, id) as power from frames where event_type = 'view' group by camera_id")
