@@ -111,21 +111,22 @@ def in_cells(df: DataFrame, lo: tuple[Column, Column], hi: tuple[Column, Column]
     return df.withColumn("cx", F.explode(span(lo[0], hi[0]))).withColumn("cy", F.explode(span(lo[1], hi[1])))
 
 
-def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """J13, first half: all pairs of points at most ``radius`` apart, by cells of that size.
+def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """J13, first half: all pairs of points of one group at most ``radius`` apart, by cells of that size.
 
-    ``left``: lid, lx, ly; ``right``: rid, rx, ry. A left point names the nine cells around it.
+    ``left``: lid, lx, ly; ``right``: rid, rx, ry; both the columns ``by``, which must agree. A
+    left point names the nine cells around it.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     near = F.array(*[F.struct((cell("lx") + i).alias("cx"), (cell("ly") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.withColumn("c", F.explode(near)).select("lid", "lx", "ly", "c.cx", "c.cy")
-    b = right.select("rid", "rx", "ry", cell("rx").alias("cx"), cell("ry").alias("cy"))
+    a = left.withColumn("c", F.explode(near)).select(*by, "lid", "lx", "ly", "c.cx", "c.cy")
+    b = right.select(*by, "rid", "rx", "ry", cell("rx").alias("cx"), cell("ry").alias("cy"))
     d = F.sqrt((F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2)
-    return a.join(b, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select("lid", "rid", "distance")
+    return a.join(b, [*by, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*by, "lid", "rid", "distance")
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """J13, second half: one partner each, the closest pairs first, ties by lid, then rid.
+def greedy_pairs(pairs: DataFrame, rounds: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """J13, second half: one partner each in a group, the closest pairs first, ties by lid, then rid.
 
     A pair that is the first of all pairs of both its ends is surely chosen; those are taken
     in each round and their ends leave, which gives what one ordered pass would.
@@ -135,10 +136,10 @@ def greedy_pairs(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     order = F.struct("distance", "lid", "rid")
     left, taken = stored(pairs, "pairs"), None
     for _ in range(rounds):
-        firsts = left.withColumn("o", order).withColumns({"l": F.min("o").over(Window.partitionBy("lid")), "r": F.min("o").over(Window.partitionBy("rid"))}).where("o = l and o = r").select("lid", "rid", "distance")
+        firsts = left.withColumn("o", order).withColumns({"l": F.min("o").over(Window.partitionBy(*by, "lid")), "r": F.min("o").over(Window.partitionBy(*by, "rid"))}).where("o = l and o = r").select(*by, "lid", "rid", "distance")
         firsts = stored(firsts, "chosen")
         taken = firsts if taken is None else taken.union(firsts)
-        left = stored(left.join(firsts.select("lid"), "lid", "left_anti").join(firsts.select("rid"), "rid", "left_anti"), "pairs")
+        left = stored(left.join(firsts.select(*by, "lid"), [*by, "lid"], "left_anti").join(firsts.select(*by, "rid"), [*by, "rid"], "left_anti"), "pairs")
         if left.isEmpty():
             return taken
     raise RuntimeError("pairs are left after the last round")

@@ -133,12 +133,27 @@ def star_match_candidates(t):
     return op.nearest_in_cells(side(0, "l"), side(1, "r"), 12.0).agg(F.count("*").alias("pairs"), F.sum("lid").alias("left_ids"), F.sum("rid").alias("right_ids"))
 
 
+_SKY = ("camera_id", "day_date")
+
+
+def _sky_pairs(t, radius):
+    """Even against odd frames, which stand for stars and detections, within a camera's day."""
+    points = t.frames.select(*_SKY, "id", ((F.col("id") * 37) % 1000).alias("x"), ((F.col("id") * 91) % 1000).alias("y"))
+    side = lambda k, p: points.where(F.col("id") % 2 == k).select(*_SKY, F.col("id").alias(f"{p}id"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    return op.nearest_in_cells(side(0, "l"), side(1, "r"), radius, _SKY)
+
+
+@query("""with s as (select id, camera_id, day_date, (id * 37) % 1000 as x, (id * 91) % 1000 as y from frames)
+select a.camera_id, a.day_date, count(*) as pairs, cast(sum(a.id) as bigint) as left_ids, cast(sum(b.id) as bigint) as right_ids from s a join s b on a.camera_id = b.camera_id and a.day_date = b.day_date and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1600 where a.id % 2 = 0 and b.id % 2 = 1 group by all""")
+def star_match_candidates_all(t):
+    """What ``star_match`` chooses from, of all frames; ``star_match_candidates`` keeps to the 400 rows of its SQL, where no pair is near enough."""
+    return _sky_pairs(t, 40.0).groupBy(*_SKY).agg(F.count("*").alias("pairs"), F.sum("lid").alias("left_ids"), F.sum("rid").alias("right_ids"))
+
+
 @query()
 def star_match(t):
-    """Each star's own detection, the closest pairs first; tests hold it against one ordered pass."""
-    points = t.frames.where("id < 400").select("id", ((F.col("id") * 37) % 1000).alias("x"), ((F.col("id") * 91) % 1000).alias("y"))
-    side = lambda k, p: points.where(F.col("id") % 2 == k).select(F.col("id").alias(f"{p}id"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
-    return op.greedy_pairs(op.nearest_in_cells(side(0, "l"), side(1, "r"), 40.0))
+    """Each star's own detection in its camera's day, the closest pairs first; tests hold it against one ordered pass."""
+    return op.greedy_pairs(_sky_pairs(t, 40.0), by=_SKY).select("lid", "rid", "distance")
 
 
 @query("select distinct n.name, c.id from (select 'Supplier#000000004' as name union all select 'cam-4' union all select 'SUPPLIER#000000006' union all select 'none') n join cameras c on n.name in (c.name, c.name_alt1, c.name_alt2)")

@@ -68,6 +68,24 @@ def test_greedy_pairs_is_one_ordered_pass(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_star_match_takes_every_frame_of_a_day(spark):
+    sf_dir, groups = "/root/testdata/sf0.01", {}  # in sf0.001 a camera's day has four frames
+    for r in tables.table(spark, sf_dir, "frames").select("id", "camera_id", "day_date").collect():
+        groups.setdefault((r.camera_id, r.day_date), []).append(r.id)
+    want, pairs = set(), 0
+    apart = lambda a, b: (a * 37 % 1000 - b * 37 % 1000) ** 2 + (a * 91 % 1000 - b * 91 % 1000) ** 2
+    for ids in groups.values():
+        found = sorted((d, a, b) for a in ids if a % 2 == 0 for b in ids if b % 2 and (d := apart(a, b)) <= 1600)
+        left, right = set(), set()
+        pairs += len(found)
+        for _, a, b in found:
+            if a not in left and b not in right:
+                left.add(a), right.add(b), want.add((a, b))
+    assert max(a for a, _ in want) >= 400
+    assert {(r.lid, r.rid) for r in QUERIES["star_match"](spark, sf_dir).collect()} == want
+    assert sum(r.pairs for r in QUERIES["star_match_candidates_all"](spark, sf_dir).collect()) == pairs
+
+
 def test_smoke_is_worst_that_meets(spark):
     hexagon = [(2 * np.cos(k * np.pi / 3), 2 * np.sin(k * np.pi / 3)) for k in range(6)]
     rng = np.random.default_rng(0)
