@@ -64,8 +64,23 @@ on req.camera_id = c.camera_id and req.binmode = c.binmode and req.bitdepth = c.
 best as (select *, row_number() over (partition by id order by tier, gain, exposure, case when tier = 0 then temp else -temp end, create_date desc, cal) as n from met)
 select req.id, cal as calibration_id, tier from req left join best on req.id = best.id and n = 1""")
 def best_calibration(t):
-    """J7."""
-    requests = t.frames.where("id % 5 = 0").select("id", "camera_id", "binmode", F.lit(16).alias("bitdepth"), "gain", F.floor("exposure").cast("int").alias("exposure"), (F.col("stars") % 30).cast("double").alias("t"))
+    """J7 for every fifth frame, as its SQL has it."""
+    return _calibrated(t, t.frames.where("id % 5 = 0"))
+
+
+@query("""with req as (select id, camera_id, binmode, 16 as bitdepth, gain, cast(floor(exposure) as int) as exposure, cast(stars % 30 as double) - 5 as temp from frames),
+setting as (select distinct camera_id, binmode, bitdepth, gain, exposure, temp from req),
+met as (select setting.*, c.id as cal, case when c.temp between setting.temp and setting.temp + 5 then 0 else 1 end as tier, c.gain as cg, c.exposure as ce, c.temp as ct, c.create_date as cd from setting join calibrations c
+on setting.camera_id = c.camera_id and setting.binmode = c.binmode and setting.bitdepth = c.bitdepth and c.active and c.gain >= setting.gain and c.exposure >= setting.exposure),
+best as (select *, row_number() over (partition by camera_id, binmode, bitdepth, gain, exposure, temp order by tier, cg, ce, case when tier = 0 then ct else -ct end, cd desc, cal) as n from met)
+select req.id, best.cal as calibration_id, best.tier from req left join best on req.camera_id = best.camera_id and req.binmode = best.binmode and req.bitdepth = best.bitdepth and req.gain = best.gain and req.exposure = best.exposure and req.temp = best.temp and n = 1""")
+def best_calibration_all(t):
+    """The calibration of every frame."""
+    return _calibrated(t, t.frames)
+
+
+def _calibrated(t, frames):
+    requests = frames.select("id", "camera_id", "binmode", F.lit(16).alias("bitdepth"), "gain", F.floor("exposure").cast("int").alias("exposure"), (F.col("stars") % 30).cast("double").alias("t"))
     requests = requests.withColumn("temp", F.col("t") - 5).drop("t")
     return op.best_match(requests, t.calibrations.where("active"), ["camera_id", "binmode", "bitdepth"], 5.0).select("id", "calibration_id", "tier")
 

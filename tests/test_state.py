@@ -236,3 +236,10 @@ def test_unknown_strategy_is_told():
 
     with pytest.raises(ValueError, match="average"):
         strategies.named(strategies.STACKS, "none")
+
+
+def test_every_frame_asks_for_a_calibration(spark, sf_dir):
+    ids = {r.id for r in tables.table(spark, sf_dir, "frames").select("id").collect()}
+    got = {r.id: (r.calibration_id, r.tier) for r in QUERIES["best_calibration_all"](spark, sf_dir).collect()}
+    assert got.keys() == ids
+    assert all(got[r.id] == (r.calibration_id, r.tier) for r in QUERIES["best_calibration"](spark, sf_dir).collect())
