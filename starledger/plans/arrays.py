@@ -110,8 +110,17 @@ def green_removal(t):
 
 @query(f"with {PX}, s as (select * from px where frame < 20) select frame, 'rotate90' as how, x as y, 7 - y as x, v from s union all select frame, 'rotate180', 7 - y, 7 - x, v from s union all select frame, 'flip_x', y, 7 - x, v from s union all select frame, 'crop', y - 2, x - 1, v from s where x between 1 and 4 and y between 2 and 6")
 def geometry(t):
-    """N21."""
-    px = _px(t).where("frame < 20")
+    """N21 for the first frames, as its SQL has it."""
+    return _moved(_px(t).where("frame < 20"))
+
+
+@query(f"with {PX} select frame, how, case how when 'rotate90' then x when 'flip_x' then y when 'crop' then y - 2 else 7 - y end as y, case how when 'rotate90' then 7 - y when 'crop' then x - 1 else 7 - x end as x, v from px, (values ('rotate90'), ('rotate180'), ('flip_x'), ('crop')) h(how) where how <> 'crop' or x between 1 and 4 and y between 2 and 6")
+def geometry_all(t):
+    """Rotation, flip and crop of every frame."""
+    return _moved(_px(t))
+
+
+def _moved(px):
     parts = [op.moved(px, how, SIZE).withColumn("how", F.lit(how)) for how in ("rotate90", "rotate180", "flip_x")] + [op.crop(px, 1, 2, 4, 5).withColumn("how", F.lit("crop"))]
     out = parts[0]
     for p in parts[1:]:

@@ -59,6 +59,12 @@ def stream_buffer(t):
     return op.drained(op.last_columns(_frames(t), 100))
 
 
+@query("select camera_id, list(id order by create_date, id) as ids from (select * from frames qualify row_number() over (partition by camera_id order by create_date desc, id desc) <= 1000) group by camera_id")
+def stream_buffer_1000(t):
+    """The last thousand columns, as the reference holds them; ``stream_buffer`` keeps to the hundred of its SQL."""
+    return op.drained(op.last_columns(_frames(t), 1000))
+
+
 @query()
 def stream_exposures(t):
     """Q7: tests hold it against the batch form."""

@@ -243,3 +243,15 @@ def test_every_frame_asks_for_a_calibration(spark, sf_dir):
     got = {r.id: (r.calibration_id, r.tier) for r in QUERIES["best_calibration_all"](spark, sf_dir).collect()}
     assert got.keys() == ids
     assert all(got[r.id] == (r.calibration_id, r.tier) for r in QUERIES["best_calibration"](spark, sf_dir).collect())
+
+
+def test_every_frame_star_and_column_counts(spark, sf_dir, tmp_path):
+    frames = QUERIES["geometry_all"](spark, sf_dir).groupBy("frame").count().collect()
+    assert len(frames) == tables.stored(spark, sf_dir, "embeddings").count() and {r["count"] for r in frames} == {3 * 64 + 20}
+    nation = tables.stored(spark, sf_dir, "nation")
+    nation.union(nation.withColumn("n_nationkey", (F.col("n_nationkey") + 25).cast(nation.schema["n_nationkey"].dataType))).write.parquet(f"{tmp_path}/nation.parquet")
+    tables.stored(spark, sf_dir, "supplier").write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("star_projection", "star_projection_all"):
+        assert max(r.star for r in QUERIES[name](spark, str(tmp_path)).collect()) >= 25
+    want = {r.camera_id: min(r["count"], 1000) for r in tables.table(spark, sf_dir, "frames").groupBy("camera_id").count().collect()}
+    assert {r.camera_id: len(r.ids) for r in QUERIES["stream_buffer_1000"](spark, sf_dir).collect()} == want and max(want.values()) > 100
