@@ -311,6 +311,20 @@ def test_grammar_learns_formats():
     assert g.spans("x" * 15, []) == []
 
 
+def test_grammar_has_no_quota_and_scores_every_run():
+    rng = np.random.default_rng(5)
+    token = lambda n: "".join(rng.choice(list("0123456789abcdef"), n - 2)) + "a7"
+    words = ["".join(rng.choice(["the", "tion", "ing", "er", "an", "ou"], 7)) for _ in range(2000)]
+    bare = [token(20) for _ in range(400)]
+    g = credentials.fit({"hex": [token(40) for _ in range(200)]}, words + bare)
+    found = [t for t in bare if g.spans(f"see {t} here", [])]
+    assert len(found) >= 0.99 * len(bare) and sum(bool(g.spans(w, [])) for w in words) <= 0.002 * len(words)
+    assert g.spans("a 0a1b2c3d4e5f here", []) == [(2, 14, "like_hex")]
+    assert g.spans("card 4785380592391139 at 152.143.123.131, call 555-3824", []) == []
+    text = f"token=abcdef.{bare[0]} x"  # a base span that ends within the run
+    assert g.spans(text, [(0, 0, 12, "abcdef")]) == [(12, 33, "like_hex")]
+
+
 def test_secret_query(spark):
     rows = {r["doc_id"]: r["text"] for r in texts()}
     for r in queries.op8_secrets(spark, SF).collect():
