@@ -8,7 +8,8 @@ article: menus, headers, footers, sidebars, notices, adverts, forms, scripts, st
 comments. What is left of the article is put out block by block.
 
 Within an article a subtree must stand in half of a host's pages to be template, elsewhere
-in a tenth, and always in at least ``LEAST_PAGES``; so what articles quote stays.
+in a tenth, and always in at least ``LEAST_PAGES``; what is template at the one place only is
+deleted at that place only, so what articles quote stays.
 """
 
 from __future__ import annotations
@@ -54,11 +55,12 @@ CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "noise", "outside", "main", "named", "children", "digest")
+    __slots__ = ("tag", "noise", "outside", "main", "named", "cut", "children", "digest")
 
     def __init__(self, tag: str, noise: bool = False, outside: bool = False, main: bool = False):
         self.tag, self.noise, self.outside, self.main = tag, noise, outside, main
         self.named = False  # noise by class, id, role or hiding, not by tag
+        self.cut = False  # hidden, or reader comments: no article however much it holds
         self.children: list[Node | str] = []
         self.digest = 0
 
@@ -76,7 +78,8 @@ def _node(tag: str, attributes: str) -> Node:
             elif name == "itemprop":
                 node.main |= value.lower() == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                node.noise = True
+                node.noise = node.cut = True
+        node.cut |= not COMMENT.isdisjoint(words) and words.isdisjoint(("with", "has", "no"))
         node.named = node.noise and tag not in DROPPED
         if tag == "article" and node.noise:  # an article's many labels say little, but a comment is one
             node.noise = node.named = not COMMENT.isdisjoint(words_of(attributes))
@@ -90,7 +93,7 @@ def words_of(attributes: str) -> set[str]:
 
 
 def _spare_wrappers(root: Node) -> None:
-    """A wrapper named after its layout ("with-sidebar") that holds the article is no noise."""
+    """A wrapper named after its layout ("with-sidebar") is no noise where it holds the article, or most of an article's text."""
     nodes = _walk(root)
     holds: set[int] = set()
     for node in reversed(nodes):
@@ -103,6 +106,16 @@ def _spare_wrappers(root: Node) -> None:
             if node.named and id(node) in holds:
                 node.noise = False
             todo.extend(c for c in node.children if isinstance(c, Node))
+    article = article_of(root)
+    inner = _walk(article) if article else []
+    if not any(n.named for n in inner):
+        return
+    sizes: dict[int, int] = {}
+    for n in reversed(inner):
+        sizes[id(n)] = sum(sizes[id(c)] if isinstance(c, Node) else len("".join(c.split())) for c in n.children)
+    for n in inner[1:]:
+        if n.named and not n.cut and sizes[id(n)] * 2 > sizes[id(article)]:
+            n.noise = False
 
 
 def parse(html: str) -> Node:
@@ -225,12 +238,14 @@ def _menus(root: Node) -> set[int]:
     return {i for i, (text, links, count) in sizes.items() if count >= 3 and text == links}
 
 
-def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(root: Node, inside: frozenset[int] | set[int] = frozenset(), outside: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the article, or of the page without one, joined by newlines.
 
+    ``inside`` and ``outside`` are the digests that are template within an article and elsewhere.
     Where no element is the article, lists of links are menus.
     """
     article = article_of(root)
+    template = outside if article is None else inside
     menus = _menus(root) if article is None else ()
     blocks: list[str] = []
     run: list[str] = []
@@ -264,7 +279,8 @@ def subtrees(html: str | None) -> tuple[int, list[int], list[int]]:
     nodes = _digests(root)
     article = article_of(root)
     inside = {n.digest for n in _walk(article)[1:]} - {0} if article else set()
-    outside = {n.digest for n in nodes if not (article and n is article)} - {0, root.digest} - inside
+    within = {id(n) for n in _walk(article)} if article else set()
+    outside = {n.digest for n in nodes if id(n) not in within} - {0, root.digest}
     return xxh64_intdigest(main_text(root)) & 0x7FFFFFFFFFFFFFFF, sorted(inside), sorted(outside)
 
 
@@ -274,9 +290,9 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, least: int = LEAST_PAGES, inside: float = SHARE_INSIDE, outside: float = SHARE_OUTSIDE) -> DataFrame:
-    """(host, template): the digests that are template on a host, as one array a host.
+    """(host, inside, outside): the digests that are template on a host within articles and elsewhere, as two arrays a host.
 
-    Its length is bounded by the subtrees of a page over the least share.
+    Their length is bounded by the subtrees of a page over the least share.
     """
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -298,7 +314,8 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, inside: float = SHARE_
         totals = F.broadcast(totals)
     share = F.when(F.col("place") == 1, inside).otherwise(outside)
     many = counts.where("place > 0").join(totals, "host").where(F.col("count") >= share * F.col("total"))
-    return many.groupBy("host").agg(F.collect_set("digest").alias("template"))
+    at = lambda place: F.collect_set(F.when(F.col("place") == place, F.col("digest")))
+    return many.groupBy("host").agg(at(1).alias("inside"), at(2).alias("outside"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -308,18 +325,18 @@ def extract(pages: DataFrame) -> DataFrame:
     host. Repeated rows give repeated rows.
     """
     known = stored(templates(pages), "templates")
-    size = known.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("template")), F.lit(0)).alias("subtrees")).first()
+    size = known.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("inside") + F.size("outside")), F.lit(0)).alias("subtrees")).first()
     if size.hosts <= BROADCAST_HOSTS and size.subtrees <= BROADCAST_SUBTREES:
         known = F.broadcast(known)
-    joined = with_host(pages).join(known, "host", "left").select(F.col("page_id").cast("bigint"), "url", "html", "template")
+    joined = with_host(pages).join(known, "host", "left").select(F.col("page_id").cast("bigint"), "url", "html", "inside", "outside")
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for html, template in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for html, inside, outside in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             root = parse(html or "")
-            if template:
+            if inside or outside:
                 _digests(root)
-            out.append(main_text(root, set(template or ())))
+            out.append(main_text(root, set(inside or ()), set(outside or ())))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return per_batch(joined, kernel, "page_id bigint, url string, text string, n_chars bigint")

@@ -258,6 +258,21 @@ def test_templates_of_a_site_go(spark):
     assert got[200] == [""] and got[201] == [""]
 
 
+def test_menus_take_nothing_out_of_articles(spark):
+    page = '<div><a href=/e>Economy</a> | <a href=/s>Sport</a></div><article><p>Story {i} on the <a href=/e>Economy</a>.</p></article>'
+    rows = [(i, f"http://m.example/{i}", page.replace("{i}", str(i)) if i < 8 else page.replace("{i}", str(i)).replace(' on the <a href=/e>Economy</a>', "")) for i in range(40)]
+    rows.append((99, "http://m.example/list", "<div><a href=/e>Economy</a> | <a href=/s>Sport</a></div><p>No article here.</p>"))
+    got = {r.page_id: r.text for r in sitetemplate.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Story {i} on the Economy." for i in range(8)] and got[99] == "No article here."
+
+
+def test_noise_names_spare_most_of_an_article():
+    page = '<article><h1>T</h1><div class="long-form with-sidebar"><p>The whole long story.</p><div class=sidebar>x</div></div></article>'
+    assert sitetemplate.main_text(sitetemplate.parse(page)) == "T\nThe whole long story."
+    page = "<article><p>Short.</p><div class=comments><p>A much longer comment of a reader.</p></div><div class=share style='display:none'>" + "hidden " * 99 + "</div></article>"
+    assert sitetemplate.main_text(sitetemplate.parse(page)) == "Short."
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = "<article><h1>Same</h1><p>The one story.</p></article>"
     rows = [(i, f"http://c.example/{i}", page) for i in range(30)]
