@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where that is unset (tests on one machine) a temporary folder is set for the session.
+    Where that is unset, a session on one machine (tests) gets a temporary folder of its own; a
+    cluster has no folder that a driver could make up, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="starledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,19 +41,48 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back.
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back, and the path.
 
     Cuts the lineage: what follows survives lost executors without recomputing ``df``.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored_at`` wrote, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name clashes, has a dot or differs by case only.
+
+    ``toDF(*df.columns)`` gives the names back.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def clash_free(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by exact name, so that extra columns never clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    flat = by_position(df)
+    return flat.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def filtered(df: DataFrame, column: str, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
+    """The rows of ``df`` whose text in ``column`` is to be kept, with all columns as they were."""
+    flat, at = by_position(df), df.columns.index(column)
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(keep(texts(b.column(at))), pa.bool_()))
+
+    return per_batch(flat, kernel, flat.schema).toDF(*df.columns)
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -112,11 +142,3 @@ def starts_of(counts: list[int] | np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(counts, out=out[1:])
     return out
-
-
-def seed_of(*parts: object) -> int:
-    return zlib.crc32("/".join(map(str, parts)).encode())
-
-
-def is_local_file(uri: str) -> bool:
-    return uri.startswith("file:") or os.path.isabs(uri)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_position, clash_free, stored
 
 SEED = 20
 #: Largest mean of one draw.
@@ -66,32 +66,37 @@ def _tables(rate: DataFrame) -> DataFrame:
     return rate.withColumn("draws", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")).withColumn("mean", mean).withColumn("lf", log_factorial).withColumn("cdf", cdf).select("source", "rate", "draws", "cdf")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, numbered: bool = True) -> DataFrame:
     """``docs`` repeated to the target weights and shuffled, with copy and shuffle_key.
 
-    ``copy`` counts from 1; ``shuffle_key`` is the order of the global shuffle. Rows keep all
-    their columns. Null texts are documents like any other; rows of one doc_id share their
-    draw and null ids draw as the empty text; an empty table gives an empty one. Columns of
-    ``docs`` named copy or shuffle_key are replaced.
+    ``copy`` counts from 1; ``shuffle_key`` is the order of the global shuffle. Without
+    ``numbered`` the rows have the columns of ``docs`` and no others. Rows keep all their
+    columns, whatever they are called; with ``numbered`` columns of ``docs`` named copy or
+    shuffle_key are replaced. Null and empty texts are documents like any other, and no text is
+    looked at, however long. Rows of one doc_id share their draw, so repeated rows are repeated
+    alike; null ids draw as the empty text; an empty table gives an empty one.
     """
-    table = _tables(rates(docs, weights, total))
+    table = _tables(rates(clash_free(docs, "source"), weights, total))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     # names of its own, so that columns of the documents never clash
-    table = table.select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    numbers = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda j: uniform(str(seed), doc, j.cast("string")))
-    count = F.aggregate("__numbers", F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda p: p <= u)))
-    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__numbers", numbers).withColumn("__copies", count).where("__copies > 0")
-    spread = joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    flat, names = by_position(docs), docs.columns
+    doc, source = (F.col(f"c{names.index(n)}") for n in ("doc_id", "source"))
+    doc = F.coalesce(doc.cast("string"), F.lit(""))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(str(seed), doc, j.cast("string")))
+    count = F.aggregate("numbers", F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda p: p <= u)))
+    table = table.withColumnRenamed("source", "mixed_source")
+    joined = flat.join(table, source.eqNullSafe(F.col("mixed_source"))).withColumn("numbers", numbers).withColumn("copies", count).where("copies > 0")
+    kept = [i for i, n in enumerate(names) if not (numbered and n in ("copy", "shuffle_key"))]
+    spread = joined.select(*[f"c{i}" for i in kept], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return spread.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    mixed = spread.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return mixed.toDF(*[names[i] for i in kept], "copy", "shuffle_key") if numbered else mixed.drop("copy", "shuffle_key").toDF(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, source, copy, shuffle_key, text: the whole mixture, all sources to one weight."""
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "source", "copy", "shuffle_key", "text")
+    return mix(clash_free(docs, "doc_id", "source", "text")).select("doc_id", "source", "copy", "shuffle_key", "text")
 
 
 ORACLE = """

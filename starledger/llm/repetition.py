@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clash_free, per_batch, texts
+from .common import clash_free, filtered, per_batch, texts
 
 #: Fixed by the contract: window, least words, largest share of repeated words in percent.
 BASE_WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -129,24 +129,21 @@ def _kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 def coverage(docs: DataFrame) -> DataFrame:
     """All measures, the coverages included, for every row of ``docs``.
 
-    Null and empty texts have no words: they fail the base rule and are not kept. Repeated
-    rows give repeated rows.
+    Null and empty texts have no words: they fail the base rule and are not kept. Texts are
+    measured whole, in time and memory in proportion to their length. Repeated rows give
+    repeated rows, an empty table an empty one; no column but doc_id and text is looked at.
     """
     return per_batch(clash_free(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text"), _kernel, SCHEMA)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """The contract's columns of ``coverage``, which states the edge cases."""
     return coverage(docs).drop("line_chars", "ngram_chars")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that fail a rule; all columns as they were."""
-    at = docs.columns.index("text")
-
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array([verdict(measure(t))[1] for t in texts(b.column(at))], pa.bool_()))
-
-    return per_batch(docs, kernel, docs.schema)
+    """``docs`` without the rows that fail a rule; all columns as they were, whatever their names."""
+    return filtered(docs, "text", lambda values: [verdict(measure(t))[1] for t in values])
 
 
 def _share(n: int) -> str:
