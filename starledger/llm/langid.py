@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, clash_free, fold, per_batch, starts_of, texts, word_table
+from .common import chunks, clash_free, filtered, fold, per_batch, starts_of, stored, texts, word_table
 
-#: Parameters: labelled rows to a language in the sample, its longest text in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 1200, 40_000
+#: Parameters of the sample: labelled rows to a language, rows of all languages (beyond which
+#: each has an equal share), longest text in bytes. More languages than ``LANGUAGES`` are an error.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_BYTES, LANGUAGES = 1200, 48_000, 40_000, 1000
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 BUCKETS = 1 << BITS
 EPOCHS, RATE, SEED = 6, 0.4, 7
@@ -36,7 +37,6 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Bytes of text whose subwords are held at once.
 PIECE_BYTES = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
 #: Digits, punctuation and controls part words; letters of all scripts are bytes above 0x7F or a-z.
 CUT = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 TABLE = word_table(bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -99,7 +99,7 @@ class Model:
                     starts = starts_of(counts)[full]
                     np.add.at(sizes, owners[full], counts[full])
                     for k in range(len(self.languages)):
-                        np.add.at(sums[:, k], owners[full], np.add.reduceat(self.logits[k][buckets], starts))
+                        np.add.at(sums[:, k], owners[full], np.add.reduceat(self.logits[k][buckets], starts, dtype=np.float64))
         return sums / np.maximum(sizes, 1)[:, None] + self.bias
 
     def probabilities(self, values: list[bytes]) -> np.ndarray:
@@ -115,7 +115,7 @@ def fit(values: list[bytes], langs: list[str], calibrate: list[bool]) -> Model:
     """A model of the texts' languages; rows marked ``calibrate`` only set the calibration."""
     names = sorted(set(langs))
     if not names:
-        return Model([UNKNOWN], np.zeros((1, BUCKETS)), np.zeros(1))
+        return Model([UNKNOWN], np.zeros((1, BUCKETS), dtype=np.float32), np.zeros(1))
     rng, of = np.random.default_rng(SEED), {x: i for i, x in enumerate(names)}
     y = np.array([of[x] for x in langs])
     emb, out, bias = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(names))), np.zeros(len(names))
@@ -144,7 +144,7 @@ def fit(values: list[bytes], langs: list[str], calibrate: list[bool]) -> Model:
             bias -= 0.1 * rate * p
             emb[b] -= (rate * len(b) ** 0.5) * np.outer(w, back)
             steps += 1
-    model = Model(names, np.ascontiguousarray((emb @ out).T), bias)
+    model = Model(names, np.ascontiguousarray((emb @ out).T.astype(np.float32)), bias)
     held = [i for i in range(len(values)) if calibrate[i]] or train
     raw, y = model.raw([values[i] for i in held]), y[held]
     best = min((float(-np.log(softmax(raw / t)[np.arange(len(y)), y] + 1e-12).mean()), t) for t in np.geomspace(0.02, 4, 40))
@@ -158,29 +158,40 @@ def fit(values: list[bytes], langs: list[str], calibrate: list[bool]) -> Model:
 def train(docs: DataFrame, held_out: int | None = HELD_OUT, rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``rows`` labelled rows of ``docs`` to a language.
 
-    Rows whose id falls in the held-out fold, rows without a language and texts over
-    ``SAMPLE_BYTES`` are left out; of the others those with the least hash of the id are taken.
+    Rows whose id falls in the held-out fold, rows without a language and texts that are null
+    or over ``SAMPLE_BYTES`` are left out; of the others those with the least hash of id and
+    text are taken, by language, and every language of the rest is learned. Without any, all
+    predictions are ``und``.
     """
     labelled = clash_free(docs, "doc_id", "text", "lang").where("lang is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
     if held_out is not None:
         labelled = labelled.where(~F.coalesce(fold(F.col("doc_id"), FOLDS) == held_out, F.lit(False)))
-    # a bound for each language from its id hashes: the sample comes without a sort of any language's rows
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200)
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
-    chosen = labelled.join(F.broadcast(sizes), "lang").where(key < F.lit(float(1 << 30)) * rows * 1.2 / F.col("count"))
-    got: dict[str, list] = {}
-    for r in chosen.select("lang", F.col("text").cast("binary").alias("text"), key.alias("key")).orderBy("key", "text").limit(rows * 40).toLocalIterator():
-        if len(of := got.setdefault(r.lang, [])) < rows:
-            of.append((bytes(r.text), r.key % 5 == 0))
-    flat = [(t, lang, c) for lang, of in sorted(got.items()) for t, c in of]
-    return fit([t for t, _, _ in flat], [x for _, x, _ in flat], [c for _, _, c in flat])
+    # a bound for each language from its hashes first, so that no language's rows are all sorted
+    sizes = stored(labelled.groupBy("lang").count(), "languages")
+    languages = sizes.count()
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages are more than the {LANGUAGES} that one model holds")
+    rows = min(rows, SAMPLE_TOTAL // max(1, languages))
+    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
+    near = labelled.join(F.broadcast(sizes), "lang").withColumn("key", key).where(F.col("key") < F.lit(float(1 << 30)) * (rows * 1.2 + 20) / F.col("count"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= rows).select("lang", "key", F.col("text").cast("binary").alias("text"))
+    flat = sorted((r.lang, r.key, bytes(r.text)) for r in chosen.toLocalIterator())
+    return fit([t for _, _, t in flat], [lang for lang, _, _ in flat], [k % 5 == 0 for _, k, _ in flat])
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L occurs; digits, numerals and marks are none."""
+    return any(map(str.isalpha, text))
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of ``docs``.
 
-    ``und`` with score 0 where the text is null or has no letter. ``rejected``: that, or a
-    probability below the calibrated least one. Repeated rows give repeated rows.
+    ``und`` with score 0 where the text is null or has no letter, the empty text included.
+    ``rejected``: that, or a probability below the calibrated least one. Texts are read whole,
+    in pieces of bounded size. Repeated rows give repeated rows, an empty table an empty one; no
+    column but doc_id and text is looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,24 +205,22 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
 def judge(values: list[bytes | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
     p = model.probabilities([v or b"" for v in values])
     best = p.argmax(axis=1)
-    none = [not v or LETTER.search(v.decode()) is None for v in values]
+    none = [not v or not has_letter(v.decode()) for v in values]
     scores = [0.0 if x else float(p[i, best[i]]) for i, x in enumerate(none)]
     return [UNKNOWN if x else model.languages[best[i]] for i, x in enumerate(none)], scores, [x or scores[i] < model.least for i, x in enumerate(none)]
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected; the model learns from the other folds."""
+    """doc_id, held_out, lang_pred, score, rejected; the model learns from the other folds.
+
+    A null id is held out of no fold. Edge cases as in ``train`` and ``predictions``.
+    """
     found = predictions(docs, train(docs))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` without the rows that the model rejects; all columns as they were."""
-    model = model or train(docs)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array([not x for x in judge(texts(b.column(at)), shared.value)[2]], pa.bool_()))
-
-    return per_batch(docs, kernel, docs.schema)
+    """``docs`` without the rows that the model rejects; all columns as they were, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    return filtered(docs, "text", lambda values: [not x for x in judge(values, shared.value)[2]])
