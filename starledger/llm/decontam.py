@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clash_free, per_batch, scratch, stored, texts, word_table
+from .common import by_position, clash_free, filtered, per_batch, scratch, stored, texts, word_table
 
 #: Fixed by the contract: words to a window and what a word is.
 WINDOW_WORDS = 10
@@ -28,8 +28,9 @@ SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 TABLE = word_table(SEPARATORS)
 #: The same words in a text that is not lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Characters of windows that one automaton holds; about 100 bytes of memory for each.
-BLOCK_CHARS = 2_000_000
+#: Characters of windows that one automaton holds; about 100 bytes of memory for each. An item
+#: that has a window counts as ``ITEM_CHARS`` of them, so windows of many items fill a block too.
+BLOCK_CHARS, ITEM_CHARS = 2_000_000, 8
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -105,13 +106,20 @@ def _scanner(windows: list) -> Scanner:
 
 
 def _blocks(windows: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[int | None]]]]:
-    """The windows with their items, a block at a time; one empty block if there are none."""
-    by_window = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull()).alias("bare"))
-    held: list = []
+    """The windows with their items, a block at a time; one empty block if there are none.
+
+    Rows come in order of window, a partition at a time, so no window's items are gathered by
+    Spark; the items of one window may go on in the next block.
+    """
+    held: list[tuple[str, list[int | None]]] = []
     size, given = 0, False
-    for r in by_window.toLocalIterator():
-        held.append((r.window, [*r["items"], *[None] * bool(r.bare)]))
-        size += len(r.window)
+    for r in windows.orderBy("window", "item_id").toLocalIterator():
+        if held and held[-1][0] == r.window:
+            held[-1][1].append(r.item_id)
+        else:
+            held.append((r.window, [r.item_id]))
+            size += len(r.window)
+        size += ITEM_CHARS
         if size >= block_chars:
             yield held
             held, size, given = [], 0, True
@@ -144,8 +152,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, block_char
 
     A range is from, to (word numbers, end exclusive) and start, end (code points of the
     original text, end exclusive). One row for each row of ``docs``. Null and empty texts have
-    no words and no hits; repeated rows give repeated rows; without items, or with items that
-    have no word, nothing is hit; other columns are not looked at.
+    no words and no hits; texts are scanned whole, in time and memory in proportion to their
+    length; repeated rows give repeated rows, an empty table an empty one; without items, or
+    with items that have no word, nothing is hit; other columns are not looked at.
     """
     docs = clash_free(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     blocks = _blocks(windows_of(items, size), block_chars)
@@ -173,41 +182,39 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, block_char
     return joined.join(ids, joined.doc_id == ids.row).select(F.col("id").alias("doc_id"), "n_words", merged.alias("ranges"), "items")
 
 
-def spans(docs: DataFrame, items: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, start, end: hit passages as code points of the original text, end exclusive."""
-    return hits(docs, items).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.start", "r.end")
+    return hits(docs, items, block_chars=block_chars).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.start", "r.end")
 
 
-def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
     n_hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r["to"] - r["from"])
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    found = hits(docs, items).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
+    found = hits(docs, items, block_chars=block_chars).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark window; all columns as they were."""
-    at = docs.columns.index("text")
-    blocks = _blocks(windows_of(items), BLOCK_CHARS)
+def clean(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark window; all columns as they were, whatever their names."""
+    blocks = _blocks(windows_of(items), block_chars)
     block, following = next(blocks), next(blocks, None)
-    while block is not None:
-        docs = _without(docs, at, block)
-        if following is not None:
-            docs = stored(docs, "cleaner")
-        block, following = following, next(blocks, None)
-    return docs
-
-
-def _without(docs: DataFrame, at: int, block: list[tuple[str, list[int | None]]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    if following is None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        scanner = _scanner(shared.value)
-        keep = [not scanner.scan(words_of(t))[0] for t in texts(b.column(at))]
-        return b.filter(pa.array(keep, pa.bool_()))
+        def keep(values: list[bytes | None]) -> list[bool]:
+            scanner = _scanner(shared.value)
+            return [not scanner.scan(words_of(t))[0] for t in values]
 
-    return per_batch(docs, kernel, docs.schema)
+        return filtered(docs, "text", keep)
+    # A benchmark beyond one automaton: each block adds the numbers of the rows that it hits.
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "leaks")
+    rows = stored(by_position(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), F.col(f"c{docs.columns.index('text')}").alias("text"))
+    while block is not None:
+        _scanned(numbered, block).where(F.size("ranges") > 0).select(F.col("doc_id").alias("row")).write.mode("append").parquet(path)
+        block, following = following, next(blocks, None)
+    return rows.join(spark.read.schema("row bigint").parquet(path), "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 ORACLE = r"""
