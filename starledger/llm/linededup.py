@@ -7,15 +7,18 @@ occurrences are removed: per document their positions are merged into covered st
 the text is put together from the stretches between them.
 
 The aggregation combines on the map side, so a window that a third of all documents share
-is a few partial rows; the join back is an inner equality join that AQE may split.
+is a few partial rows. The repeated windows are written and read back before the windows are
+joined to them: both sides of that join are then plain shuffles, so AQE splits the tasks of a
+window that stands in a large share of all documents. Its later occurrences are combined by
+document, again on the map side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clash_free
+from .common import by_position, clash_free, stored
 
 LINES = 3
 
@@ -40,38 +43,47 @@ def windows(docs: DataFrame) -> DataFrame:
     return spread.where("w.full").select("doc_id", "mark", "w.pos", "w.w1", "w.w2")
 
 
+def repeated(found: DataFrame) -> DataFrame:
+    """(w1, w2, first): windows found more than once, with their first occurrence."""
+    firsts = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "pos")).alias("first")).where("n > 1").drop("n")
+    return stored(firsts, "repeated-windows")
+
+
 def later_occurrences(found: DataFrame) -> DataFrame:
     """(doc_id, mark, pos): windows that are not the first occurrence of their kind."""
-    firsts = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "pos")).alias("first")).where("n > 1").drop("n")
-    return found.join(firsts, ["w1", "w2"]).where(F.struct("doc_id", "mark", "pos") != F.col("first")).select("doc_id", "mark", "pos")
+    joined = found.join(repeated(found), ["w1", "w2"])
+    return joined.where(~F.struct("doc_id", "mark", "pos").eqNullSafe(F.col("first"))).select("doc_id", "mark", "pos")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with later occurrences of repeated windows cut out of ``text``; n_lines, n_removed.
 
-    Other columns are untouched and no row is dropped: a text whose lines all go is empty. A
-    null text stays null with no lines; a text of fewer than three lines has no window and is
-    kept whole. Rows that repeat doc_id and text are one occurrence and all keep the same
-    text; a null doc_id counts as the least. Columns of ``docs`` named n_lines or n_removed
-    are replaced.
+    Other columns are untouched, whatever their names, and no row is dropped: a text whose
+    lines all go is empty. A null text stays null with no lines; a text of fewer than three
+    lines has no window and is kept whole, the empty text included; long texts are cut whole,
+    a window at a time. Rows that repeat doc_id and text are one occurrence and all keep the
+    same text; among equal doc_ids the lesser hash of the text is first; a null doc_id counts
+    as the least. An empty table gives an empty one. Columns of ``docs`` named n_lines or
+    n_removed are replaced.
     """
-    doc, mark = F.col("doc_id"), F.col("mark")
     later = later_occurrences(windows(clash_free(docs, "doc_id", "text")))
-    by_doc = Window.partitionBy("doc_id", "mark").orderBy("pos")
-    gaps = later.withColumn("since", F.coalesce(F.lag("pos").over(by_doc) + LINES, F.lit(0)))
-    cuts = gaps.groupBy("doc_id", "mark").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("since"), F.struct(F.col("since").alias("from"), (F.col("pos") - F.col("since")).alias("n"))))).alias("kept"),
-        (F.max("pos") + LINES).alias("tail"),
-    )
-    cuts = cuts.select(doc.alias("__cut_doc"), mark.alias("__cut_mark"), F.col("kept").alias("__kept"), F.col("tail").alias("__tail"))
-    joined = docs.withColumn("__cut_by", F.xxhash64("text")).join(cuts, doc.eqNullSafe(F.col("__cut_doc")) & (F.col("__cut_by") == F.col("__cut_mark")), "left")
-    lines = F.split("text", "\n")
-    joined = joined.withColumn("__cut_lines", F.when(F.col("__tail").isNotNull(), F.concat(F.flatten(F.transform("__kept", lambda s: F.slice(lines, s["from"] + 1, s["n"]))), F.slice(lines, F.col("__tail") + 1, F.greatest(F.size(lines) - F.col("__tail"), F.lit(0))))))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    n_removed = F.coalesce(n_lines - F.size("__cut_lines"), F.lit(0)).cast("bigint")
-    text = F.when(F.col("__tail").isNull(), F.col("text")).otherwise(F.array_join("__cut_lines", "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    # positions of a document's later windows, each once; a stretch before each that none covers stays
+    at = later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    since = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("at", i - 1) + LINES)
+    stretches = F.transform("at", lambda pos, i: F.struct(since(i).alias("from"), (pos - since(i)).alias("n")))
+    cuts = at.select(F.col("doc_id").alias("cut_doc"), F.col("mark").alias("cut_mark"), F.filter(stretches, lambda x: x["n"] > 0).alias("kept"), (F.element_at("at", -1) + LINES).alias("tail"))
+    flat, names = by_position(docs), docs.columns
+    doc, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
+    joined = flat.withColumn("cut_by", F.xxhash64(text)).join(cuts, doc.eqNullSafe(F.col("cut_doc")) & (F.col("cut_by") == F.col("cut_mark")), "left")
+    lines = F.split(text, "\n")
+    rest = F.concat(F.flatten(F.transform("kept", lambda s: F.slice(lines, s["from"] + 1, s["n"]))), F.slice(lines, F.col("tail") + 1, F.greatest(F.size(lines) - F.col("tail"), F.lit(0))))
+    joined = joined.withColumn("left_lines", F.when(F.col("tail").isNotNull(), rest))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    n_removed = F.coalesce(n_lines - F.size("left_lines"), F.lit(0)).cast("bigint")
+    new_text = F.when(F.col("tail").isNull(), text).otherwise(F.array_join("left_lines", "\n"))
+    kept = [i for i, n in enumerate(names) if n not in ("n_lines", "n_removed")]
+    columns = [new_text.alias(f"c{i}") if i == names.index("text") else F.col(f"c{i}") for i in kept]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed")).toDF(*[names[i] for i in kept], "n_lines", "n_removed")
 
 
 def report(docs: DataFrame) -> DataFrame:
