@@ -12,9 +12,11 @@ of data which hold checksums stay sound. CRC-32 is zlib's. Beside the shards lie
 Parquet: doc_id, shard, offset and length of the record, n_tokens, and start, the number of
 ids in all documents before it, so that any record is read by one seek in any order.
 
-Documents are dealt by ranges of doc_id, sorted within a range and written by one task a
-range. A shard appears under its name by a rename once it is whole, so a task that is lost
-or run twice leaves one whole shard.
+Documents are dealt by ranges of doc_id and a hash of the text, so that the rows of one id can
+be more than one shard, sorted within a range and written by one task a range. A shard appears
+under its name by a rename once it is whole, so a task that is lost or run twice leaves one
+whole shard; drafts of tasks that were cut off are removed at the end. The index is the folder
+``index`` beside the shards, and ``open_index`` reads it.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clash_free, cuts, per_batch, scratch, stored, texts
+from .common import clash_free, cuts, discard, per_batch, scratch, stored_at, texts
 
 #: Mask of the checksums, end id of the contract.
 MASK_DELTA = 0xA282EAD8
@@ -46,6 +48,8 @@ MEMORY = 250_000
 LATIN = [c for c in range(0x41, 0x180) if chr(c).isalpha() and c != 0x130]
 LATIN_WORD = re.compile("[" + "".join(map(chr, LATIN)) + "]+")
 MARKS = b".,;:!?*%$&#|)"
+#: Shards whose first ids a broadcast may hold; beyond, they are joined by a shuffle.
+BROADCAST_SHARDS = 100_000
 INDEX_SCHEMA = "doc_id bigint, shard string, offset bigint, length bigint, n_tokens bigint, part int, place bigint"
 
 
@@ -160,11 +164,13 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:
-    """Writes the shards and the index below ``folder``; returns the index with start.
+    """Writes the shards and the index below ``folder``; returns the index.
 
-    doc_id, shard, offset, length, n_tokens, start: one row for each row of ``docs``. A null
-    text is an empty one; a null doc_id comes first; rows of one doc_id lie in one shard, in
-    the order of their text. An empty table makes an empty index and no shard.
+    doc_id, shard, offset, length, n_tokens, start, width: one row for each row of ``docs``. A
+    null text is an empty one, and its record holds the end id alone; a long text is one
+    record, encoded whole; a null doc_id comes first; rows of one doc_id lie in the order of a
+    hash of their text, and equal rows are repeated. An empty table makes an empty index and no
+    shard. No column but doc_id and text is looked at.
     """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
@@ -172,8 +178,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
     width = 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1) <= 1 << 16 else 4
     end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
     # the range's number goes with the rows: partitions of later reads need not keep it
-    rows = clash_free(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = clash_free(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -206,17 +212,28 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
         if f is not None:
             fs.move(draft, str(PurePosixPath(base, name)))
 
-    index = stored(rows.mapInArrow(write, INDEX_SCHEMA), "index")
-    # one number a shard: ids in all shards before it
-    totals = index.groupBy("part").agg(F.sum("n_tokens").alias("total")).orderBy("part").collect()
-    before, bases = 0, []
-    for r in totals:
-        bases.append((r.part, before))
-        before += r.total
-    shards = spark.createDataFrame(bases, "part int, base bigint")
+    drafted, drafted_at = stored_at(rows.mapInArrow(write, INDEX_SCHEMA), "index")
+    # ids in all shards before each: a row a shard, so at most the shuffle's partitions
+    totals = drafted.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("part", before.alias("base"))
+    if bases.count() <= BROADCAST_SHARDS:
+        bases = F.broadcast(bases)
     # within a shard the running sum follows from the offsets: a record has 16 bytes besides its ids
     start = F.col("base") + ((F.col("offset") - 16 * F.col("place")) / width).cast("bigint")
-    return index.join(F.broadcast(shards), "part").select("doc_id", "shard", "offset", "length", "n_tokens", start.alias("start"), F.lit(width).alias("width"))
+    index = drafted.join(bases, "part").select("doc_id", "shard", "offset", "length", "n_tokens", start.alias("start"), F.lit(width).alias("width"))
+    index.write.parquet(f"{folder}/index")
+    discard(spark, drafted_at)
+    fs, base = _place(folder)
+    for info in fs.get_file_info(pafs.FileSelector(base)):
+        if info.base_name.startswith(".shard-"):
+            fs.delete_file(info.path)
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of records that ``write_records`` wrote below ``folder``, for ``read_records``."""
+    return spark.read.parquet(f"{folder}/index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -260,5 +277,4 @@ def digests(index: DataFrame, folder: str) -> DataFrame:
 def written(docs: DataFrame, spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
     """Writes ``docs`` to a fresh folder in the shared one and reports what the files hold."""
     folder = scratch(spark, "records")
-    index = stored(write_records(docs, folder, vocabulary or vocabulary_path()), "offsets")
-    return digests(index, folder)
+    return digests(write_records(docs, folder, vocabulary or vocabulary_path()), folder)
