@@ -1,21 +1,26 @@
 """Main text of web pages by removing what a site repeats.
 
-Every page is parsed into an element tree. A subtree is known by a hash of its tags and text.
-Spark counts, for each host, in how many different pages each subtree stands, where pages
-with the same article are one page; subtrees that stand in many pages of a host are its
-template and are deleted, as are elements that say by tag, role or class that they are no
-article: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments. What is left of the article is put out block by block.
-
-Within an article a subtree must stand in half of a host's pages to be template, elsewhere
-in a tenth, and always in at least ``LEAST_PAGES``; what is template at the one place only is
-deleted at that place only, so what articles quote stays.
+Every page is parsed into an element tree, in time in proportion to its length. A subtree is
+known by a hash of its tags and text. Spark counts, for each host, in how many different pages
+each subtree stands, where pages with the same text are one page; subtrees that stand in many
+pages of a host are its template and are deleted. Within an article a subtree must stand in
+half of a host's pages to be template, elsewhere in a tenth, and always in at least
+``LEAST_PAGES``; what is template at the one place only is deleted at that place only, so what
+articles quote stays.
+
+Counts say nothing about what differs from page to page, nor on a host of few pages. There
+the markup itself does: tags that are never text (navigation, footers, asides, forms, scripts,
+styles), hidden elements, and the two things that HTML has no tag for, adverts and reader
+comments, by a name of their own. If a page marks articles, their text is the text, all of
+them in page order; if not, its main part; if it marks neither, all of it but headers, lists of
+links and elements named as furniture. What is left is put out block by block.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,144 +44,122 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "html", "body", "summary"}
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-#: Words of class, id or role that name what is no article.
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored sponsors promo promoted promotion sidebar sidebars aside rail widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs toc pager pagination footer foot colophon copyright masthead topbar toolbar skip "
-    "cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login paywall share sharing social follow related recommended recommendations trending popular comment comments commentlist replies reply respond disqus discussion search searchbox form complementary contentinfo dialog tags taglist".split()
-)
-#: Such words that count outside an article only.
-NOISE_OUTSIDE = frozenset("header head top bottom site logo brand".split())
-COMMENT = frozenset("comment comments commentlist reply replies respond".split())
+#: Whole names (class or id) of adverts and reader comments, wherever they stand.
+ADVERTS = frozenset("ad ads advert adverts advertisement adsbygoogle ad-slot ad-banner sponsored".split())
+COMMENTS = frozenset("comment comments comment-list commentlist comments-area comment-body comment-respond respond disqus_thread".split())
+#: Names, or parts of names, of furniture; they count on pages without article and main part only,
+#: and never for an element that holds most of the page's text.
+FURNITURE = frozenset("ad ads advert banner sponsor promo sidebar widget menu nav navbar breadcrumb breadcrumbs toc pager pagination footer copyright masthead topbar toolbar cookie cookies consent gdpr notice popup modal newsletter subscribe login share sharing social related recommended trending comments search".split())
+HEADERS = frozenset(("header", "site-header", "page-header"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+PART = re.compile(r"[a-z0-9]+")
 CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "noise", "outside", "main", "named", "cut", "children", "digest")
+    __slots__ = ("tag", "drop", "main", "furniture", "children", "digest")
 
-    def __init__(self, tag: str, noise: bool = False, outside: bool = False, main: bool = False):
-        self.tag, self.noise, self.outside, self.main = tag, noise, outside, main
-        self.named = False  # noise by class, id, role or hiding, not by tag
-        self.cut = False  # hidden, or reader comments: no article however much it holds
+    def __init__(self, tag: str, drop: bool = False, main: bool = False, furniture: bool = False):
+        self.tag, self.drop, self.main, self.furniture = tag, drop, main, furniture
         self.children: list[Node | str] = []
         self.digest = 0
 
 
 def _node(tag: str, attributes: str) -> Node:
-    node = Node(tag, noise=tag in DROPPED, outside=tag == "header", main=tag == "main")
-    if attributes and "=" in attributes or "hidden" in attributes:
-        words = words_of(attributes)
-        node.noise |= not NOISE.isdisjoint(words)
-        node.outside |= not NOISE_OUTSIDE.isdisjoint(words)
-        for name, a, b, c in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), a or b or c
-            if name == "role":
-                node.main |= value.lower() == "main"
-            elif name == "itemprop":
-                node.main |= value.lower() == "articlebody"
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                node.noise = node.cut = True
-        node.cut |= not COMMENT.isdisjoint(words) and words.isdisjoint(("with", "has", "no"))
-        node.named = node.noise and tag not in DROPPED
-        if tag == "article" and node.noise:  # an article's many labels say little, but a comment is one
-            node.noise = node.named = not COMMENT.isdisjoint(words_of(attributes))
-        elif tag == "main":
-            node.noise = node.named = False
+    node = Node(tag, drop=tag in DROPPED, main=tag == "main", furniture=tag == "header")
+    if "=" not in attributes and "hidden" not in attributes:
+        return node
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id"):
+            names = value.split()
+            node.drop |= not ADVERTS.isdisjoint(names) or not COMMENTS.isdisjoint(names)
+            node.furniture |= any(n in FURNITURE or n in HEADERS or not FURNITURE.isdisjoint(PART.findall(n)) for n in names)
+        elif name == "role":
+            node.main |= value == "main"
+            node.furniture |= value == "banner"
+            node.drop |= value in ("navigation", "contentinfo", "complementary", "search", "dialog")
+        elif name == "itemprop":
+            node.main |= value == "articlebody"
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            node.drop = True
+    if tag == "main":
+        node.drop = False
     return node
 
 
-def words_of(attributes: str) -> set[str]:
-    return {w.lower() for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") for w in WORDS.findall(a or b or c)}
+class _Open:
+    """The elements that are open, with the places of each tag and of blocks, so that no end tag is searched for."""
 
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], defaultdict(list), [0]
 
-def _spare_wrappers(root: Node) -> None:
-    """A wrapper named after its layout ("with-sidebar") is no noise where it holds the article, or most of an article's text."""
-    nodes = _walk(root)
-    holds: set[int] = set()
-    for node in reversed(nodes):
-        if any(isinstance(c, Node) and (id(c) in holds or (c.tag == "article" or c.main) and not c.noise) for c in node.children):
-            holds.add(id(node))
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.tag != "article":
-            if node.named and id(node) in holds:
-                node.noise = False
-            todo.extend(c for c in node.children if isinstance(c, Node))
-    article = article_of(root)
-    inner = _walk(article) if article else []
-    if not any(n.named for n in inner):
-        return
-    sizes: dict[int, int] = {}
-    for n in reversed(inner):
-        sizes[id(n)] = sum(sizes[id(c)] if isinstance(c, Node) else len("".join(c.split())) for c in n.children)
-    for n in inner[1:]:
-        if n.named and not n.cut and sizes[id(n)] * 2 > sizes[id(article)]:
-            n.noise = False
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at ``place`` and all within it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def start(self, tag: str) -> None:
+        """Closes what a start tag ends."""
+        if tag in ENDS_P and self.stack[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in ENDS and (place := self.last(ENDS[tag])) > self.last(SCOPE[tag]):
+            self.cut(place)
+
+    def end(self, tag: str) -> None:
+        """Closes the nearest element of the tag; an inline end tag does not reach across a block."""
+        if (places := self.at[tag]) and (tag in BLOCK or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
 
 
 def parse(html: str) -> Node:
     """The element tree of a page, however broken: text children are decoded strings."""
-    root, named = Node("html"), False
-    stack = [root]
+    root = Node("html")
+    held = _Open(root)
     pos, end = 0, len(html)
     while pos < end:
         m = TOKEN.search(html, pos)
         text = html[pos : m.start() if m else end]
         if text:
-            stack[-1].children.append(htmllib.unescape(text) if "&" in text else text)
+            held.stack[-1].children.append(htmllib.unescape(text) if "&" in text else text)
         if not m:
             break
         pos = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if m[0].startswith("<![CDATA["):
-            stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+            held.stack[-1].children.append(m[0][9:].removesuffix("]]>"))
         if not tag:
             continue
         tag = tag.lower()
         if closing:
-            if tag in RAW:
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag does not reach across a block
-            continue
-        if tag in RAW:
+            if tag not in RAW:
+                held.end(tag)
+        elif tag in RAW:
             if not attributes.endswith("/") or tag not in ("svg", "math"):
                 found = CLOSE[tag].search(html, pos)
                 pos = found.end() if found else end
-            continue
-        if tag in ("html", "body"):
-            continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        for i in range(len(stack) - 1, 0, -1):
-            if tag not in ENDS or stack[i].tag in SCOPE[tag]:
-                break
-            if stack[i].tag in ENDS[tag]:
-                del stack[i:]
-                break
-        if tag == "br" or tag == "wbr":
-            stack[-1].children.append(" " if tag == "br" else "")
-            continue
-        node = _node(tag, attributes)
-        stack[-1].children.append(node)
-        named |= node.named
-        if tag not in VOID:
-            stack.append(node)
-    if named:
-        _spare_wrappers(root)
+        elif tag == "br" or tag == "wbr":
+            held.stack[-1].children.append(" " if tag == "br" else "")
+        elif tag not in ("html", "body"):
+            held.start(tag)
+            node = _node(tag, attributes)
+            held.stack[-1].children.append(node)
+            if tag not in VOID:
+                held.push(node)
     return root
 
 
@@ -204,49 +187,47 @@ def _digests(root: Node) -> list[Node]:
     return nodes
 
 
-def article_of(root: Node) -> Node | None:
-    """The article: the largest outermost one outside noise, else what says it is the main part."""
-    found: list[tuple[Node, bool]] = []
-    todo = [root]
+def articles_of(root: Node) -> list[Node]:
+    """The outermost articles in page order, or the outermost main parts where there is no article."""
+    articles, mains = [], []
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
-        if node.noise or node.outside and node is not root:
+        node, in_main = todo.pop()
+        if node.drop:
+            continue
+        if node.tag == "article":
+            articles.append(node)
             continue
-        if node.tag == "article" or node.main:
-            found.append((node, node.tag == "article"))
-            if node.tag == "article":
-                continue
-        todo.extend(c for c in node.children if isinstance(c, Node))
-    if not found:
-        return None
-    articles = [n for n, x in found if x]
-    return max(articles or [n for n, _ in found], key=lambda n: sum(len(c) for x in _walk(n) for c in x.children if isinstance(c, str)))
-
-
-def _menus(root: Node) -> set[int]:
-    """Elements (by id) that hold three links or more and no text besides."""
+        if node.main and not in_main:
+            mains.append(node)
+        todo.extend((c, in_main or node.main) for c in reversed(node.children) if isinstance(c, Node))
+    return articles or mains
+
+
+def _furniture(root: Node) -> set[int]:
+    """Elements (by id) that are headers, lists of links or named as furniture, on a page without an article."""
     nodes, sizes = _walk(root), {}
     for node in reversed(nodes):
         text = links = count = 0
         for c in node.children:
             if isinstance(c, str):
                 text += len("".join(c.split()))
-            else:
+            elif not c.drop:
                 t, n, k = sizes[id(c)]
                 text, links, count = text + t, links + n, count + k
         sizes[id(node)] = (text, text, 1) if node.tag == "a" else (text, links, count)
-    return {i for i, (text, links, count) in sizes.items() if count >= 3 and text == links}
+    most = sizes[id(root)][0] / 2
+    return {id(n) for n in nodes if n.furniture and sizes[id(n)][0] <= most or sizes[id(n)][2] >= 3 and sizes[id(n)][0] == sizes[id(n)][1]}
 
 
 def main_text(root: Node, inside: frozenset[int] | set[int] = frozenset(), outside: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article, or of the page without one, joined by newlines.
+    """Blocks of the articles, or of the page without one, joined by newlines.
 
     ``inside`` and ``outside`` are the digests that are template within an article and elsewhere.
-    Where no element is the article, lists of links are menus.
     """
-    article = article_of(root)
-    template = outside if article is None else inside
-    menus = _menus(root) if article is None else ()
+    articles = articles_of(root)
+    template = inside if articles else outside
+    gone = () if articles else _furniture(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -255,14 +236,14 @@ def main_text(root: Node, inside: frozenset[int] | set[int] = frozenset(), outsi
             blocks.append(t)
         run.clear()
 
-    todo: list[Node | str | None] = [article or root]
+    todo: list[Node | str | None] = list(reversed(articles)) or [root]
     while todo:
         x = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x.noise or x.outside and article is None or template and x.digest in template or id(x) in menus:
+        elif x.drop or template and x.digest in template or id(x) in gone:
             flush() if x.tag in BLOCK else None
         else:
             if x.tag in BLOCK:
@@ -274,12 +255,13 @@ def main_text(root: Node, inside: frozenset[int] | set[int] = frozenset(), outsi
 
 
 def subtrees(html: str | None) -> tuple[int, list[int], list[int]]:
-    """(digest of the article's text, subtrees inside the article, subtrees outside it)."""
+    """(digest of the page's text, subtrees inside its articles, subtrees outside them), each once."""
     root = parse(html or "")
     nodes = _digests(root)
-    article = article_of(root)
-    inside = {n.digest for n in _walk(article)[1:]} - {0} if article else set()
-    within = {id(n) for n in _walk(article)} if article else set()
+    articles = articles_of(root)
+    inner = [n for a in articles for n in _walk(a)]
+    within = {id(n) for n in inner}
+    inside = {n.digest for n in inner} - {a.digest for a in articles} - {0}
     outside = {n.digest for n in nodes if id(n) not in within} - {0, root.digest}
     return xxh64_intdigest(main_text(root)) & 0x7FFFFFFFFFFFFFFF, sorted(inside), sorted(outside)
 
@@ -292,7 +274,9 @@ def with_host(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, least: int = LEAST_PAGES, inside: float = SHARE_INSIDE, outside: float = SHARE_OUTSIDE) -> DataFrame:
     """(host, inside, outside): the digests that are template on a host within articles and elsewhere, as two arrays a host.
 
-    Their length is bounded by the subtrees of a page over the least share.
+    Their length is bounded by the subtrees of a page over the least share. A page counts once
+    for all copies of its text, and so does a subtree within a page; pages without html count
+    as one empty page.
     """
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -322,21 +306,36 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
     A null or empty html gives an empty text. Pages without a readable host share the empty
-    host. Repeated rows give repeated rows.
+    host. Long pages are parsed whole, in time in proportion to their length. Repeated rows
+    give repeated rows, an empty table an empty one; no column but page_id, url and html is
+    looked at.
     """
-    known = stored(templates(pages), "templates")
+    spark, known = pages.sparkSession, stored(templates(pages), "templates")
+    rows = with_host(pages).select(F.col("page_id").cast("bigint"), "url", "html", "host")
     size = known.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("inside") + F.size("outside")), F.lit(0)).alias("subtrees")).first()
     if size.hosts <= BROADCAST_HOSTS and size.subtrees <= BROADCAST_SUBTREES:
-        known = F.broadcast(known)
-    joined = with_host(pages).join(known, "host", "left").select(F.col("page_id").cast("bigint"), "url", "html", "inside", "outside")
+        shared = spark.sparkContext.broadcast({r.host: (frozenset(r.inside), frozenset(r.outside)) for r in known.toLocalIterator()})
+        return per_batch(rows, lambda b: _extracted(b, shared.value), EXTRACTED)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for html, inside, outside in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            root = parse(html or "")
-            if inside or outside:
-                _digests(root)
-            out.append(main_text(root, set(inside or ()), set(outside or ())))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return per_batch(joined, kernel, "page_id bigint, url string, text string, n_chars bigint")
+        sets: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
+        for host, inside, outside in zip(b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+            if host not in sets:
+                sets[host] = frozenset(inside.as_py() or ()), frozenset(outside.as_py() or ())
+        return _extracted(b, sets)
+
+    return per_batch(rows.join(known, "host", "left").select("page_id", "url", "html", "host", "inside", "outside"), kernel, EXTRACTED)
+
+
+EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
+
+
+def _extracted(b: pa.RecordBatch, sets: dict[str, tuple[frozenset[int], frozenset[int]]]) -> pa.RecordBatch:
+    out = []
+    for html, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        root = parse(html or "")
+        inside, outside = sets.get(host, (frozenset(), frozenset()))
+        if inside or outside:
+            _digests(root)
+        out.append(main_text(root, inside, outside))
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
