@@ -7,7 +7,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import by_batches
+from .ordering import by_batches, with_previous
 
 
 def union_tagged(tables: dict[str, DataFrame], tag: str = "kind") -> DataFrame:
@@ -62,13 +62,19 @@ def suppressed(notes: DataFrame, by: list[str], time: str, seconds: int) -> Data
 
     A gap of at least the interval always starts anew, so notes are cut into islands at such
     gaps, the islands are dealt out, and each is read once in order with one number of state.
+    Gaps are found, and islands named by the time they begin, day by day, so a key that holds
+    a large share of all notes is no hot task until its notes leave no gap.
     """
-    w = Window.partitionBy(*by).orderBy(time, "id")
-    gap = F.col(time) - F.lag(time).over(w)
-    opens = F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0)
-    islands = notes.withColumn("opens", opens).withColumn("island", F.concat_ws("/", *[F.col(c).cast("string") for c in by], F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string")))
-    rows = islands.select("id", "island", F.col(time).alias("t"))
-    return by_batches(rows, "island", ["t", "id"], partial(Suppression, seconds), "id bigint, shown boolean").where("shown").select("id")
+    keyed = notes.select("id", F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]).alias("key"), F.col(time).alias("t"), F.timestamp_seconds(time).alias("at"))
+    rows = with_previous(keyed, ["t"], "key", ("at", "id"))
+    opens = F.when(F.col("previous").isNull() | (F.col("t") - F.col("previous.t") >= seconds), F.col("t"))
+    begun = rows.select("id", "key", "t", "at", F.to_date("at").alias("day"), opens.alias("opens"))
+    days = begun.groupBy("key", "day").agg(F.max("opens").alias("opened"))
+    past = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("key", "day", F.max("opened").over(past).alias("before"))
+    today = Window.partitionBy("key", "day").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    islands = begun.join(before, ["key", "day"]).select("id", "t", F.concat_ws("/", "key", F.coalesce(F.max("opens").over(today), "before").cast("string")).alias("island"))
+    return by_batches(islands, "island", ["t", "id"], partial(Suppression, seconds), "id bigint, shown boolean").where("shown").select("id")
 
 
 def cascade(parents: DataFrame, deleted: Column, children: DataFrame, key: str, child_key: str) -> DataFrame:

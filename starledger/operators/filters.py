@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
 
 def optional(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """All the conditions that were given."""
@@ -43,10 +45,9 @@ def json_flag(column: str, path: str) -> Column:
     return F.get_json_object(column, path).cast("boolean")
 
 
-def every_nth(df: DataFrame, n: int, order: list[Column], by: list[str]) -> DataFrame:
-    """Each n-th row of a group in order."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("at", at).where(F.col("at") % n == 0).drop("at")
+def every_nth(df: DataFrame, n: int, order: list[Column], by: list[str], slots: list[Column]) -> DataFrame:
+    """Each n-th row of a group in order; ``slots`` cut the order, as in ``placed``."""
+    return placed(df, by, slots, order).where(F.col("at") % n == 0).drop("at")
 
 
 def relative_path(filename: str | Column, root: str) -> Column:

@@ -66,7 +66,8 @@ def deviation_stretch(px: DataFrame, sigmas: float, top: int = 255) -> DataFrame
     stats = px.groupBy("frame").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
     low = F.greatest(F.lit(0.0), F.col("mean") - sigmas * F.col("deviation"))
     out = F.least(F.lit(float(top)), F.greatest(F.lit(0.0), (F.col("v") - low) * top / (top - low)))
-    return px.join(stats, "frame").withColumn("v", F.floor(out).cast("int")).drop("mean", "deviation")
+    # rounded first, so that a level that is a whole number but for its last bits is not cut below it
+    return px.join(stats, "frame").withColumn("v", F.floor(F.round(out, 6)).cast("int")).drop("mean", "deviation")
 
 
 def midtones(x: Column, m: Column | float) -> Column:

@@ -36,15 +36,63 @@ def lags(frames: DataFrame) -> DataFrame:
     return rows.select("id", "camera_id", "create_date", ((micros("create_date") - micros("previous.create_date")) / 1e6).alias("period"), (F.col("elapsed") - F.col("exposure")).alias("delta"))
 
 
+def placed(df: DataFrame, by: list[str], slots: list[Column], order: list[Column], name: str = "at") -> DataFrame:
+    """``df`` with each row's number in order within its key, from 1.
+
+    A key may hold a large share of all rows, so it is cut into slots that come in the same
+    order: rows are numbered within a slot, and what the slots before hold is added, which
+    is one small row a slot.
+    """
+    names = [f"__slot{i}" for i in range(len(slots))]
+    rows = df.withColumns(dict(zip(names, slots, strict=True)))
+    earlier = Window.partitionBy(*by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by, *names).count().select(*by, *names, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*by, *names).orderBy(*order))
+    return rows.join(before, [*by, *names]).withColumn(name, F.col("__before") + within).drop(*names, "__before")
+
+
+def with_run_up(df: DataFrame, by: str, most: int, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """``df`` cut by day, each day after the ``most`` rows of its key before it.
+
+    Adds ``day`` and ``run_up``, which marks the rows that are there for a window's sake only.
+    The last rows of a day stand in for it, so a key that holds a large share of all rows is
+    no hot task.
+    """
+    rows = df.withColumn("day", F.to_date(order[0]))
+    nth = F.row_number().over(Window.partitionBy(by, "day").orderBy(*[F.desc(c) for c in order]))
+    ends = rows.withColumn("nth", nth).where(F.col("nth") <= most).groupBy(by, "day").agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row")))).alias("end"))
+    days = Window.partitionBy(by).orderBy("day")
+    past = ends.select("day", F.flatten(F.collect_list("end").over(days.rowsBetween(-most, -1))).alias("past"))
+    last = F.slice("past", F.greatest(F.size("past") - most + 1, F.lit(1)), most)
+    tails = past.select("day", F.explode(last).alias("t")).select("t.row.*", "day", F.lit(True).alias("run_up"))
+    return rows.withColumn("run_up", F.lit(False)).unionByName(tails)
+
+
 def moving_average(frames: DataFrame, value: str, reset: Column, size: int = HISTORY) -> DataFrame:
     """Mean of the last ``size`` values since the last reset, null until there are as many.
 
-    A reset row starts a new history that it belongs to.
+    A reset row starts a new history that it belongs to. Resets are counted by day first.
     """
-    order = Window.partitionBy("camera_id").orderBy("create_date", "id")
-    runs = frames.withColumn("run", F.sum(reset.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("camera_id", "run").orderBy("create_date", "id").rowsBetween(-(size - 1), 0)
-    return runs.withColumn("mean", F.when(F.count(value).over(w) == size, F.avg(value).over(w)))
+    rows = frames.withColumns({"__day": F.to_date("create_date"), "__reset": reset.cast("int")})
+    days = rows.groupBy("camera_id", "__day").agg(F.sum("__reset").alias("n"))
+    past = Window.partitionBy("camera_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("camera_id", "__day", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__before"))
+    today = Window.partitionBy("camera_id", "__day").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.join(before, ["camera_id", "__day"]).withColumn("run", F.col("__before") + F.sum("__reset").over(today)).drop("__day", "__reset", "__before")
+    w = Window.partitionBy("camera_id", "day", "run").orderBy(*ORDER).rowsBetween(-(size - 1), 0)
+    means = with_run_up(runs, "camera_id", size - 1).withColumn("mean", F.when(F.count(value).over(w) == size, F.avg(value).over(w)))
+    return means.where("not run_up").drop("day", "run_up")
+
+
+def held(frames: DataFrame, reading: Column) -> DataFrame:
+    """Id and reading: the last reading of the key up to each row, by day, as in ``with_previous``."""
+    rows = frames.select("id", "camera_id", "create_date", F.to_date("create_date").alias("day"), reading.alias("reading"))
+    ends = rows.where("reading is not null").groupBy("camera_id", "day").agg(F.max_by("reading", F.struct(*ORDER)).alias("end"))
+    days = rows.select("camera_id", "day").distinct().join(ends, ["camera_id", "day"], "left")
+    past = Window.partitionBy("camera_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("camera_id", "day", F.last("end", ignorenulls=True).over(past).alias("before"))
+    today = Window.partitionBy("camera_id", "day").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, ["camera_id", "day"]).select("id", F.coalesce(F.last("reading", ignorenulls=True).over(today), "before").alias("reading"))
 
 
 def by_batches(df: DataFrame, key: str, order: list[str], machine, schema: str) -> DataFrame:
@@ -69,25 +117,33 @@ def by_batches(df: DataFrame, key: str, order: list[str], machine, schema: str)
 
 
 class Exposure:
-    """The controller's state. The target counts as found when the mean of the last six
-    values is within ``deviation`` of it; it is lost when a value is beyond ``lost`` of it, and
-    the history starts again. Until found, and when lost, each value moves the exposure."""
+    """The controller's state. Until the target is found, a value within the deviation of it
+    finds it, becomes the level to hold and starts an empty history; any other value moves the
+    exposure. Then the target is lost when the mean of a full history is beyond the deviation
+    of that level. Short exposures have the wider deviation and move half the way.
+    """
+
+    #: Below this exposure (seconds) it is bright day; deviation and scale of day and night.
+    BRIGHT, DAY, NIGHT = 0.001, (20.0, 0.5), (10.0, 1.0)
 
-    def __init__(self, target: float = 75.0, deviation: float = 25.0, lost: float = 60.0, scale: float = 0.5, exposure: float = 1.0):
-        self.target, self.deviation, self.lost, self.scale = target, deviation, lost, scale
+    def __init__(self, target: float = 75.0, exposure: float = 1.0, shortest: float = 1e-5, longest: float = 60.0):
+        self.target, self.exposure, self.shortest, self.longest = target, exposure, shortest, longest
         self.history: list[float] = []
-        self.found, self.exposure = False, exposure
+        self.found, self.level = False, 0.0
 
     def step(self, adu: float) -> tuple[bool, float]:
-        if self.found and abs(adu - self.target) > self.lost:
-            self.found, self.history = False, []
-        self.history = [*self.history, adu][-HISTORY:]
-        mean = sum(self.history) / len(self.history)
+        adu = adu if adu > 0 else 0.1
+        deviation, scale = self.DAY if self.exposure < self.BRIGHT else self.NIGHT
         if not self.found:
-            if len(self.history) == HISTORY and abs(mean - self.target) <= self.deviation:
-                self.found = True
-            elif adu > 0:
-                self.exposure = min(60.0, max(1e-5, self.exposure - (self.exposure - self.exposure * (self.target / adu)) * self.scale))
+            if abs(adu - self.target) <= deviation:
+                self.found, self.level, self.history = True, adu, []
+            else:
+                moved = self.exposure - (self.exposure - self.exposure * (self.target / adu)) * scale
+                self.exposure = min(self.longest, max(self.shortest, moved))
+        else:
+            self.history = [*self.history, adu][-HISTORY:]
+            if len(self.history) == HISTORY and abs(sum(self.history) / HISTORY - self.level) > deviation:
+                self.found = False
         return self.found, self.exposure
 
     def feed(self, row: dict) -> dict:

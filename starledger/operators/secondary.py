@@ -7,19 +7,25 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import by_batches
+from starledger.sources.sinks import stored
+
+from .ordering import by_batches, with_run_up
 
 
 def lightning(polls: DataFrame, size: int) -> DataFrame:
-    """Distances and disturbers of the ``size`` polls before each poll.
+    """Distances, energies, disturbers and noise of the ``size`` polls before each poll.
 
-    ``polls``: id, camera_id, create_date, distances (array), disturbers. Each poll is reduced
-    to least, greatest, sum and count first, so the window moves over numbers, not lists.
+    ``polls``: id, camera_id, create_date, distances and energies (arrays), disturbers, noise.
+    Each poll is reduced to least, greatest, sum and count first, so the window moves over
+    numbers, not lists.
     """
-    w = Window.partitionBy("camera_id").orderBy("create_date", "id").rowsBetween(-size, -1)
-    total = F.aggregate("distances", F.lit(0.0), lambda a, d: a + d)
-    small = polls.select("id", "camera_id", "create_date", F.array_min("distances").alias("lo"), F.array_max("distances").alias("hi"), total.alias("sum"), F.size("distances").alias("n"), "disturbers")
-    return small.select("id", F.min("lo").over(w).alias("min_distance"), F.max("hi").over(w).alias("max_distance"), (F.sum("sum").over(w) / F.nullif(F.sum("n").over(w), F.lit(0))).alias("mean_distance"), F.coalesce(F.sum("disturbers").over(w), F.lit(0)).alias("disturbers"))
+    w = Window.partitionBy("camera_id", "day").orderBy("create_date", "id").rowsBetween(-size, -1)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, d: a + d)
+    parts = [x for c, p in (("distances", "d"), ("energies", "e")) for x in (F.array_min(c).alias(f"{p}_lo"), F.array_max(c).alias(f"{p}_hi"), total(c).alias(f"{p}_sum"), F.size(c).alias(f"{p}_n"))]
+    small = with_run_up(polls.select("id", "camera_id", "create_date", *parts, "disturbers", "noise"), "camera_id", size)
+    of = lambda p, name: [F.min(f"{p}_lo").over(w).alias(f"min_{name}"), F.max(f"{p}_hi").over(w).alias(f"max_{name}"), (F.sum(f"{p}_sum").over(w) / F.nullif(F.sum(f"{p}_n").over(w), F.lit(0))).alias(f"mean_{name}")]
+    counts = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("disturbers", "noise")]
+    return small.select("id", *of("d", "distance"), *of("e", "energy"), F.coalesce(F.sum("d_n").over(w), F.lit(0)).alias("strikes"), *counts, "run_up").where("not run_up").drop("run_up")
 
 
 def named_sensors(readings: DataFrame, names: DataFrame) -> DataFrame:
@@ -40,29 +46,40 @@ def weather(documents: DataFrame) -> DataFrame:
 
 
 class Budget:
-    """Files are taken in order while there is room; one that does not fit is passed over.
-
-    ``level`` numbers the distinct exposures, equal within ``tolerance`` of the level's first.
-    """
+    """Files are taken in order while there is room; one that does not fit is passed over."""
 
-    def __init__(self, files: int, size: int, tolerance: float):
-        self.files, self.size, self.tolerance = files, size, tolerance
-        self.levels: list[float] = []
+    def __init__(self, files: int, size: int):
+        self.files, self.size = files, size
 
     def feed(self, row: dict) -> dict:
-        e = row["exposure"]
-        level = next((i for i, x in enumerate(self.levels) if abs(x - e) <= self.tolerance * max(abs(x), abs(e))), None)
         taken = self.files > 0 and row["file_size"] <= self.size
         if taken:
             self.files -= 1
             self.size -= row["file_size"]
-            if level is None:
-                level = len(self.levels)
-                self.levels.append(e)
-        return {"id": row["id"], "camera_id": row["camera_id"], "taken": taken, "level": -1 if level is None else level}
+        return {"id": row["id"], "camera_id": row["camera_id"], "taken": taken, "seed": row["seed"]}
 
 
-def within_budget(rows: DataFrame, files: int, size: int, tolerance: float) -> DataFrame:
-    """Newest first by camera; the state is the room left and the levels taken, at most ``files``."""
-    newest = rows.withColumn("age", -F.unix_micros(F.col("create_date").cast("timestamp")))
-    return by_batches(newest, "camera_id", ["age", "id"], partial(Budget, files, size, tolerance), "id bigint, camera_id int, taken boolean, level int").where("taken")
+def exposure_seeds(rows: DataFrame, levels: int, tolerance: float) -> DataFrame:
+    """(camera_id, seeds): up to ``levels`` rows of each camera of exposures that differ.
+
+    Newest first, a row is a seed if its exposure is close to no seed's before it: one
+    aggregation a level, of which a key's rows give one row each.
+    """
+    close = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b))
+    seeds = rows.select("camera_id").distinct().withColumn("seeds", F.array().cast("array<struct<id:bigint,exposure:double>>"))
+    for _ in range(levels):
+        left = rows.join(F.broadcast(seeds), "camera_id").where(~F.exists("seeds", lambda s: close(F.col("exposure"), s["exposure"])))
+        newest = left.groupBy("camera_id").agg(F.max_by(F.struct(F.col("id").cast("bigint").alias("id"), F.col("exposure").cast("double").alias("exposure")), F.struct("create_date", -F.col("id"))).alias("next"))
+        seeds = stored(seeds.join(newest, "camera_id", "left").select("camera_id", F.when(F.col("next").isNull(), F.col("seeds")).otherwise(F.array_append("seeds", F.col("next"))).alias("seeds")), "seeds")
+    return seeds
+
+
+def within_budget(rows: DataFrame, files: int, size: int, levels: int, tolerance: float) -> DataFrame:
+    """By camera the seeds of the exposure levels first, then all others newest first; the state is the room left.
+
+    A camera is one row of the seeds, so these are broadcast: a station has few cameras.
+    """
+    seeds = exposure_seeds(rows, levels, tolerance)
+    dealt = rows.join(F.broadcast(seeds), "camera_id").withColumns({"age": -F.unix_micros(F.col("create_date").cast("timestamp")), "seed": F.exists("seeds", lambda s: s["id"] == F.col("id"))})
+    order = dealt.select("id", "camera_id", "file_size", "seed", (~F.col("seed")).alias("later"), "age")
+    return by_batches(order, "camera_id", ["later", "age", "id"], partial(Budget, files, size), "id bigint, camera_id int, taken boolean, seed boolean").where("taken")

@@ -69,10 +69,7 @@ def gamma_and_shift(t):
 @query(f"with {PX}, s as (select frame, greatest(0, avg(v) - 1.0 * stddev_pop(v)) as lo from px group by frame) select frame, y, x, floor(round(least(255.0, greatest(0.0, (v - lo) * 255 / (255 - lo))), 6))::int as v from px join s using (frame)")
 def stretch_deviation(t):
     """N13."""
-    px = _px(t)
-    stats = px.groupBy("frame").agg(F.greatest(F.lit(0.0), F.avg("v") - F.stddev_pop("v")).alias("lo"))
-    cut = F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("v") - F.col("lo")) * 255 / (255 - F.col("lo"))))
-    return px.join(stats, "frame").select("frame", "y", "x", F.floor(F.round(cut, 6)).cast("int").alias("v"))
+    return op.deviation_stretch(_px(t), 1.0).select("frame", "y", "x", "v")
 
 
 @query(f"with {PX} select frame, y, x, round((0.25 - 1) * (v / 255.0::double) / ((2 * 0.25 - 1) * (v / 255.0::double) - 0.25), 6) as v from px")
@@ -108,18 +105,18 @@ def green_removal(t):
     return _rgb(t).select("frame", "y", "x", op.less_green("average", r, g, b).alias("average"), op.less_green("maximum", r, g, b).alias("maximum"), F.round(op.less_green("additive", r, g, b, 0.5), 6).alias("additive"))
 
 
-@query(f"with {PX}, s as (select * from px where frame < 20) select frame, 'rotate90' as how, x as y, 7 - y as x, v from s union all select frame, 'rotate180', 7 - y, 7 - x, v from s union all select frame, 'flip_x', y, 7 - x, v from s union all select frame, 'crop', y - 2, x - 1, v from s where x between 1 and 4 and y between 2 and 6")
-def geometry(t):
-    """N21 for the first frames, as its SQL has it."""
-    return _moved(_px(t).where("frame < 20"))
+_MOVED = f"with {PX} select frame, how, case how when 'rotate90' then x when 'flip_x' then y when 'crop' then y - 2 else 7 - y end as y, case how when 'rotate90' then 7 - y when 'crop' then x - 1 else 7 - x end as x, v from px, (values ('rotate90'), ('rotate180'), ('flip_x'), ('crop')) h(how) where how <> 'crop' or x between 1 and 4 and y between 2 and 6"
 
 
-@query(f"with {PX} select frame, how, case how when 'rotate90' then x when 'flip_x' then y when 'crop' then y - 2 else 7 - y end as y, case how when 'rotate90' then 7 - y when 'crop' then x - 1 else 7 - x end as x, v from px, (values ('rotate90'), ('rotate180'), ('flip_x'), ('crop')) h(how) where how <> 'crop' or x between 1 and 4 and y between 2 and 6")
-def geometry_all(t):
+@query(_MOVED)
+def geometry(t):
     """Rotation, flip and crop of every frame."""
     return _moved(_px(t))
 
 
+query(_MOVED, name="geometry_all")(geometry)
+
+
 def _moved(px):
     parts = [op.moved(px, how, SIZE).withColumn("how", F.lit(how)) for how in ("rotate90", "rotate180", "flip_x")] + [op.crop(px, 1, 2, 4, 5).withColumn("how", F.lit("crop"))]
     out = parts[0]

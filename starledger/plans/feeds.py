@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from starledger.operators import ordering
 from starledger.operators import secondary as op
 from starledger.sources import feeds, sinks
 
@@ -67,7 +68,7 @@ def star_catalogue(t):
     return feeds.catalogue(rows, 4.5)
 
 
-@query("select 'allsky/' || camera_id || '/' || k as topic, v as payload from (select camera_id, max(stars)::varchar as stars, count(*)::varchar as frames from frames group by camera_id) unpivot (v for k in (stars, frames))")
+@query("select 'sky/' || camera_id || '/' || k as topic, v as payload from (select camera_id, max(stars)::varchar as stars, count(*)::varchar as frames from frames group by camera_id) unpivot (v for k in (stars, frames))")
 def topic_values(t):
     """K3."""
     return sinks.topic_values(t.frames.groupBy("camera_id").agg(F.max("stars").alias("stars"), F.count("*").alias("frames")), "camera_id")
@@ -88,12 +89,13 @@ def expired_snapshots(t):
     return sinks.expired_snapshots(made, "2024-01-31", 20)
 
 
-@query("""with p as (select id, camera_id, create_date, adu, sqm, exclude, row_number() over w as n from frames window w as (partition by camera_id order by create_date, id))
-select id, min(adu) over l as min_distance, max(adu) over l as max_distance, round(avg(adu) over l, 6) as mean_distance, coalesce(sum(case when exclude then 1 else 0 end) over l, 0)::bigint as disturbers from p window l as (partition by camera_id order by create_date, id rows between 20 preceding and 1 preceding)""")
+@query("""select id, min(adu) over l as min_distance, max(adu) over l as max_distance, round(avg(adu) over l, 6) as mean_distance, min(sqm) over l as min_energy, max(sqm) over l as max_energy, round(avg(sqm) over l, 6) as mean_energy,
+coalesce(count(adu) over l, 0)::bigint as strikes, coalesce(sum(case when exclude then 1 else 0 end) over l, 0)::bigint as disturbers, coalesce(sum(detections) over l, 0)::bigint as noise
+from frames window l as (partition by camera_id order by create_date, id rows between 20 preceding and 1 preceding)""")
 def lightning_summary(t):
-    """The twenty polls before each poll; its distances are lists."""
-    polls = t.frames.select("id", "camera_id", "create_date", F.array("adu").alias("distances"), F.col("exclude").cast("int").alias("disturbers"))
-    return op.lightning(polls, 20).withColumn("mean_distance", F.round("mean_distance", 6))
+    """The twenty polls before each poll; its distances and energies are lists."""
+    polls = t.frames.select("id", "camera_id", "create_date", F.array("adu").alias("distances"), F.array("sqm").alias("energies"), F.col("exclude").cast("int").alias("disturbers"), F.col("detections").alias("noise"))
+    return op.lightning(polls, 20).withColumns({c: F.round(c, 6) for c in ("mean_distance", "mean_energy")}).withColumn("strikes", F.col("strikes").cast("bigint"))
 
 
 @query("select id, name, unit, round_even(value * 100, 0) / 100 as value from (select id, (['heater', 'sky', 'case', 'wind'])[slot + 1] as name, (['%', 'C', 'C', 'm/s'])[slot + 1] as unit, slot, case slot when 0 then moonphase when 1 then sqm when 2 then detections::double else ovation_max::double end as value from frames, range(4) s(slot)) where value <> 0 or slot in (0, 1)")
@@ -116,14 +118,25 @@ def weather_flatten(t):
 @query("select id, last_value(case when stars % 5 = 0 then adu end ignore nulls) over (partition by camera_id order by create_date, id rows unbounded preceding) as reading from frames")
 def throttled_readings(t):
     """Between polls the last reading holds."""
-    w = Window.partitionBy("camera_id").orderBy("create_date", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.frames.select("id", F.last(F.when(F.col("stars") % 5 == 0, F.col("adu")), ignorenulls=True).over(w).alias("reading"))
+    return ordering.held(t.frames, F.when(F.col("stars") % 5 == 0, F.col("adu")))
 
 
-@query()
+def _seed(n):
+    """SQL of the n-th seed: the newest row of an exposure close to no seed's before it."""
+    far = "".join(f" and not exists (select 1 from s{i} where s{i}.camera_id = f.camera_id and abs(s{i}.exposure - f.exposure) <= 0.05 * greatest(abs(s{i}.exposure), abs(f.exposure)))" for i in range(1, n))
+    return f"s{n} as (select camera_id, id, exposure from frames f where true{far} qualify row_number() over (partition by camera_id order by create_date desc, id) = 1)"
+
+
+@query(f"""with recursive {", ".join(_seed(n) for n in (1, 2, 3))},
+seeds as (select id from s1 union all select id from s2 union all select id from s3),
+o as (select id, camera_id, file_size, id in (select id from seeds) as seed, row_number() over (partition by camera_id order by case when id in (select id from seeds) then 0 else 1 end, create_date desc, id) as n from frames),
+r as (select distinct camera_id, 0::bigint as n, null::bigint as id, false as seed, false as taken, 20 as files, 100000::bigint as size from frames
+union all select camera_id, n, id, seed, ok, case when ok then files - 1 else files end, case when ok then size - file_size else size end
+ from (select r.camera_id, o.n, o.id, o.seed, o.file_size, r.files, r.size, r.files > 0 and o.file_size <= r.size as ok from r join o on o.camera_id = r.camera_id and o.n = r.n + 1) s)
+select id, camera_id, taken, seed from r where taken""")
 def budget_selection(t):
-    """Each choice depends on the room that those before it left; tests replay it."""
-    return op.within_budget(t.frames.select("id", "camera_id", "create_date", "exposure", "file_size"), files=20, size=100_000, tolerance=0.05)
+    """Each choice depends on the room that those before it left."""
+    return op.within_budget(t.frames.select("id", "camera_id", "create_date", "exposure", "file_size"), files=20, size=100_000, levels=3, tolerance=0.05)
 
 
 @query("select id, coalesce(saved, computed) as signature from (select id, case when stars % 2 = 0 then adu end as saved, sqm as computed from frames)")
@@ -133,11 +146,17 @@ def saved_signatures(t):
     return t.frames.select("id", F.col("sqm").alias("computed")).join(saved, "id", "left").select("id", F.coalesce("saved", "computed").alias("signature"))
 
 
+#: Ids to a slot in which missing uploads are numbered.
+UPLOAD_SLOT = 100_000
+
+
 @query("select kind, id, floor((row_number() over (partition by kind order by id) - 1) / 50)::bigint as batch from (select kind, id from assets where not uploaded union all select 'video', id from videos where not uploaded)")
 def upload_batches(t):
     """What is missing, in batches of fifty of a kind."""
     rows = t.assets.where("not uploaded").select("kind", "id").unionByName(t.videos.where("not uploaded").select(F.lit("video").alias("kind"), "id"))
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("kind").orderBy("id")) - 1) / 50))
+    # slots of ids: a kind of many rows is many tasks
+    numbered = ordering.placed(rows, ["kind"], [F.floor(F.col("id") / UPLOAD_SLOT)], [F.col("id")])
+    return numbered.select("kind", "id", F.floor((F.col("at") - 1) / 50).alias("batch"))
 
 
 _LADDER = "with l as (select distinct gain, binmode, exposure from calibrations)"

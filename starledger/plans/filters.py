@@ -6,7 +6,7 @@ from starledger.operators import filters as op
 
 from .registry import query
 
-ROOT = "/var/www/html/allsky/images"
+ROOT = "/srv/frames/images"
 
 
 @query("select id, create_date, camera_id from frames")
@@ -70,8 +70,8 @@ def modulo_sample(t):
     return t.frames.where(F.col("id") % 7 == 0).select("id", "camera_id")
 
 
-@query("""select id, coalesce(remote_url, 's3://store/' || s3_key, 'images/' || case when starts_with(filename, '/var/www/html/allsky/images/') then substring(filename, 29) else filename end) as url,
-'images/' || case when starts_with(filename, '/var/www/html/allsky/images/') then substring(filename, 29) else filename end as local_url from frames""")
+@query("""select id, coalesce(remote_url, 's3://store/' || s3_key, 'images/' || case when starts_with(filename, '/srv/frames/images/') then substring(filename, 20) else filename end) as url,
+'images/' || case when starts_with(filename, '/srv/frames/images/') then substring(filename, 20) else filename end as local_url from frames""")
 def url_resolution(t):
     """P15, P16."""
     return t.frames.select("id", op.asset_url(ROOT, "s3://store", local=False).alias("url"), op.asset_url(ROOT, "s3://store", local=True).alias("local_url"))
@@ -113,7 +113,7 @@ def label_templates(t):
 @query("select id from (select id, row_number() over (partition by camera_id order by create_date, id) as n from frames) where n % 5 = 0")
 def every_fifth_frame(t):
     """P22, A25."""
-    return op.every_nth(t.frames, 5, [F.col("create_date"), F.col("id")], ["camera_id"]).select("id")
+    return op.every_nth(t.frames, 5, [F.col("create_date"), F.col("id")], ["camera_id"], [F.to_date("create_date")]).select("id")
 
 
 @query("select id, cast(json_extract_string(doc, '$.a') as varchar) as a from (select id, json_object('a', stars::varchar, 'url', 'x', 'id', id::varchar) as doc from frames)")
@@ -127,7 +127,7 @@ def metadata_keys_kept(t):
 @query("select id, epoch(create_date)::bigint as epoch, create_date + to_seconds(utc_offset - 3600) as shifted from (select f.id, f.create_date, c.utc_offset from frames f join cameras c on f.camera_id = c.id)")
 def epoch_and_offset(t):
     """F3, F4."""
-    moved = t.frames.join(F.broadcast(t.cameras.where("id < 8").select(F.col("id").alias("camera_id"), "utc_offset")), "camera_id")
+    moved = t.frames.join(t.cameras.select(F.col("id").alias("camera_id"), "utc_offset"), "camera_id")
     # whole seconds, as the stored value is an integer
     seconds = F.round(F.unix_micros(F.col("create_date").cast("timestamp")) / 1e6).cast("bigint")
     return moved.select("id", seconds.alias("epoch"), F.expr("create_date + make_dt_interval(0, 0, 0, utc_offset - 3600)").alias("shifted"))

@@ -58,27 +58,23 @@ def asset_bundle_left_joins(t):
     return t.videos.select("id", *by).join(bundle, by, "left").select("id", *[f"{k}_id" for k in _BUNDLE])
 
 
-@query("""with req as (select id, camera_id, binmode, 16 as bitdepth, gain, cast(floor(exposure) as int) as exposure, cast(stars % 30 as double) - 5 as temp from frames where id % 5 = 0),
-met as (select req.id, c.id as cal, case when c.temp between req.temp and req.temp + 5 then 0 else 1 end as tier, c.gain, c.exposure, c.temp, c.create_date from req join calibrations c
-on req.camera_id = c.camera_id and req.binmode = c.binmode and req.bitdepth = c.bitdepth and c.active and c.gain >= req.gain and c.exposure >= req.exposure),
-best as (select *, row_number() over (partition by id order by tier, gain, exposure, case when tier = 0 then temp else -temp end, create_date desc, cal) as n from met)
-select req.id, cal as calibration_id, tier from req left join best on req.id = best.id and n = 1""")
-def best_calibration(t):
-    """J7 for every fifth frame, as its SQL has it."""
-    return _calibrated(t, t.frames.where("id % 5 = 0"))
-
-
-@query("""with req as (select id, camera_id, binmode, 16 as bitdepth, gain, cast(floor(exposure) as int) as exposure, cast(stars % 30 as double) - 5 as temp from frames),
+_CALIBRATED = """with req as (select id, camera_id, binmode, 16 as bitdepth, gain, cast(floor(exposure) as int) as exposure, cast(stars % 30 as double) - 5 as temp from frames),
 setting as (select distinct camera_id, binmode, bitdepth, gain, exposure, temp from req),
 met as (select setting.*, c.id as cal, case when c.temp between setting.temp and setting.temp + 5 then 0 else 1 end as tier, c.gain as cg, c.exposure as ce, c.temp as ct, c.create_date as cd from setting join calibrations c
 on setting.camera_id = c.camera_id and setting.binmode = c.binmode and setting.bitdepth = c.bitdepth and c.active and c.gain >= setting.gain and c.exposure >= setting.exposure),
 best as (select *, row_number() over (partition by camera_id, binmode, bitdepth, gain, exposure, temp order by tier, cg, ce, case when tier = 0 then ct else -ct end, cd desc, cal) as n from met)
-select req.id, best.cal as calibration_id, best.tier from req left join best on req.camera_id = best.camera_id and req.binmode = best.binmode and req.bitdepth = best.bitdepth and req.gain = best.gain and req.exposure = best.exposure and req.temp = best.temp and n = 1""")
-def best_calibration_all(t):
+select req.id, best.cal as calibration_id, best.tier from req left join best on req.camera_id = best.camera_id and req.binmode = best.binmode and req.bitdepth = best.bitdepth and req.gain = best.gain and req.exposure = best.exposure and req.temp = best.temp and n = 1"""
+
+
+@query(_CALIBRATED)
+def best_calibration(t):
     """The calibration of every frame."""
     return _calibrated(t, t.frames)
 
 
+query(_CALIBRATED, name="best_calibration_all")(best_calibration)
+
+
 def _calibrated(t, frames):
     requests = frames.select("id", "camera_id", "binmode", F.lit(16).alias("bitdepth"), "gain", F.floor("exposure").cast("int").alias("exposure"), (F.col("stars") % 30).cast("double").alias("t"))
     requests = requests.withColumn("temp", F.col("t") - 5).drop("t")
@@ -139,15 +135,6 @@ def smoke_polygons(t):
     return pairs.groupBy("id").agg(F.min("rank").alias("rank"))
 
 
-@query("""with s as (select id, (id * 37) % 1000 as x, (id * 91) % 1000 as y from frames where id < 400)
-select count(*) as pairs, cast(sum(a.id) as bigint) as left_ids, cast(sum(b.id) as bigint) as right_ids from s a join s b on sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 12 where a.id % 2 = 0 and b.id % 2 = 1""")
-def star_match_candidates(t):
-    """Stars and detections within a radius, by cells."""
-    points = t.frames.where("id < 400").select("id", ((F.col("id") * 37) % 1000).alias("x"), ((F.col("id") * 91) % 1000).alias("y"))
-    side = lambda k, p: points.where(F.col("id") % 2 == k).select(F.col("id").alias(f"{p}id"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
-    return op.nearest_in_cells(side(0, "l"), side(1, "r"), 12.0).agg(F.count("*").alias("pairs"), F.sum("lid").alias("left_ids"), F.sum("rid").alias("right_ids"))
-
-
 _SKY = ("camera_id", "day_date")
 
 
@@ -158,13 +145,19 @@ def _sky_pairs(t, radius):
     return op.nearest_in_cells(side(0, "l"), side(1, "r"), radius, _SKY)
 
 
-@query("""with s as (select id, camera_id, day_date, (id * 37) % 1000 as x, (id * 91) % 1000 as y from frames)
-select a.camera_id, a.day_date, count(*) as pairs, cast(sum(a.id) as bigint) as left_ids, cast(sum(b.id) as bigint) as right_ids from s a join s b on a.camera_id = b.camera_id and a.day_date = b.day_date and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1600 where a.id % 2 = 0 and b.id % 2 = 1 group by all""")
-def star_match_candidates_all(t):
-    """What ``star_match`` chooses from, of all frames; ``star_match_candidates`` keeps to the 400 rows of its SQL, where no pair is near enough."""
+_CANDIDATES = """with s as (select id, camera_id, day_date, (id * 37) % 1000 as x, (id * 91) % 1000 as y from frames)
+select a.camera_id, a.day_date, count(*) as pairs, cast(sum(a.id) as bigint) as left_ids, cast(sum(b.id) as bigint) as right_ids from s a join s b on a.camera_id = b.camera_id and a.day_date = b.day_date and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1600 where a.id % 2 = 0 and b.id % 2 = 1 group by all"""
+
+
+@query(_CANDIDATES)
+def star_match_candidates(t):
+    """What ``star_match`` chooses from: stars and detections within a radius, by cells."""
     return _sky_pairs(t, 40.0).groupBy(*_SKY).agg(F.count("*").alias("pairs"), F.sum("lid").alias("left_ids"), F.sum("rid").alias("right_ids"))
 
 
+query(_CANDIDATES, name="star_match_candidates_all")(star_match_candidates)
+
+
 @query()
 def star_match(t):
     """Each star's own detection in its camera's day, the closest pairs first; tests hold it against one ordered pass."""

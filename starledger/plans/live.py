@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from starledger.operators import rollups
 from starledger.streaming import live as op
 
+from .ordering import _CONTROL
 from .registry import query
 
 
@@ -19,8 +19,8 @@ def _plain(df, *columns):
 
 @query("select camera_id, day_date, night, count(*) as frames, max(stars) as max_stars, round(avg(sqm), 6) as avg_sqm from frames where not exclude group by all")
 def stream_night_rollup(t):
-    """Q1: each batch's nights."""
-    return op.in_batches(_frames(t), lambda df: rollups.night_rollup(df).select("camera_id", "day_date", "night", "frames", "max_stars", F.round("avg_sqm", 6).alias("avg_sqm")))
+    """Q1: each batch's part of the nights, added up."""
+    return op.nights(op.in_batches(_frames(t), op.night_parts)).withColumn("avg_sqm", F.round("avg_sqm", 6))
 
 
 _END = "(select date_trunc('millisecond', max(create_date)) - interval 10 minutes from frames)"
@@ -53,22 +53,22 @@ def stream_sessions(t):
     return _plain(op.drained(op.sessions(_frames(t), "45 minutes", "10 minutes")), "start", "end")
 
 
-@query("select camera_id, list(id order by create_date, id) as ids from (select * from frames qualify row_number() over (partition by camera_id order by create_date desc, id desc) <= 100) group by camera_id")
+_BUFFER = "select camera_id, list(id order by create_date, id) as ids from (select * from frames qualify row_number() over (partition by camera_id order by create_date desc, id desc) <= 1000) group by camera_id"
+
+
+@query(_BUFFER)
 def stream_buffer(t):
-    """Q6: the last hundred columns, as one batch leaves them."""
-    return op.drained(op.last_columns(_frames(t), 100))
+    """The last thousand columns, as the last batch leaves them."""
+    return op.newest_state(op.drained(op.last_columns(_frames(t), 1000)))
 
 
-@query("select camera_id, list(id order by create_date, id) as ids from (select * from frames qualify row_number() over (partition by camera_id order by create_date desc, id desc) <= 1000) group by camera_id")
-def stream_buffer_1000(t):
-    """The last thousand columns, as the reference holds them; ``stream_buffer`` keeps to the hundred of its SQL."""
-    return op.drained(op.last_columns(_frames(t), 1000))
+query(_BUFFER, name="stream_buffer_1000")(stream_buffer)
 
 
-@query()
+@query(_CONTROL)
 def stream_exposures(t):
-    """Q7: tests hold it against the batch form."""
-    return op.drained(op.exposures(_frames(t)))
+    """Q7: the same states as the batch form's."""
+    return op.drained(op.exposures(_frames(t))).withColumn("exposure", F.round("exposure", 8))
 
 
 @query()

@@ -27,15 +27,32 @@ def moving_avg_6(t):
     return op.moving_average(t.frames, "adu", F.col("exclude")).select("id", "run", F.round("mean", 6).alias("mean"))
 
 
-@query()
+_CONTROL = """with recursive o as (select id, camera_id, case when adu > 0 then adu else 0.1 end as adu, row_number() over (partition by camera_id order by create_date, id) as n from frames),
+r as (select distinct camera_id, 0::bigint as n, null::bigint as id, false as found, 0.0::double as level, []::double[] as history, 1.0::double as exposure from frames
+union all select camera_id, n, id,
+ case when found then not (len(kept) = 6 and abs(list_sum(kept) / 6 - level) > deviation) else abs(adu - 75.0) <= deviation end,
+ case when not found and abs(adu - 75.0) <= deviation then adu else level end,
+ case when found then kept when abs(adu - 75.0) <= deviation then []::double[] else history end,
+ case when found or abs(adu - 75.0) <= deviation then exposure else least(60.0, greatest(1e-5, exposure - (exposure - exposure * (75.0 / adu)) * scale)) end
+ from (select r.camera_id, o.n, o.id, o.adu::double as adu, r.found, r.level, r.history, r.exposure, case when r.exposure < 0.001 then 20.0 else 10.0 end as deviation, case when r.exposure < 0.001 then 0.5 else 1.0 end as scale,
+  list_concat(r.history, [o.adu::double])[greatest(1, len(r.history) - 4):] as kept from r join o on o.camera_id = r.camera_id and o.n = r.n + 1) s)
+select id, camera_id, found, round(exposure, 8) as exposure from r where id is not null"""
+
+
+@query(_CONTROL)
 def exposure_states(t):
-    """Feedback, so no window expresses it; tests replay it row by row."""
-    return op.by_batches(t.frames.select("id", "camera_id", "create_date", "adu"), "camera_id", ["create_date", "id"], op.Exposure, "id bigint, camera_id int, found boolean, exposure double")
+    """Feedback, so no window expresses it, but a recursion does."""
+    states = op.by_batches(t.frames.select("id", "camera_id", "create_date", "adu"), "camera_id", ["create_date", "id"], op.Exposure, "id bigint, camera_id int, found boolean, exposure double")
+    return states.withColumn("exposure", F.round("exposure", 8))
 
 
-@query()
+@query("""with recursive o as (select id, camera_id, adu::double as v, row_number() over (partition by camera_id order by create_date, id) as k from frames),
+r as (select distinct camera_id, 0::bigint as k, null::bigint as id, false as taken, 0::bigint as n, 0.0::double as mean, 0.0::double as m2 from frames
+union all select camera_id, k, id, ok, case when ok then n + 1 else n end, case when ok then mean + (v - mean) / (n + 1) else mean end, case when ok then m2 + (v - mean) * (v - (mean + (v - mean) / (n + 1))) else m2 end
+ from (select r.camera_id, o.k, o.id, o.v, r.n, r.mean, r.m2, r.n < 15 or abs(o.v - r.mean) <= 3.0 * sqrt(r.m2 / r.n) as ok from r join o on o.camera_id = r.camera_id and o.k = r.k + 1) s)
+select id, camera_id, taken from r where id is not null""")
 def rotation_gate(t):
-    """Feedback; tests replay it row by row."""
+    """Feedback, checked by a recursion."""
     return op.by_batches(t.frames.select("id", "camera_id", "create_date", "adu"), "camera_id", ["create_date", "id"], op.Gate, "id bigint, camera_id int, taken boolean")
 
 
@@ -64,10 +81,8 @@ def next_transition(t):
 @query("select id, camera_id, row_number() over (partition by camera_id order by create_date, id)::int - 11 as col from frames qualify row_number() over (partition by camera_id order by create_date, id) > 10")
 def keogram_columns(t):
     """The frame's column in the keogram after ten skipped frames."""
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("camera_id").orderBy("create_date", "id"))
-    return t.frames.withColumn("at", at).where("at > 10").select("id", "camera_id", (F.col("at") - 11).alias("col"))
+    numbered = op.placed(t.frames.select("id", "camera_id", "create_date"), ["camera_id"], [F.to_date("create_date")], [F.col("create_date"), F.col("id")])
+    return numbered.where("at > 10").select("id", "camera_id", (F.col("at") - 11).cast("int").alias("col"))
 
 
 @query("select id, camera_id, max(adu) over w as max_so_far, arg_min(id, (adu, id)) over w as darkest_so_far from frames window w as (partition by camera_id order by create_date, id rows unbounded preceding)")
@@ -99,9 +114,9 @@ def stratified_top_k(t):
 @query("select id, place::int as place from (select id, row_number() over (partition by camera_id order by priority asc nulls first, create_date asc, id) as place from videos)")
 def priority_queue(t):
     """A missing priority comes first; the queue of each camera is its own."""
-    from pyspark.sql import Window
-
-    return t.videos.select("id", F.row_number().over(Window.partitionBy("camera_id").orderBy(F.asc_nulls_first("priority"), "create_date", "id")).alias("place"))
+    queue = t.videos.select("id", "camera_id", "create_date", F.coalesce("priority", F.lit(-1)).alias("priority"))
+    placed = op.placed(queue, ["camera_id"], [F.col("priority"), F.to_date("create_date")], [F.col("create_date"), F.col("id")], "place")
+    return placed.select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("select camera_id, day_date, night, count(*) as n, count(*) = 1 as one from videos group by all")

@@ -67,32 +67,26 @@ def aircraft_sight(t):
     return t.cameras.select("id", F.round(sky.haversine(a, b, a + 0.3, b - 0.4), 3).alias("flat"), F.round(s["alt"], 6).alias("alt"), F.round(s["az"], 6).alias("az"), F.round(s["distance"], 3).alias("distance"))
 
 
-@query("""with s as (select n_nationkey as star, (n_nationkey * 14.4)::double as ra, (n_nationkey * 6.0 - 70)::double as dec from nation), c as (select id, latitude as lat, longitude as lon from cameras where id < 20),
+_PROJECTED = """with s as (select n_nationkey as star, (n_nationkey * 14.4)::double as ra, (n_nationkey * 6.0 - 70)::double as dec from nation), c as (select id, latitude as lat, longitude as lon from cameras),
 d as (select *, (1770000000.0::double - 946728000.0) / 86400.0 as days from s, c),
 g as (select *, (((280.46061837 + 360.98564736629 * days + 0.000387933 * (days / 36525.0) * (days / 36525.0) - (days / 36525.0) * (days / 36525.0) * (days / 36525.0) / 38710000.0) % 360.0) + 360.0) % 360.0 as gmst from d),
 h as (select *, radians(gmst + lon - ra) as ha from g),
 a as (select *, degrees(asin(least(1.0, greatest(-1.0, sin(radians(lat)) * sin(radians(dec)) + cos(radians(lat)) * cos(radians(dec)) * cos(ha))))) as alt,
  (degrees(atan2(-sin(ha) * cos(radians(dec)), sin(radians(dec)) * cos(radians(lat)) - cos(radians(dec)) * cos(ha) * sin(radians(lat)))) + 360.0) % 360.0 as az from h)
-select id, star, round(alt, 6) as alt, round(az, 6) as az, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * sin(radians(az + 37.5)), 6) as x, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * cos(radians(az + 37.5)), 6) as y from a where alt > 0""")
-def star_projection(t):
-    """F20 for the first cameras, as its SQL has it."""
-    return _projected(_stars(t), t.cameras.where("id < 20"))
+select id, star, round(alt, 6) as alt, round(az, 6) as az, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * sin(radians(az - 37.5)), 6) as x, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * cos(radians(az - 37.5)), 6) as y from a where alt > 0"""
 
 
-@query("""with s as (select n_nationkey as star, (n_nationkey * 14.4)::double as ra, (n_nationkey * 6.0 - 70)::double as dec from nation), c as (select id, latitude as lat, longitude as lon from cameras),
-d as (select *, (1770000000.0::double - 946728000.0) / 86400.0 as days from s, c),
-g as (select *, (((280.46061837 + 360.98564736629 * days + 0.000387933 * (days / 36525.0) * (days / 36525.0) - (days / 36525.0) * (days / 36525.0) * (days / 36525.0) / 38710000.0) % 360.0) + 360.0) % 360.0 as gmst from d),
-h as (select *, radians(gmst + lon - ra) as ha from g),
-a as (select *, degrees(asin(least(1.0, greatest(-1.0, sin(radians(lat)) * sin(radians(dec)) + cos(radians(lat)) * cos(radians(dec)) * cos(ha))))) as alt,
- (degrees(atan2(-sin(ha) * cos(radians(dec)), sin(radians(dec)) * cos(radians(lat)) - cos(radians(dec)) * cos(ha) * sin(radians(lat)))) + 360.0) % 360.0 as az from h)
-select id, star, round(alt, 6) as alt, round(az, 6) as az, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * sin(radians(az + 37.5)), 6) as x, round(960 - 850.0 * sqrt(2.0) * sin(radians((90.0 - alt) / 2)) * cos(radians(az + 37.5)), 6) as y from a where alt > 0""")
-def star_projection_all(t):
+@query(_PROJECTED)
+def star_projection(t):
     """each camera's sky holds the whole catalogue."""
     return _projected(_stars(t), t.cameras)
 
 
-#: Stars of a catalogue that a broadcast may hold; a larger one is dealt out by Spark.
-CATALOGUE_STARS = 1_000_000
+query(_PROJECTED, name="star_projection_all")(star_projection)
+
+
+#: Blocks that the catalogue is dealt into; each camera meets every block by its number.
+CATALOGUE_BLOCKS = 16
 
 
 def _stars(t):
@@ -100,9 +94,8 @@ def _stars(t):
 
 
 def _projected(stars, cameras):
-    if stars.count() <= CATALOGUE_STARS:
-        stars = F.broadcast(stars)
-    seen = cameras.crossJoin(stars)
+    dealt = stars.withColumn("block", F.pmod(F.col("star"), F.lit(CATALOGUE_BLOCKS)).cast("int"))
+    seen = cameras.select("id", "latitude", "longitude", F.explode(F.sequence(F.lit(0), F.lit(CATALOGUE_BLOCKS - 1))).alias("block")).join(dealt, "block")
     at = sky.horizontal(F.col("ra"), F.col("dec"), F.col("latitude"), F.col("longitude"), F.lit(1_770_000_000.0))
     up = seen.withColumns(at).where("alt > 0")
     xy = sky.fisheye(F.col("alt"), F.col("az"), 1700.0, 960.0, 960.0, 37.5)

@@ -30,7 +30,9 @@ def query(sql: str | None = None, name: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             body = sql.strip()
-            ORACLES[key] = f"{tables.VIEWS},\n{body[5:]}" if body.startswith("with ") else f"{tables.VIEWS}\n{body}"
+            views = tables.VIEWS.replace("with ", "with recursive ", 1) if body.startswith("with recursive ") else tables.VIEWS
+            inner = body.removeprefix("with ").removeprefix("recursive ")
+            ORACLES[key] = f"{views},\n{inner}" if body.startswith("with ") else f"{views}\n{body}"
         return f
 
     return add

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; one of its own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder shared by driver and executors, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset, a session on one machine gets a temporary one; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="starledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,7 +40,7 @@ def status_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def topic_values(df: DataFrame, key: str, prefix: str = "allsky") -> DataFrame:
+def topic_values(df: DataFrame, key: str, prefix: str = "sky") -> DataFrame:
     """K3: one (topic, payload) a value of the row, for a message broker's sink."""
     columns = [c for c in df.columns if c != key]
     pairs = F.array(*[F.struct(F.concat_ws("/", F.lit(prefix), F.col(key).cast("string"), F.lit(c)).alias("topic"), F.col(c).cast("string").alias("payload")) for c in columns])

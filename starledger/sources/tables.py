@@ -32,7 +32,7 @@ _FRAME = {
     "event_type": ("event_type", None),
     "data": ("props", None),
     "file_size": ("cast(floor(value * 100) as bigint)", None),
-    "filename": (f"if({_K} % 3 = 0, concat('/var/www/html/allsky/images/', event_id, '.jpg'), concat('ccd/', event_id, '.jpg'))", "case when cast(props->>'k' as int) % 3 = 0 then '/var/www/html/allsky/images/' || event_id || '.jpg' else 'ccd/' || event_id || '.jpg' end"),
+    "filename": (f"if({_K} % 3 = 0, concat('/srv/frames/images/', event_id, '.jpg'), concat('ccd/', event_id, '.jpg'))", "case when cast(props->>'k' as int) % 3 = 0 then '/srv/frames/images/' || event_id || '.jpg' else 'ccd/' || event_id || '.jpg' end"),
     "remote_url": ("if(event_type = 'view', concat('https://cdn.example.org/', event_id, '.jpg'), null)", "case when event_type = 'view' then 'https://cdn.example.org/' || event_id || '.jpg' end"),
     "s3_key": ("if(event_type in ('view', 'purchase'), concat('frames/', event_id, '.jpg'), null)", "case when event_type in ('view', 'purchase') then 'frames/' || event_id || '.jpg' end"),
     "thumbnail_uuid": ("if(event_type = 'click', null, user_id)", "case when event_type = 'click' then null else user_id end"),

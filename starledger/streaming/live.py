@@ -16,10 +16,11 @@ from starledger.sources.sinks import shared_dir
 
 
 def frames(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The frame table as a stream of files; event time becomes a timestamp with zone, as watermarks ask for."""
+    """The frame table, a file or a folder of files, as a stream; event time becomes a timestamp with zone, as watermarks ask for."""
     source, columns = tables.TABLES["frames"]
     schema = tables.stored(spark, sf_dir, source).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    # a file, or the files of a folder of that name
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{source}.parquet*")
     return rows.selectExpr(*[f"{both} as {c}" for c, (both, _) in columns.items()]).withColumn("create_date", F.col("create_date").cast("timestamp"))
 
 
@@ -37,7 +38,10 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def in_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Q1: each micro-batch through a batch pipeline; a batch that runs again replaces its own rows."""
+    """Q1: what each micro-batch gives of a batch pipeline; a batch that runs again replaces its own rows.
+
+    Rows of all batches come back, so what spans batches is to be merged by the caller.
+    """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.foreachBatch(lambda df, n: step(df).write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -45,6 +49,17 @@ def in_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame]) -> Dat
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+def night_parts(batch: DataFrame) -> DataFrame:
+    """Q1: a batch's part of each night, in a form that parts of one night can be added up in."""
+    return batch.where(~F.col("exclude")).groupBy("camera_id", "day_date", "night").agg(F.count("*").alias("frames"), F.max("stars").alias("max_stars"), F.sum("sqm").alias("sum_sqm"), F.count("sqm").alias("n_sqm"))
+
+
+def nights(parts: DataFrame) -> DataFrame:
+    """Q1: the nights of all batches."""
+    merged = parts.groupBy("camera_id", "day_date", "night").agg(F.sum("frames").alias("frames"), F.max("max_stars").alias("max_stars"), (F.sum("sum_sqm") / F.nullif(F.sum("n_sqm"), F.lit(0))).alias("avg_sqm"))
+    return merged.select("camera_id", "day_date", "night", "frames", "max_stars", "avg_sqm")
+
+
 def tumbling(stream: DataFrame, minutes: int, late: str, columns: list[str]) -> DataFrame:
     """Q2: means of closed windows by camera; rows later than ``late`` are dropped."""
     return _windowed(stream, F.window("create_date", f"{minutes} minutes"), late, columns)
@@ -86,19 +101,22 @@ def _by_camera(stream: DataFrame, step, output: str, state: str) -> DataFrame:
 
 
 def exposures(stream: DataFrame) -> DataFrame:
-    """The controller over a stream; its state is six values, a flag and an exposure."""
+    """The controller over a stream; its state is six values, a flag, a level and an exposure.
+
+    Rows of a micro-batch are ordered by time; the batches come in order.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["create_date", "id"])
         machine = Exposure()
         if state.exists:
-            history, machine.found, machine.exposure = state.get
+            history, machine.found, machine.level, machine.exposure = state.get
             machine.history = list(history)
         out = [(r.id, key[0], *machine.step(r.adu)) for r in rows.itertuples()]
-        state.update((machine.history, machine.found, machine.exposure))
+        state.update((machine.history, machine.found, machine.level, machine.exposure))
         yield pd.DataFrame(out, columns=["id", "camera_id", "found", "exposure"])
 
-    return _by_camera(stream.select("id", "camera_id", "create_date", "adu"), step, "id bigint, camera_id int, found boolean, exposure double", "history array<double>, found boolean, exposure double")
+    return _by_camera(stream.select("id", "camera_id", "create_date", "adu"), step, "id bigint, camera_id int, found boolean, exposure double", "history array<double>, found boolean, level double, exposure double")
 
 
 def notifications(stream: DataFrame, seconds: int) -> DataFrame:
@@ -120,12 +138,24 @@ def notifications(stream: DataFrame, seconds: int) -> DataFrame:
 
 
 def last_columns(stream: DataFrame, most: int) -> DataFrame:
-    """After each batch the newest ``most`` values of each camera's buffer, oldest first."""
+    """After each batch with rows of a camera the newest ``most`` values of its buffer, oldest first, with the number of that state.
+
+    What is held of a batch is never more than the buffer and one Arrow batch.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["create_date", "id"])
-        held = [*(state.get[0] if state.exists else []), *map(int, rows["id"])][-most:]
-        state.update((held,))
-        yield pd.DataFrame({"camera_id": [key[0]], "ids": [held]})
+        times, ids, n = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
+        held = pd.DataFrame({"t": times, "id": ids}, dtype="int64")
+        for b in batches:
+            held = pd.concat([held, b[["t", "id"]].astype("int64")]).sort_values(["t", "id"]).tail(most)
+        times, ids = held["t"].tolist(), held["id"].tolist()
+        state.update((times, ids, n + 1))
+        yield pd.DataFrame({"camera_id": [key[0]], "ids": [ids], "n": [n + 1]})
+
+    rows = stream.select("id", "camera_id", F.unix_micros("create_date").alias("t"))
+    return _by_camera(rows, step, "camera_id int, ids array<bigint>, n bigint", "times array<bigint>, ids array<bigint>, n bigint")
+
 
-    return _by_camera(stream.select("id", "camera_id", "create_date"), step, "camera_id int, ids array<bigint>", "ids array<bigint>")
+def newest_state(states: DataFrame) -> DataFrame:
+    """Q6: each camera's last state."""
+    return states.groupBy("camera_id").agg(F.max_by("ids", "n").alias("ids"))
