@@ -31,6 +31,12 @@ CONVERSIONS = {
     "mph_to_kph": lambda c: c * MILE_IN_KM,
     "m_to_ft": lambda c: c * FEET_IN_METER,
     "mm_to_in": lambda c: c / 25.4,
+    "inhg_to_psi": lambda c: c * INHG_IN_HPA * 0.0145037738,
+    "inhg_to_mmhg": lambda c: c * 25.4,
+    "km_to_mi": lambda c: c / MILE_IN_KM,
+    "kph_to_knots": lambda c: c / 1.852,
+    "mph_to_knots": lambda c: c * MILE_IN_KM / 1.852,
+    "mph_to_mps": lambda c: c * MILE_IN_KM / 3.6,
 }
 
 

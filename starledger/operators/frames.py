@@ -12,6 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
+#: Frame numbers to a slot in which a stack's frames are numbered.
+FRAME_SLOT = 1000
+
 
 def pixels(frames: DataFrame, width: int, values: str = "values") -> DataFrame:
     """frame, stack, y, x, v from rows of whole frames."""
@@ -45,15 +50,21 @@ def hot_pixels(px: DataFrame, threshold: int) -> DataFrame:
     return top.withColumn("hot", F.count_if(F.col("v") > 0).over(Window.partitionBy("stack")))
 
 
-def subtract(px: DataFrame, master: DataFrame) -> DataFrame:
-    """A master frame off each frame, never below zero; pixels that the master lacks are dropped."""
-    return px.join(master.select("stack", "y", "x", F.col("v").alias("m")), ["stack", "y", "x"]).withColumn("v", F.greatest(F.col("v") - F.col("m"), F.lit(0))).drop("m")
+def subtract(px: DataFrame, master: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """A master frame, or where it is greater the bad-pixel map, off each frame, never below zero.
 
-
-def fill_holes(px: DataFrame, marked: Column) -> DataFrame:
-    """Marked pixels take the greater of the values two to the left and two to the right; none beyond the edge."""
-    w = Window.partitionBy("frame", "y").orderBy("x")
-    return px.withColumn("v", F.when(marked, F.coalesce(F.greatest(F.lag("v", 2).over(w), F.lead("v", 2).over(w)), F.col("v"))).otherwise(F.col("v")))
+    A frame of other width or height than its master, or without one, stays as it is;
+    ``calibrated`` says which.
+    """
+    key = ["stack", "y", "x"]
+    whole = master.select(*key, F.col("v").alias("m"))
+    if bad is not None:
+        whole = whole.join(bad.select(*key, F.col("v").alias("hot")), key, "left").select(*key, F.greatest("m", F.coalesce("hot", F.lit(0))).alias("m"))
+    shape = F.struct(F.max("y").alias("y"), F.max("x").alias("x"))
+    fits = px.groupBy("frame", "stack").agg(shape.alias("own")).join(whole.groupBy("stack").agg(shape.alias("of_master")), "stack", "left")
+    fits = fits.select("frame", "stack", F.coalesce(F.col("own") == F.col("of_master"), F.lit(False)).alias("calibrated"))
+    met = px.join(fits, ["frame", "stack"]).join(whole, key, "left")
+    return met.withColumn("v", F.when(F.col("calibrated"), F.greatest(F.col("v") - F.col("m"), F.lit(0))).otherwise(F.col("v"))).drop("m")
 
 
 def gamma(v: Column, g: float, top: int = 255) -> Column:
@@ -85,7 +96,7 @@ def adaptive_midtones(px: DataFrame, stride: int = 2, target: float = 0.25, clip
     shadow = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("median") + clip * F.col("mad")))
     level = spread.withColumn("shadow", shadow).withColumn("m", midtones(F.col("median") - F.col("shadow"), target))
     cut = F.greatest(F.lit(0.0), (x - F.col("shadow")) / (1 - F.col("shadow")))
-    return px.join(level, "frame").withColumn("v", F.floor(midtones(cut, F.col("m")) * top).cast("int")).select(px.columns)
+    return px.join(level, "frame").withColumn("v", F.floor(F.round(midtones(cut, F.col("m")) * top, 6)).cast("int")).select(px.columns)
 
 
 def color_matrix(matrix: list[list[float]], r: Column, g: Column, b: Column, top: int = 255) -> list[Column]:
@@ -101,6 +112,29 @@ def grey_world(px: DataFrame, top: int = 255) -> DataFrame:
     return px.join(means, "frame").withColumns(scaled).drop("m_r", "m_g", "m_b")
 
 
+def balanced(r: Column, g: Column, b: Column, factors: tuple[float, float, float], top: int = 255) -> list[Column]:
+    """Channels times given factors, rounded to the even and clipped."""
+    return [F.least(F.lit(top), F.bround(c * f)).cast("int") for c, f in zip((r, g, b), factors, strict=True)]
+
+
+def midtone_levels(v: Column, m: float, top: int = 255) -> Column:
+    """A level of a channel through the midtones function."""
+    return F.floor(F.round(midtones(v / top, m) * top, 6)).cast("int")
+
+
+def saturated(r: Column, g: Column, b: Column, factor: float) -> list[Column]:
+    """Saturation times a factor, hue and value kept: a channel's distance from the greatest grows, down to zero at most."""
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    grown = F.when(most > least, F.least(F.lit(factor), most / (most - least))).otherwise(1.0)
+    return [F.bround(F.round(most - (most - c) * grown, 6)).cast("int") for c in (r, g, b)]
+
+
+def heat_colors(v: Column, top: int = 255) -> list[Column]:
+    """The usual blue to red colours of a grey level, piecewise linear."""
+    ramp = lambda centre: F.bround(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.5 - F.abs(4.0 * v / top - centre))) * 255, 6)).cast("int")
+    return [ramp(3), ramp(2), ramp(1)]
+
+
 def less_green(mode: str, r: Column, g: Column, b: Column, amount: float = 1.0) -> Column:
     """The green channel with its cast removed."""
     if mode == "average":
@@ -110,6 +144,8 @@ def less_green(mode: str, r: Column, g: Column, b: Column, amount: float = 1.0)
     if mode == "additive":
         m = F.least(F.lit(1.0), (r + b) / 255.0)
         return g * (1 - amount) * (1 - m) + m * g
+    if mode == "midtones":
+        return midtone_levels(g, amount)
     raise ValueError(mode)
 
 
@@ -126,17 +162,66 @@ def crop(px: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
     return px.where(inside).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
+def scaled_down(px: DataFrame, factor: int) -> DataFrame:
+    """Frames at a whole fraction of their size, by the mean of what a new pixel covers."""
+    to = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
+    return px.groupBy("frame", to("y"), to("x")).agg(F.bround(F.avg("v")).cast("int").alias("v"))
+
+
+def bordered(px: DataFrame, top: int, left: int, bottom: int, right: int, height: int, width: int, level: int = 0) -> DataFrame:
+    """Frames of ``height`` by ``width`` with a border of one level around them."""
+    moved_in = px.select("frame", (F.col("y") + top).cast("int").alias("y"), (F.col("x") + left).cast("int").alias("x"), "v")
+    across = F.explode(F.sequence(F.lit(0), F.lit(left + width + right - 1)))
+    grid = px.select("frame").distinct().select("frame", F.explode(F.sequence(F.lit(0), F.lit(top + height + bottom - 1))).alias("y")).select("frame", "y", across.alias("x"))
+    inner = F.col("y").between(top, top + height - 1) & F.col("x").between(left, left + width - 1)
+    return moved_in.union(grid.where(~inner).select("frame", "y", "x", F.lit(level).cast(px.schema["v"].dataType).alias("v")))
+
+
+def in_box(x0: int, y0: int, x1: int, y1: int) -> Column:
+    """Inside a region of interest, ends excluded."""
+    return (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)
+
+
 def in_circle(size: int, radius: float) -> Column:
     """N22, A23."""
     c = (size - 1) / 2
     return F.pow(F.col("x") - c, 2) + F.pow(F.col("y") - c, 2) <= radius * radius
 
 
+def frame_places(px: DataFrame) -> DataFrame:
+    """(stack, frame, col): each frame's place in its stack, numbered in slots of frames."""
+    return placed(px.select("stack", "frame").distinct(), ["stack"], [F.floor(F.col("frame") / FRAME_SLOT)], [F.col("frame")]).select("stack", "frame", (F.col("at") - 1).cast("int").alias("col"))
+
+
 def keogram(px: DataFrame, width: int) -> DataFrame:
     """The middle column of each frame by the frame's place in its stack."""
-    middle = px.where(F.col("x") == width // 2)
-    place = F.dense_rank().over(Window.partitionBy("stack").orderBy("frame")) - 1
-    return middle.select("stack", place.alias("col"), "y", "v")
+    return px.where(F.col("x") == width // 2).join(frame_places(px), ["stack", "frame"]).select("stack", "col", "y", "v")
+
+
+def turned_keogram(px: DataFrame, size: int, degrees: float, offset: tuple[int, int], top: int, bottom: int, factor: int) -> DataFrame:
+    """The column through the sky's centre, ``offset`` from the frame's, turned by an angle, trimmed and shrunk.
+
+    Row y of the column is read at the pixel nearest to where the turn puts it; rows outside the
+    frame are zero. ``top`` and ``bottom`` rows are cut off, then ``factor`` rows become their mean.
+    """
+    c, a = (size - 1) / 2, math.radians(degrees)
+    rows = [(y, math.floor(c + offset[1] + (y - c) * math.cos(a) + 0.5), math.floor(c + offset[0] - (y - c) * math.sin(a) + 0.5)) for y in range(top, size - bottom)]
+    # a row of the frame's height each, the same for all frames
+    line = F.broadcast(px.sparkSession.createDataFrame(rows, "row int, y int, x int"))
+    frames = frame_places(px).select("stack", "frame", "col", F.explode(F.sequence(F.lit(top), F.lit(size - bottom - 1))).alias("row"))
+    read = px.join(line, ["y", "x"]).select("stack", "frame", "row", "v")
+    whole = frames.join(read, ["stack", "frame", "row"], "left")
+    return whole.groupBy("stack", "col", F.floor((F.col("row") - top) / factor).cast("int").alias("y")).agg(F.bround(F.avg(F.coalesce("v", F.lit(0)))).cast("int").alias("v"))
+
+
+def trail_gates(limits: dict[str, float]) -> list[tuple[str, Column]]:
+    """The six reasons to leave a frame out of a star trail, in their order.
+
+    Looks at sun_alt, moon_alt, moon_phase, adu, bright (pixels above the mask's level) and stars.
+    """
+    moon = lambda kind: (F.col("moon_alt") > limits[f"{kind}_alt"]) & (F.col("moon_phase") > limits[f"{kind}_phase"])
+    few = F.col("stars") < limits["stars"] if limits["stars"] > 0 else F.lit(False)
+    return [("sun_alt", F.col("sun_alt") > limits["sun_alt"]), ("moon_mode", moon("moonmode")), ("moon_alt", moon("moon")), ("adu", F.col("adu") > limits["adu"]), ("pixels", F.col("bright") > limits["bright"]), ("stars", few)]
 
 
 def star_trail(px: DataFrame, gates: Column) -> DataFrame:

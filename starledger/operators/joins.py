@@ -69,6 +69,19 @@ def interval_join(targets: DataFrame, rows: DataFrame, by: list[str], time: str,
     return spread.join(rows.withColumn("slot", slot(F.col(time))), [*by, "slot"]).where((F.col(time) >= F.col("at") - before) & (F.col(time) <= F.col("at") + after)).drop("slot")
 
 
+def capture_triplets(rows: DataFrame, seconds: int, roles: tuple[str, ...] = ("preceding", "bad", "following")) -> DataFrame:
+    """Target, capture and the newest file of each role of the same capture within ``seconds``.
+
+    ``rows``: id, camera_id, wanted, t (whole seconds), doc (JSON with a list ``roles`` of
+    capture_id and role). A file may have several roles; the first names a wanted row's capture.
+    """
+    read = rows.withColumn("roles", F.from_json("doc", "roles array<struct<capture_id:string,role:string>>")["roles"])
+    files = read.select("id", "camera_id", "t", F.explode("roles").alias("r")).select("id", "camera_id", "t", F.col("r.capture_id").alias("capture"), "r.role")
+    targets = read.where("wanted").select(F.col("id").alias("target"), "camera_id", F.col("t").alias("at"), F.get("roles", F.lit(0))["capture_id"].alias("capture"))
+    met = interval_join(targets, files, ["camera_id", "capture"], "t", seconds, seconds)
+    return met.groupBy("target", "capture").agg(*[F.max(F.when(F.col("role") == r, F.col("id"))).alias(r) for r in roles])
+
+
 def grid_lookup(points: DataFrame, grid: DataFrame, half_lon: int, half_lat: int) -> DataFrame:
     """Greatest and mean grid value in a box around each point; longitudes wrap at 360.
 

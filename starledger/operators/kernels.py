@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,7 +79,7 @@ def equalize(a: np.ndarray, tiles: int = 2, clip: float = 2.0, levels: int = 256
     fy, fx = np.clip(ys - y0, 0, 1)[:, None], np.clip(xs - x0, 0, 1)[None, :]
     v = np.clip(a, 0, levels - 1).astype(int)
     look = lambda yy, xx: luts[yy[:, None], xx[None, :], v]
-    return np.floor((1 - fy) * ((1 - fx) * look(y0, x0) + fx * look(y0, x1)) + fy * ((1 - fx) * look(y1, x0) + fx * look(y1, x1)))
+    return np.floor(np.round((1 - fy) * ((1 - fx) * look(y0, x0) + fx * look(y0, x1)) + fy * ((1 - fx) * look(y1, x0) + fx * look(y1, x1)), 6))
 
 
 def debayer(a: np.ndarray) -> np.ndarray:
@@ -131,21 +132,89 @@ def template_hits(a: np.ndarray, template: np.ndarray, least: float = 0.6, apart
     return taken
 
 
-def strongest_line(a: np.ndarray, angles: int = 36) -> tuple[float, int, int]:
-    """Angle (degrees), distance and votes of the line through most edge pixels."""
+def lines(a: np.ndarray, low: float, high: float, votes: int, angles: int = 36) -> list[tuple[float, int, int]]:
+    """Angle (degrees), distance and votes of every line through at least ``votes`` edge pixels.
+
+    Edges are thin: pixels whose gradient is at least that of both neighbours across it, above
+    ``high``, or above ``low`` and joined to one above ``high``. The line of most votes is taken
+    first, the first of equals; pixels on it or beside it vote for no other.
+    """
+    y, x = np.nonzero(thin_edges(a, low, high))
+    theta = np.arange(angles) * np.pi / angles
+    reach = int(np.hypot(*a.shape)) + 1
+    rho = np.floor(np.outer(x, np.cos(theta)) + np.outer(y, np.sin(theta)) + 0.5).astype(int) + reach
+    out = []
+    while len(rho) >= votes:
+        count = np.stack([np.bincount(rho[:, i], minlength=2 * reach + 1) for i in range(angles)])
+        i, r = np.unravel_index(count.argmax(), count.shape)
+        if count[i, r] < votes:
+            break
+        out.append((float(np.degrees(theta[i])), int(r) - reach, int(count[i, r])))
+        rho = rho[np.abs(rho[:, i] - r) > 1]
+    return out
+
+
+def thin_edges(a: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edge pixels by the gradient's size and direction, with two thresholds."""
     gy, gx = np.gradient(a)
     size = np.hypot(gx, gy)
-    y, x = np.nonzero(size > size.mean() + size.std())
-    theta = np.arange(angles) * np.pi / angles
-    rho = np.floor(np.outer(x, np.cos(theta)) + np.outer(y, np.sin(theta)) + 0.5).astype(int)
-    best = (0.0, 0, 0)
-    for i in range(angles):
-        if len(rho):
-            v, n = np.unique(rho[:, i], return_counts=True)
-            j = int(n.argmax())
-            if n[j] > best[2]:
-                best = (float(np.degrees(theta[i])), int(v[j]), int(n[j]))
-    return best
+    padded = np.pad(size, 1)
+    octant = np.round(np.degrees(np.arctan2(gy, gx)) / 45).astype(int) % 4
+    steps = [(0, 1), (1, 1), (1, 0), (1, -1)]
+    near = lambda dy, dx: padded[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]]
+    ahead = np.select([octant == k for k in range(4)], [near(*s) for s in steps])
+    behind = np.select([octant == k for k in range(4)], [near(-s[0], -s[1]) for s in steps])
+    thin = (size >= ahead) & (size > behind) & (size > low)
+    strong = thin & (size > high)
+    while True:  # weak edges beside strong ones
+        grown = thin & (np.lib.stride_tricks.sliding_window_view(np.pad(strong, 1), (3, 3)).any(axis=(2, 3)))
+        if (grown == strong).all():
+            return strong
+        strong = grown
+
+
+def filled(a: np.ndarray, holes: np.ndarray, most: int = 50_000) -> np.ndarray:
+    """Each hole takes the greater of the values two above and two to the left, in row order.
+
+    At the edge the value two below or to the right stands in. A hole filled before counts as
+    filled. Frames of more than ``most`` holes stay as they are.
+    """
+    out = a.copy()
+    at = np.argwhere(holes)
+    if len(at) <= most:
+        for y, x in at:
+            out[y, x] = max(out[y - 2 if y >= 2 else y + 2, x], out[y, x - 2 if x >= 2 else x + 2])
+    return out
+
+
+def difference_blobs(a: np.ndarray, fine: float, coarse: float, least: float) -> list[tuple[int, int, float]]:
+    """X, y and strength of peaks of the difference of two Gaussians, in row order."""
+    d = gaussian_filter(a, fine) - gaussian_filter(a, coarse)
+    d = np.round(d, 9)
+    y, x = np.nonzero((d == windows(d, 3).max(axis=(2, 3))) & (d > least))
+    return [(int(i), int(j), float(d[j, i])) for j, i in zip(y, x, strict=True)]
+
+
+def wavelet_denoise(a: np.ndarray, levels: int = 2, factor: float = 1.0) -> np.ndarray:
+    """Haar wavelets, soft thresholds from the finest details' median deviation, put together again."""
+    h, w = a.shape
+    low, details = a.astype(float), []
+    for _ in range(levels):
+        if low.shape[0] % 2 or low.shape[1] % 2:
+            break
+        p, q, r, s = low[0::2, 0::2], low[0::2, 1::2], low[1::2, 0::2], low[1::2, 1::2]
+        details.append(((p - q + r - s) / 2, (p + q - r - s) / 2, (p - q - r + s) / 2))
+        low = (p + q + r + s) / 2
+    if not details:
+        return a
+    limit = factor * np.median(np.abs(details[0][2])) / 0.6745 * math.sqrt(2 * math.log(h * w))
+    soft = lambda d: np.sign(d) * np.maximum(np.abs(d) - limit, 0)
+    for across, down, both in reversed([tuple(map(soft, d)) for d in details]):
+        up = np.empty((low.shape[0] * 2, low.shape[1] * 2))
+        up[0::2, 0::2], up[0::2, 1::2] = (low + across + down + both) / 2, (low - across + down - both) / 2
+        up[1::2, 0::2], up[1::2, 1::2] = (low + across - down - both) / 2, (low - across - down + both) / 2
+        low = up
+    return low
 
 
 def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

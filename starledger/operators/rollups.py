@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starledger.sources.sinks import stored
+
 from .filters import all_or_defaults
 
 NIGHT = ["camera_id", "day_date", "night"]
@@ -126,11 +128,11 @@ def class_ranges(df: DataFrame, label: str, metrics: list[str]) -> DataFrame:
 def two_means(df: DataFrame, columns: list[str], rounds: int = 50) -> tuple[dict[str, float], dict[str, float]]:
     """Two centres in standardised log space, from the rows of least and greatest score.
 
-    Every round is one aggregation; only the two centres come to the driver.
+    Every round is one aggregation of the stored logarithms; only the two centres come to the driver.
     """
     logs = df.select(*[F.ln(c).alias(c) for c in columns])
     spread = logs.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    z = logs.select(*[((F.col(c) - spread[f"m_{c}"]) / (spread[f"s_{c}"] or 1.0)).alias(c) for c in columns])
+    z = stored(logs.select(*[((F.col(c) - spread[f"m_{c}"]) / (spread[f"s_{c}"] or 1.0)).alias(c) for c in columns]), "logs")
     score = reduce(Column.__add__, [F.col(c) for c in columns])
     ends = z.agg(F.min_by(F.struct(*columns), F.struct(score, *columns)).alias("low"), F.max_by(F.struct(*columns), F.struct(score, *columns)).alias("high")).first()
     centres = [ends.low.asDict(), ends.high.asDict()]

@@ -21,14 +21,20 @@ EXPOSURES: dict[str, Callable[[Column, Column, Column], tuple[Column, Column]]]
 #: Stretches of a pixel table.
 STRETCHES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "deviation": lambda px: frames.deviation_stretch(px, 2.25),
-    "midtones": lambda px: px.withColumn("v", F.floor(frames.midtones(F.col("v") / 255, 0.25) * 255).cast("int")),
-    "midtones_twice": lambda px: px.withColumn("v", F.floor(frames.midtones(frames.midtones(F.col("v") / 255, 0.35), 0.35) * 255).cast("int")),
+    "midtones": lambda px: px.withColumn("v", frames.midtone_levels(F.col("v"), 0.25)),
+    "midtones_twice": lambda px: px.withColumn("v", F.floor(F.round(frames.midtones(frames.midtones(F.col("v") / 255, 0.35), 0.35) * 255, 6)).cast("int")),
     "adaptive": frames.adaptive_midtones,
 }
 #: Stacks of a pixel table.
 STACKS: dict[str, Callable[[DataFrame], DataFrame]] = {how: (lambda px, how=how: frames.stack(px, how)) for how in ("average", "maximum", "minimum")} | {"sigma_clipped": lambda px: frames.clipped_stack(px, 5.0)}
 #: E5: jobs over frames.
 JOBS: dict[str, Callable[[DataFrame], DataFrame]] = {"night_rollup": rollups.night_rollup, "night_rollup_defaults": rollups.night_rollup_defaults}
+#: The remote place of an asset by transport; the transports themselves are outside of Spark.
+UPLOADS: dict[str, Callable[[], Column]] = {
+    "object_store": lambda: F.concat_ws("/", F.lit("s3://store"), "kind", F.col("id").cast("string")),
+    "file_transfer": lambda: F.concat(F.lit("sftp://host/"), F.col("camera_id").cast("string"), F.lit("/"), F.date_format("day_date", "yyyyMMdd"), F.lit("/"), F.col("kind"), F.lit("-"), F.col("id").cast("string")),
+    "web_folder": lambda: F.concat(F.lit("https://dav/"), F.date_format("day_date", "yyyy-MM"), F.lit("/"), F.col("id").cast("string")),
+}
 
 
 def named(kind: dict[str, Callable], name: str) -> Callable:

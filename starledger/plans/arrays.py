@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starledger.operators import frames as op
-from starledger.operators import kernels, strategies
+from starledger.operators import kernels, rollups, strategies
 
 from .registry import query
 
@@ -47,17 +47,20 @@ def bad_pixel_map(t):
     return op.hot_pixels(_px(t), 170)
 
 
-@query(f"with {PX}, m as (select stack, y, x, floor(avg(v))::int as m from px group by all) select frame, stack, y, x, greatest(v - m, 0) as v from px join m using (stack, y, x)")
+@query(f"with {PX}, m as (select stack, y, x, greatest(floor(avg(v))::int, case when max(v) >= 230 then max(v) else 0 end) as m from px group by all) select frame, stack, y, x, greatest(v - m, 0) as v, true as calibrated from px join m using (stack, y, x)")
 def dark_subtract(t):
-    """N7, N9."""
+    """The master dark, and the bad-pixel map where it is greater."""
     px = _px(t)
-    return op.subtract(px, op.stack(px, "average")).select("frame", "stack", "y", "x", "v")
+    return op.subtract(px, op.stack(px, "average"), op.hot_pixels(px, 230)).select("frame", "stack", "y", "x", "v", "calibrated")
 
 
-@query(f"with {PX} select frame, y, x, case when v > 160 then coalesce(case when lag(v, 2) over w is null then lead(v, 2) over w when lead(v, 2) over w is null then lag(v, 2) over w else greatest(lag(v, 2) over w, lead(v, 2) over w) end, v) else v end as v from px window w as (partition by frame, y order by x)")
+@query("""with recursive base as (select vec_id as frame, [floor((e::double + 0.6) * 200)::int for e in embedding] as o from embeddings),
+r as (select frame, 0 as i, o, o as a from base
+union all select frame, i + 1, o, case when o[i + 1] > 160 then a[:i] || [greatest(case when i >= 16 then a[i + 1 - 16] else a[i + 1 + 16] end, case when i % 8 >= 2 then a[i + 1 - 2] else a[i + 1 + 2] end)] || a[i + 2:] else a end from r where i < 64)
+select frame, (k // 8)::int as y, (k % 8)::int as x, a[k + 1]::double as v from r, range(64) t(k) where i = 64""")
 def hole_fill(t):
     """N8."""
-    return op.fill_holes(_px(t), F.col("v") > 160).select("frame", "y", "x", "v")
+    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: _cells(kernels.filled(a, a > 160)), "frame bigint, y int, x int, v double")
 
 
 @query(f"with {PX} select frame, y, x, floor(pow(v / 255.0, 1 / 2.2::double) * 255)::int as gamma, v >> 1 as shifted from px")
@@ -78,9 +81,16 @@ def stretch_midtones(t):
     return _px(t).select("frame", "y", "x", F.round(op.midtones(F.col("v") / 255, 0.25), 6).alias("v"))
 
 
-@query()
+_ADAPTIVE = f"""with {PX}, s as (select frame, v / 255.0::double as s from px where y % 2 = 0 and x % 2 = 0), a as (select frame, quantile_cont(s, 0.5) as median from s group by frame),
+b as (select frame, median, quantile_cont(abs(s - median), 0.5) * 1.4826 as mad from s join a using (frame) group by all), c as (select frame, median, greatest(0.0, least(1.0, median - 2.8 * mad)) as shadow from b),
+d as (select *, median - shadow as t from c), e as (select frame, shadow, case when t <= 0 then 0.0 when t >= 1 then 1.0 else (0.25 - 1) * t / ((2 * 0.25 - 1) * t - 0.25) end as m from d),
+f as (select px.frame, y, x, m, greatest(0.0, (v / 255.0::double - shadow) / (1 - shadow)) as z from px join e using (frame))
+select frame, y, x, floor(round(case when z <= 0 then 0.0 when z >= 1 then 1.0 else (m - 1) * z / ((2 * m - 1) * z - m) end * 255, 6))::int as v from f"""
+
+
+@query(_ADAPTIVE)
 def stretch_adaptive(t):
-    """Tests hold it against numpy."""
+    """N15."""
     return op.adaptive_midtones(_px(t)).select("frame", "y", "x", "v")
 
 
@@ -98,6 +108,60 @@ def white_balance(t):
     return op.grey_world(_rgb(t)).select("frame", "y", "x", "r", "g", "b")
 
 
+@query(f"with {PX}, {RGB} select frame, y, x, least(255, round_even(r * 1.3::double, 0))::int as r, least(255, round_even(g * 0.9::double, 0))::int as g, least(255, round_even(b * 1.1::double, 0))::int as b from rgb")
+def white_balance_manual(t):
+    """Given factors."""
+    made = op.balanced(F.col("r"), F.col("g"), F.col("b"), (1.3, 0.9, 1.1))
+    return _rgb(t).select("frame", "y", "x", *[c.alias(n) for n, c in zip("rgb", made, strict=True)])
+
+
+def _sql_midtones(v, m):
+    return f"floor(round(case when {v} <= 0 then 0.0 when {v} >= 255 then 1.0 else ({m} - 1) * ({v} / 255.0::double) / ((2 * {m} - 1) * ({v} / 255.0::double) - {m}) end * 255, 6))::int"
+
+
+@query(f"with {PX}, {RGB} select frame, y, x, {_sql_midtones('r', 0.4)} as r, {_sql_midtones('g', 0.5)} as g, {_sql_midtones('b', 0.6)} as b from rgb")
+def white_balance_midtones(t):
+    """A midtones function for each channel."""
+    return _rgb(t).select("frame", "y", "x", *[op.midtone_levels(F.col(c), m).alias(c) for c, m in zip("rgb", (0.4, 0.5, 0.6), strict=True)])
+
+
+@query(f"with {PX}, {RGB} select frame, y, x, {_sql_midtones('g', 0.55)} as g from rgb")
+def green_midtones(t):
+    """The green channel's midtones lowered."""
+    r, g, b = (F.col(c) for c in "rgb")
+    return _rgb(t).select("frame", "y", "x", op.less_green("midtones", r, g, b, 0.55).alias("g"))
+
+
+_GROWN = "case when hi > lo then least(1.4::double, hi / (hi - lo)::double) else 1.0 end"
+
+
+@query(f"with {PX}, {RGB}, h as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from rgb) select frame, y, x, " + ", ".join(f"round_even(round(hi - (hi - {c}) * {_GROWN}, 6), 0)::int as {c}" for c in "rgb") + " from h")
+def saturation(t):
+    """N20."""
+    made = op.saturated(F.col("r"), F.col("g"), F.col("b"), 1.4)
+    return _rgb(t).select("frame", "y", "x", *[c.alias(n) for n, c in zip("rgb", made, strict=True)])
+
+
+@query(f"with {PX} select frame, y, x, " + ", ".join(f"round_even(round(least(1.0::double, greatest(0.0::double, 1.5 - abs(4.0::double * v / 255 - {k}))) * 255, 6), 0)::int as {c}" for c, k in zip("rgb", (3, 2, 1), strict=True)) + " from px")
+def colormap(t):
+    """N20."""
+    return _px(t).select("frame", "y", "x", *[c.alias(n) for n, c in zip("rgb", op.heat_colors(F.col("v")), strict=True)])
+
+
+@query(f"with {PX} select frame, 'half' as how, (y // 2)::int as y, (x // 2)::int as x, round_even(avg(v), 0)::int as v from px group by all union all select frame, 'border', b.y::int, a.x::int, coalesce(px.v, 7) from (select distinct vec_id as f from embeddings) f, range(11) b(y), range(12) a(x) left join px on px.frame = f and px.y = b.y - 1 and px.x = a.x - 3".replace("select frame, 'border'", "select f as frame, 'border'"))
+def scale_and_border(t):
+    """Half the size, and a border of one, three, two and one pixels."""
+    px = _px(t)
+    return op.scaled_down(px, 2).withColumn("how", F.lit("half")).unionByName(op.bordered(px, 1, 3, 2, 1, SIZE, SIZE, 7).withColumn("how", F.lit("border"))).select("frame", "how", "y", "x", "v")
+
+
+@query(f"with {PX} select frame, round(avg(v) filter (x >= 2 and x < 6 and y >= 1 and y < 7), 6) as region, round(avg(v) filter (x >= 2 and x < 6 and y >= 1 and y < 7 and pow(x - 3.5, 2) + pow(y - 3.5, 2) <= 9), 6) as detection from px group by frame")
+def region_means(t):
+    """A region of interest, and what of it lies in the image circle, where stars are looked for."""
+    box, both = op.in_box(2, 1, 6, 7), op.in_box(2, 1, 6, 7) & op.in_circle(SIZE, 3.0)
+    return _px(t).groupBy("frame").agg(F.round(F.avg(F.when(box, F.col("v"))), 6).alias("region"), F.round(F.avg(F.when(both, F.col("v"))), 6).alias("detection"))
+
+
 @query(f"with {PX}, {RGB} select frame, y, x, least(g::double, (r + b) / 2) as average, least(g, greatest(r, b)) as maximum, round(g * 0.5::double * (1 - least(1.0::double, (r + b) / 255.0::double)) + least(1.0::double, (r + b) / 255.0::double) * g, 6) as additive from rgb")
 def green_removal(t):
     """N19."""
@@ -144,12 +208,36 @@ def keogram(t):
     return op.keogram(_px(t), SIZE)
 
 
-@query(f"with {PX}, f as (select frame, avg(v) as mean from px group by frame) select stack, y, x, max(v) as v from px join f using (frame) where mean between 110 and 125 group by all")
+_TURN = ", ".join(f"({y}, {float(3.5 + 1 + (y - 3.5) * np.cos(np.radians(30.0)) + 0.5)!r}, {float(3.5 - (y - 3.5) * np.sin(np.radians(30.0)) + 0.5)!r})" for y in range(1, 7))
+
+
+@query(f"with {PX}, line as (select row::int as row, floor(fy)::int as y, floor(fx)::int as x from (values {_TURN}) t(row, fy, fx)), c as (select stack, frame, (row_number() over (partition by stack order by frame) - 1)::int as col from (select distinct stack, frame from px)) select c.stack, c.col, ((line.row - 1) // 2)::int as y, round_even(avg(coalesce(px.v, 0)), 0)::int as v from c cross join line left join px on px.frame = c.frame and px.stack = c.stack and px.y = line.y and px.x = line.x group by all")
+def keogram_turned(t):
+    """Recentred by a row, turned by thirty degrees, trimmed by a row at both ends, half as high."""
+    return op.turned_keogram(_px(t), SIZE, 30.0, (0, 1), 1, 1, 2)
+
+
+#: Where the sun and the moon are, and how full it is, from the frame's number, as there is no ephemeris here.
+_GATED = "g as (select frame, any_value(stack) as stack, frame % 40 - 36 as sun_alt, frame % 50 - 25 as moon_alt, frame % 101 as moon_phase, avg(v) as adu, count(*) filter (v > 190) as bright, frame % 13 as stars from px group by frame), w as (select *, case when sun_alt > 0 then 'sun_alt' when moon_alt > 5 and moon_phase > 66 then 'moon_mode' when moon_alt > 20 and moon_phase > 33 then 'moon_alt' when adu > 125 then 'adu' when bright > 4 then 'pixels' when stars < 2 then 'stars' else 'used' end as reason from g)"
+_LIMITS = {"sun_alt": 0, "moonmode_alt": 5, "moonmode_phase": 66, "moon_alt": 20, "moon_phase": 33, "adu": 125, "bright": 4, "stars": 2}
+
+
+def _gated(t):
+    n, mean = F.col("frame"), F.aggregate("values", F.lit(0), lambda a, v: a + v) / SIZE**2
+    seen = _frames(t).withColumns({"sun_alt": n % 40 - 36, "moon_alt": n % 50 - 25, "moon_phase": n % 101, "adu": mean, "bright": F.size(F.filter("values", lambda v: v > 190)), "stars": n % 13})
+    return seen.withColumn("reason", rollups.reasons(seen, op.trail_gates(_LIMITS)))
+
+
+@query(f"with {PX}, {_GATED} select px.stack, y, x, max(v) as v from px join w using (frame) where reason = 'used' group by all")
 def star_trail(t):
-    """Frames gate themselves by their brightness."""
-    frames = _frames(t)
-    mean = F.aggregate("values", F.lit(0), lambda a, v: a + v) / SIZE**2
-    return op.star_trail(op.pixels(frames.where(mean.between(110, 125)), SIZE), F.lit(True))
+    """Frames pass six gates by their own values, before their pixels are spread."""
+    return op.star_trail(op.pixels(_gated(t).where("reason = 'used'"), SIZE), F.lit(True))
+
+
+@query(f"with {PX}, {_GATED} select stack, reason, count(*) as n from w group by all")
+def star_trail_exclusions(t):
+    """How many frames each gate left out, the first that fails counting."""
+    return _gated(t).groupBy("stack", "reason").agg(F.count("*").alias("n"))
 
 
 @query("""with b as (select floor(epoch(create_date)::bigint / 3600)::bigint as bucket, avg(adu) as r, avg(stars) as g from frames where camera_id = 1 group by 1)
@@ -183,20 +271,61 @@ def _cells(a):
     return [(y, x, float(round(a[y, x], 6))) for y in range(a.shape[0]) for x in range(a.shape[1])]
 
 
-_FILTERS = {"median": kernels.median_filter, "gaussian": kernels.gaussian_filter, "bilateral": kernels.bilateral_filter, "blend": lambda a: kernels.adaptive_blend(a, kernels.median_filter(a)), "sharpen": kernels.sharpen, "equalize": kernels.equalize}
+def _near(r):
+    """SQL: all values around each pixel, edges repeated, with their distance."""
+    return f"near{r} as (select a.frame, a.y, a.x, a.v as own, b.v, d.d as dy, e.d as dx from px a, range(-{r}, {r + 1}) d(d), range(-{r}, {r + 1}) e(d), px b where b.frame = a.frame and b.y = least(7, greatest(0, a.y + d.d)) and b.x = least(7, greatest(0, a.x + e.d)))"
+
 
+_GAUSS = "sum(v * exp(-0.5 * (dy * dy + dx * dx))) / sum(exp(-0.5 * (dy * dy + dx * dx)))"
+_MEDIAN = f"with {PX}, {_near(1)}, m as (select frame, y, x, any_value(own) as own, quantile_cont(v, 0.5) as m, var_pop(v) as var from near1 group by all)"
+_TILE = """with {px}, tile as (select frame, y // 4 as ty, x // 4 as tx, v, count(*) as n from px group by all), spare as (select frame, ty, tx, sum(greatest(n - 1.0, 0)) / 256 as spare from tile group by all),
+spot as (select frame, y, x, v, greatest(0, least(1, floor((y + 0.5) / 4 - 0.5)))::int as y0, greatest(0, least(1, floor((x + 0.5) / 4 - 0.5)))::int as x0, (y + 0.5) / 4 - 0.5 as ys, (x + 0.5) / 4 - 0.5 as xs from px),
+c as (select *, least(y0 + 1, 1) as y1, least(x0 + 1, 1) as x1, least(1.0, greatest(0.0, ys - y0)) as fy, least(1.0, greatest(0.0, xs - x0)) as fx from spot),
+w as (select frame, y, x, v, unnest([y0, y0, y1, y1]) as ty, unnest([x0, x1, x0, x1]) as tx, unnest([(1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx]) as share from c),
+l as (select w.frame, w.y, w.x, w.share, ((select count(*) from tile where tile.frame = w.frame and tile.ty = w.ty and tile.tx = w.tx and tile.v <= w.v) + spare.spare * (w.v + 1)) * 255.0::double / 16 as level from w join spare on spare.frame = w.frame and spare.ty = w.ty and spare.tx = w.tx)
+select frame, y, x, floor(round(sum(share * level), 6))::double as v from l group by all""".replace("{px}", PX)
+_FILTERS = {
+    "median": (kernels.median_filter, f"{_MEDIAN} select frame, y, x, round(m::double, 6) as v from m"),
+    "gaussian": (kernels.gaussian_filter, f"with {PX}, {_near(3)} select frame, y, x, round({_GAUSS}, 6) as v from near3 group by all"),
+    "bilateral": (kernels.bilateral_filter, f"with {PX}, {_near(2)}, w as (select *, exp(-0.5 * (dy * dy + dx * dx) / 2.25) * exp(-0.5 * pow((v - own) / 20.0::double, 2)) as w from near2) select frame, y, x, round(sum(v * w) / sum(w), 6) as v from w group by all"),
+    "blend": (lambda a: kernels.adaptive_blend(a, kernels.median_filter(a)), f"{_MEDIAN}, s as (select *, greatest(0.0, least(1.0, 1 - var / (avg(var) over (partition by frame) + 1e-9))) as share from m) select frame, y, x, round(share * m + (1 - share) * own, 6) as v from s"),
+    "sharpen": (kernels.sharpen, f"with {PX}, {_near(3)}, g as (select frame, y, x, any_value(own) as own, {_GAUSS} as g from near3 group by all) select frame, y, x, round(least(255.0::double, greatest(0.0::double, own + (own - g))), 6) as v from g"),
+    "equalize": (kernels.equalize, _TILE),
+}
 
-for _name, _f in _FILTERS.items():
-    query(name=f"filter_{_name}")(lambda t, f=_f: kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: _cells(f(a)), "frame bigint, y int, x int, v double"))
+
+for _name, (_f, _sql) in _FILTERS.items():
+    query(_sql, name=f"filter_{_name}")(lambda t, f=_f: kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: _cells(f(a)), "frame bigint, y int, x int, v double"))
 
 
 @query()
+def filter_wavelet(t):
+    """Tests hold it against a plain transform."""
+    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: _cells(kernels.wavelet_denoise(a)), "frame bigint, y int, x int, v double")
+
+
+_COLOR_OF = "case when {y} % 2 = 0 and {x} % 2 = 0 then 0 when ({y} + {x}) % 2 = 1 then 1 else 2 end"
+
+
+@query(f"with {PX}, n as (select a.frame, a.y, a.x, a.v as own, {_COLOR_OF.format(y='a.y', x='a.x')} as k, b.v, {_COLOR_OF.format(y='b.y', x='b.x')} as kb from px a join px b on a.frame = b.frame and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1) select frame, y, x, " + ", ".join(f"round(coalesce(max(own) filter (k = {i}), avg(v) filter (kb = {i}))::double, 6) as {c}" for i, c in enumerate("rgb")) + " from n group by all")
 def debayer(t):
     """N23."""
-    rows = lambda rgb: [(y, x, *map(float, rgb[y, x])) for y in range(SIZE) for x in range(SIZE)]
+    rows = lambda rgb: [(y, x, *np.round(rgb[y, x], 6).tolist()) for y in range(SIZE) for x in range(SIZE)]
     return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: rows(kernels.debayer(a)), "frame bigint, y int, x int, r double, g double, b double")
 
 
+def _blur(r, sigma):
+    w = f"exp(-0.5 * (dy * dy + dx * dx) / {sigma * sigma}::double)"
+    return f"(select frame, y, x, sum(v * {w}) / sum({w}) as g from near{r} group by all)"
+
+
+@query(f"with {PX}, {_near(3)}, {_near(6)}, d as (select frame, y, x, round(a.g - b.g, 9) as d from {_blur(3, 1.0)} a join {_blur(6, 2.0)} b using (frame, y, x)) select a.frame, a.x, a.y, round(any_value(a.d), 6) as strength from d a join d b on a.frame = b.frame and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 where a.d > 12 group by a.frame, a.y, a.x having any_value(a.d) = max(b.d)")
+def star_differences(t):
+    """Peaks of the difference of two Gaussians."""
+    peaks = lambda a: [(x, y, round(d, 6)) for x, y, d in kernels.difference_blobs(a, 1.0, 2.0, 12.0)]
+    return kernels.over_frames(_frames(t), SIZE, SIZE, peaks, "frame bigint, x int, y int, strength double")
+
+
 @query()
 def star_blobs(t):
     """N25."""
@@ -212,17 +341,17 @@ def star_templates(t):
 
 @query()
 def meteor_lines(t):
-    """N26."""
-    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [kernels.strongest_line(a)], "frame bigint, angle double, distance int, votes int")
+    """All lines of a frame, none where no line has the votes; tests hold it against drawn lines."""
+    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: kernels.lines(a, 20.0, 40.0, 5), "frame bigint, angle double, distance int, votes int")
 
 
-@query()
+@query(f"{_MEDIAN}, b as (select frame, y, x, own - m > 2.0 * stddev_pop(own) over (partition by frame) as bright from m), g as (select a.frame, a.y, a.x, bool_or(b.bright) as kept from b a join b b on a.frame = b.frame and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all) select frame, count(*) filter (kept)::int as kept from g group by frame")
 def protection_masks(t):
-    """N32."""
+    """How many pixels denoising leaves alone."""
     return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [(int(kernels.protection_mask(a).sum()),)], "frame bigint, kept int")
 
 
-@query()
+@query("select vec_id as frame, 1 as dy, 2 as dx from embeddings")
 def registration(t):
     """The offset of each frame against the one rolled by (1, 2)."""
     return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [kernels.shift_between(a, np.roll(a, (1, 2), axis=(0, 1)))], "frame bigint, dy int, dx int")
@@ -263,20 +392,42 @@ def frame_repair(t):
     return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: _cells(repair.repaired(a * 300, (2.0, 1.9, 1.9, 1.8), 60_000)), "frame bigint, y int, x int, v double")
 
 
+query(f"with {PX}, m as (select stack, y, x, quantile_cont(v, 0.5) as median, stddev_pop(v) as deviation from px group by all) select stack, y, x, count(*) as n, round(avg(v), 6) as mean from px join m using (stack, y, x) where abs(v - median) <= 5.0 * deviation group by all", name="strategy_stack_sigma_clipped")(
+    lambda t: strategies.named(strategies.STACKS, "sigma_clipped")(_px(t)).withColumn("mean", F.round("mean", 6))
+)
+query("select camera_id, day_date, night, count(*) as frames, max(stars) as max_stars from frames where not exclude group by all", name="strategy_job_night_rollup")(lambda t: strategies.named(strategies.JOBS, "night_rollup")(t.frames).select("camera_id", "day_date", "night", "frames", "max_stars"))
 for _name, _sql in (("average", "floor(avg(v))::int"), ("maximum", "max(v)")):
     query(f"with {PX} select stack, y, x, {_sql} as v from px group by all", name=f"strategy_stack_{_name}")(lambda t, n=_name: strategies.named(strategies.STACKS, n)(_px(t)))
-for _name in ("deviation", "midtones", "midtones_twice", "adaptive"):
-    query(name=f"strategy_stretch_{_name}")(lambda t, n=_name: strategies.named(strategies.STRETCHES, n)(_px(t)).select("frame", "y", "x", "v"))
+_TWICE = "(0.35 - 1) * {x} / ((2 * 0.35 - 1) * {x} - 0.35)"
+_STRETCHED = {
+    "deviation": f"with {PX}, s as (select frame, greatest(0, avg(v) - 2.25 * stddev_pop(v)) as lo from px group by frame) select frame, y, x, floor(round(least(255.0, greatest(0.0, (v - lo) * 255 / (255 - lo))), 6))::int as v from px join s using (frame)",
+    "midtones": f"with {PX} select frame, y, x, {_sql_midtones('v', 0.25)} as v from px",
+    "midtones_twice": f"with {PX}, a as (select frame, y, x, case when v <= 0 then 0.0 when v >= 255 then 1.0 else {_TWICE.format(x='(v / 255.0::double)')} end as a from px) select frame, y, x, floor(round(case when a <= 0 then 0.0 when a >= 1 then 1.0 else {_TWICE.format(x='a')} end * 255, 6))::int as v from a",
+    "adaptive": _ADAPTIVE,
+}
+for _name, _sql in _STRETCHED.items():
+    query(_sql, name=f"strategy_stretch_{_name}")(lambda t, n=_name: strategies.named(strategies.STRETCHES, n)(_px(t)).select("frame", "y", "x", "v"))
 
 
 @query("""select id, round(least(60.0, greatest(0.00001, case when adu > 0 then exposure - (exposure - exposure * (75.0 / adu)) * 0.5 else exposure end)), 8) as exposure, round(least(1000.0::double, greatest(0.0::double, case when adu > 0 then gain + 20 * log10(75.0 / adu) else gain end)), 8) as gain from frames""")
 def strategy_exposures(t):
-    """E2, E6."""
+    """E2."""
     e, g, adu = F.col("exposure"), F.col("gain").cast("double"), F.col("adu")
     first, second = strategies.named(strategies.EXPOSURES, "exposure_first")(e, g, adu), strategies.named(strategies.EXPOSURES, "gain_first")(e, g, adu)
     return t.frames.select("id", F.round(first[0], 8).alias("exposure"), F.round(second[1], 8).alias("gain"))
 
 
+_REMOTE = {"object_store": "'s3://store/' || kind || '/' || id", "file_transfer": "'sftp://host/' || camera_id || '/' || strftime(day_date, '%Y%m%d') || '/' || kind || '-' || id", "web_folder": "'https://dav/' || strftime(day_date, '%Y-%m') || '/' || id"}
+
+
+@query(" union all ".join(f"select id, '{n}' as transport, {x} as target from assets where not uploaded" for n, x in _REMOTE.items()))
+def strategy_uploads(t):
+    """Where each transport of the configuration puts what is not uploaded yet."""
+    rows = t.assets.where("not uploaded")
+    targets = F.array(*[F.struct(F.lit(n).alias("transport"), strategies.named(strategies.UPLOADS, n)().alias("target")) for n in _REMOTE])
+    return rows.select("id", F.explode(targets).alias("u")).select("id", "u.transport", "u.target")
+
+
 @query("select id as key, '{\"camera\": ' || camera_id || ', \"stars\": ' || (stars + 1) || '}' as document, case when stars % 10 = 0 then 'ValueError' end as failure from frames where stars % 10 > 0 union all select id, '{\"camera\": ' || camera_id || ', \"stars\": ' || stars || '}', 'ValueError' from frames where stars % 10 = 0")
 def presave_hooks(t):
     """A failing hook leaves its document as it was."""

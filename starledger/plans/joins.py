@@ -91,14 +91,13 @@ def asof_nearest_pair(t):
     return op.asof_neighbours(t.frames.select("id", "camera_id", "exclude", _seconds().alias("t")), F.col("exclude"), ["camera_id"], "t", "id", 3000)
 
 
-@query("""with s as (select id, camera_id, stars, case stars % 3 when 0 then 'image' when 1 then 'fits' else 'raw' end as role, floor(epoch(create_date))::bigint as t from frames)
-select a.id as target, max(b.id) filter (b.role = 'image') as image, max(b.id) filter (b.role = 'fits') as fits, max(b.id) filter (b.role = 'raw') as raw
-from s a join s b on a.camera_id = b.camera_id and b.t between a.t - 900 and a.t + 900 where a.stars = 50 group by a.id""")
+@query("""with s as (select id, camera_id, stars, 'c' || (stars % 10) as capture, case stars % 3 when 0 then 'preceding' when 1 then 'bad' else 'following' end as role, floor(epoch(create_date))::bigint as t from frames)
+select a.id as target, a.capture, max(b.id) filter (b.role = 'preceding') as preceding, max(b.id) filter (b.role = 'bad') as bad, max(b.id) filter (b.role = 'following') as following
+from s a join s b on a.camera_id = b.camera_id and a.capture = b.capture and b.t between a.t - 900 and a.t + 900 where a.stars % 10 = 0 group by a.id, a.capture""")
 def diagnostics_triplet(t):
-    """The newest file of each role within a quarter of an hour."""
-    rows = t.frames.select("id", "camera_id", "stars", F.element_at(F.array(F.lit("image"), F.lit("fits"), F.lit("raw")), F.col("stars") % 3 + 1).alias("role"), _seconds().alias("t"))
-    targets = rows.where("stars = 50").select(F.col("id").alias("target"), "camera_id", F.col("t").alias("at"))
-    return op.interval_join(targets, rows, ["camera_id"], "t", 900, 900).groupBy("target").agg(*[F.max(F.when(F.col("role") == r, F.col("id"))).alias(r) for r in ("image", "fits", "raw")])
+    """The newest file of each role of a frame's capture within a quarter of an hour; the capture's name and role are nested in a document."""
+    doc = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("c"), (F.col("stars") % 10).cast("string")).alias("capture_id"), F.element_at(F.array(F.lit("preceding"), F.lit("bad"), F.lit("following")), F.col("stars") % 3 + 1).alias("role"))).alias("roles")))
+    return op.capture_triplets(t.frames.select("id", "camera_id", (F.col("stars") % 10 == 0).alias("wanted"), _seconds().alias("t"), doc.alias("doc")), 900)
 
 
 @query("""with s as (select id, camera_id, detections, stars, floor(epoch(create_date))::bigint as t from frames)

@@ -6,6 +6,7 @@ from starledger.streaming import live as op
 
 from .ordering import _CONTROL
 from .registry import query
+from .tables_dml import _SHOWN
 
 
 def _frames(t):
@@ -71,9 +72,9 @@ def stream_exposures(t):
     return op.drained(op.exposures(_frames(t))).withColumn("exposure", F.round("exposure", 8))
 
 
-@query()
+@query(_SHOWN)
 def stream_notifications(t):
-    """Q8: tests hold it against the batch form."""
+    """Q8: the same notes as the batch form's."""
     return op.drained(op.notifications(_frames(t), 43200))
 
 
@@ -92,5 +93,13 @@ def clock_skew(t):
 
 @query("select count(*) as n from (select distinct camera_id, stars, day_date from frames)")
 def stream_dedup(t):
-    """Q11, Q12: a command that is repeated within the delay is taken once."""
+    """Q11: a command that is repeated within the delay is taken once."""
     return op.drained(op.without_repeats(_frames(t), ["camera_id", "stars", "day_date"], "40 days").select("id")).agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select * from (values ('aurora', 3600), ('smoke', 10800), ('elements', 86400), ('backup', 604800)) v(source, period)), l as (select camera_id, max(create_date) as last from frames group by camera_id)
+select camera_id, source, last + to_seconds(period) as due, timestamp '2024-01-31 00:00:00' >= last + to_seconds(period) as refresh from l, s""")
+def refresh_timers(t):
+    """Q12: when each source of a camera is to be fetched again, and whether it is time."""
+    last = t.frames.groupBy("camera_id").agg(F.max("create_date").alias("last"))
+    return op.due(last, {"aurora": 3600, "smoke": 10800, "elements": 86400, "backup": 604800}, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).select("camera_id", "source", "due", "refresh")

@@ -15,6 +15,7 @@ _SQL_CONVERSIONS = {
     "c_to_f": "v * 9.0 / 5.0 + 32", "f_to_c": "(v - 32) * 5.0 / 9.0", "c_to_k": "v + 273.15", "k_to_c": "v - 273.15", "f_to_k": "(v - 32) * 5.0 / 9.0 + 273.15", "k_to_f": "(v - 273.15) * 9.0 / 5.0 + 32",
     "hpa_to_psi": "v * 0.0145037738", "hpa_to_inhg": "v / 33.86389", "inhg_to_hpa": "v * 33.86389", "hpa_to_mmhg": "v / 1.333224", "mmhg_to_hpa": "v * 1.333224",
     "mps_to_mph": "v * 2.2369362920544", "mps_to_knots": "v * 1.9438444924406", "mps_to_kph": "v * 3.6", "kph_to_mph": "v / 1.609344", "mph_to_kph": "v * 1.609344", "m_to_ft": "v * 3.280839895", "mm_to_in": "v / 25.4",
+    "inhg_to_psi": "v * 33.86389 * 0.0145037738", "inhg_to_mmhg": "v * 25.4", "km_to_mi": "v / 1.609344", "kph_to_knots": "v / 1.852", "mph_to_knots": "v * 1.609344 / 1.852", "mph_to_mps": "v * 1.609344 / 3.6",
 }
 
 

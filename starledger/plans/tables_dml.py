@@ -54,10 +54,13 @@ def merge_cameras(t):
     return op.rewrite(t.frames.select("id", "camera_id"), "camera_id", F.col("camera_id") == 3, F.lit(1))
 
 
-@query("""select id from (with recursive n as (select id, camera_id, event_type, floor(epoch(create_date))::bigint as t from frames),
+_SHOWN = """select id from (with recursive n as (select id, camera_id, event_type, floor(epoch(create_date))::bigint as t from frames),
 shown as (select camera_id, event_type, min(t) as t from n group by all union all
           select s.camera_id, s.event_type, min(n.t) from shown s join n on n.camera_id = s.camera_id and n.event_type = s.event_type and n.t >= s.t + 43200 group by s.camera_id, s.event_type)
-select min(n.id) as id from shown s join n using (camera_id, event_type, t) group by camera_id, event_type, t)""")
+select min(n.id) as id from shown s join n using (camera_id, event_type, t) group by camera_id, event_type, t)"""
+
+
+@query(_SHOWN)
 def notification_dedup(t):
     """U8, Q8: a note of a camera and category is shown once in twelve hours."""
     notes = t.frames.select("id", "camera_id", "event_type", F.unix_timestamp(F.col("create_date").cast("timestamp")).alias("t"))

@@ -96,6 +96,13 @@ def skewed_clocks(rows: DataFrame, as_of) -> DataFrame:
     return rows.where(F.col("create_date") > as_of)
 
 
+def due(last: DataFrame, periods: dict[str, int], as_of) -> DataFrame:
+    """Q12: each row of ``last`` (with the time of the last fetch) by source: when it is due again, and whether it is now."""
+    sources = F.explode(F.array(*[F.struct(F.lit(n).alias("source"), F.lit(s).alias("period")) for n, s in sorted(periods.items())]))
+    rows = last.withColumn("s", sources).select("*", "s.source", F.col("last").alias("__last"), "s.period")
+    return rows.withColumn("due", F.expr("__last + make_dt_interval(0, 0, 0, period)")).withColumn("refresh", as_of >= F.col("due")).drop("s", "__last")
+
+
 def _by_camera(stream: DataFrame, step, output: str, state: str) -> DataFrame:
     return stream.groupBy("camera_id").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
 

@@ -213,13 +213,74 @@ def test_kernels():
     assert kernels.blobs(a) == [(9.5, 4.5, 4 * 188.0)]
     assert kernels.shift_between(np.random.default_rng(0).random((16, 16)), np.roll(np.random.default_rng(0).random((16, 16)), (3, -2), (0, 1))) == (3, -2)
     assert kernels.median_filter(a)[0, 0] == 12 and kernels.debayer(a).shape == (16, 16, 3)
-    line = np.zeros((20, 20))
-    line[:, 10] = 100
-    assert kernels.strongest_line(line)[0] == 0.0
     assert kernels.protection_mask(a, 1.0, 1).shape == a.shape
     assert np.allclose(kernels.gaussian_filter(np.full((8, 8), 5.0)), 5.0)
 
 
+def test_every_line_with_the_votes_is_given():
+    assert kernels.lines(np.full((20, 20), 7.0), 5, 10, 8) == [] and kernels.lines(np.random.default_rng(1).normal(0, 1, (30, 30)), 5, 10, 8) == []
+    a = np.zeros((40, 40))
+    a[:, 10:] += 100  # an upright edge
+    found = kernels.lines(a, 20, 40, 20)
+    assert len(found) == 1 and found[0][0] == 0.0 and abs(found[0][1] - 10) <= 1
+    b = a.copy()
+    b[25:, :] += 100  # and one across it
+    angles = sorted(x[0] for x in kernels.lines(b, 20, 40, 15))
+    assert angles == [0.0, 90.0]
+    c = np.add.outer(np.arange(40), np.arange(40)) > 40
+    assert any(abs(x[0] - 45) <= 5 for x in kernels.lines(c * 100.0, 20, 40, 15))
+
+
+def test_holes_are_filled_in_row_order():
+    a = np.arange(36.0).reshape(6, 6)
+    holes = np.zeros((6, 6), bool)
+    holes[3, 3] = holes[3, 5] = holes[0, 0] = True
+    got = kernels.filled(a, holes)
+    assert got[3, 3] == max(a[1, 3], a[3, 1]) and got[3, 5] == max(a[1, 5], got[3, 3]) and got[0, 0] == max(a[2, 0], a[0, 2])
+    assert (kernels.filled(a, holes, most=2) == a).all()
+
+
+def test_wavelets_keep_what_is_not_noise():
+    rng = np.random.default_rng(4)
+    flat = np.full((16, 16), 50.0)
+    flat[4:8, 4:8] = 90
+    noisy = flat + rng.normal(0, 2, flat.shape)
+    got = kernels.wavelet_denoise(noisy)
+    assert np.abs(got - flat).mean() < 0.6 * np.abs(noisy - flat).mean()
+    assert np.allclose(kernels.wavelet_denoise(noisy, factor=0.0), noisy) and kernels.wavelet_denoise(np.ones((3, 3))).tolist() == np.ones((3, 3)).tolist()
+
+
+def test_wavelets_by_plain_transform(spark):
+    """Each coefficient by its own dot product with the Haar functions of two levels."""
+    a = np.random.default_rng(6).normal(100, 20, (8, 8))
+    basis = []
+    for n in (2, 4):
+        half, block = np.ones(n) / n**0.5, np.concatenate([np.ones(n // 2), -np.ones(n // 2)]) / n**0.5
+        for i in range(0, 8, n):
+            for j in range(0, 8, n):
+                for k, (u, v) in enumerate(((half, block), (block, half), (block, block))):
+                    f = np.zeros((8, 8))
+                    f[i : i + n, j : j + n] = np.outer(u, v)
+                    basis.append((n, k, f))
+    finest = [abs((a * f).sum()) for n, k, f in basis if n == 2 and k == 2]
+    limit = np.median(finest) / 0.6745 * np.sqrt(2 * np.log(64))
+    want = np.kron(a.reshape(2, 4, 2, 4).mean(axis=(1, 3)), np.ones((4, 4)))
+    for _, _, f in basis:
+        c = (a * f).sum()
+        want = want + np.sign(c) * max(abs(c) - limit, 0) * f
+    assert np.allclose(kernels.wavelet_denoise(a), want)
+
+
+def test_frames_of_another_size_are_not_calibrated(spark):
+    px = lambda frame, n: [(frame, 0, y, x, 100) for y in range(n) for x in range(n)]
+    light = spark.createDataFrame(px(1, 3) + px(2, 4), "frame bigint, stack int, y int, x int, v int")
+    master = spark.createDataFrame([(0, y, x, 30 if (y, x) != (1, 1) else 20) for y in range(3) for x in range(3)], "stack int, y int, x int, v int")
+    bad = spark.createDataFrame([(0, 1, 1, 90)], "stack int, y int, x int, v int")
+    got = frames.subtract(light, master, bad).collect()
+    assert {(r.v, r.calibrated) for r in got if r.frame == 2} == {(100, False)}
+    assert {(r.y, r.x): r.v for r in got if r.frame == 1} == {(y, x): 10 if (y, x) == (1, 1) else 70 for y in range(3) for x in range(3)}
+
+
 def test_best_match_falls_back_and_breaks_ties(spark):
     at = "timestamp'2024-01-01 00:00:00'"
     lib = spark.sql(f"select * from values (1, 7, 100, 5, 30.0, {at}), (2, 7, 100, 5, 12.0, {at}), (3, 7, 100, 5, 12.0, {at} + interval 1 day), (4, 8, 50, 5, 40.0, {at}) as t(id, k, gain, exposure, temp, create_date)")
