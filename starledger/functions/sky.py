@@ -52,7 +52,7 @@ def horizontal(ra: Column, dec: Column, lat: Column, lon: Column, epoch_seconds:
     return {"alt": F.degrees(alt), "az": F.pmod(F.degrees(az) + 360.0, F.lit(360.0))}
 
 
-def fisheye(alt: Column, az: Column, diameter: float, x0: float, y0: float, turn: float = 0.0) -> dict[str, Column]:
+def fisheye(alt: Column, az: Column, diameter: float | Column, x0: float, y0: float, turn: float = 0.0) -> dict[str, Column]:
     """equal-area fisheye: the zenith at the centre, the horizon on the circle, the azimuth ``turn`` up, what lies a quarter on from it left."""
     r = diameter / 2 * math.sqrt(2) * F.sin(F.radians((90.0 - alt) / 2))
     a = F.radians(az - turn)
