@@ -95,11 +95,32 @@ def debayer(a: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=2)
 
 
-def blobs(a: np.ndarray, sigmas: float = 2.0, least: float = 10.0) -> list[tuple[float, float, float]]:
-    """X, y and flux of the connected bright areas over the background, brightest first."""
-    back = np.median(a)
-    noise = 1.4826 * np.median(np.abs(a - back))
-    d = a - back
+def background(a: np.ndarray, mesh: int) -> np.ndarray:
+    """The medians of tiles of about ``mesh`` pixels, blended between the tiles' middles."""
+    def axis(n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        parts = np.array_split(np.arange(n), max(1, n // mesh))
+        middles = np.array([p.mean() for p in parts])
+        at = np.clip(np.searchsorted(middles, np.arange(n), side="right") - 1, 0, max(0, len(parts) - 2))
+        after = np.minimum(at + 1, len(parts) - 1)
+        span = np.where(after > at, middles[after] - middles[at], 1)
+        return parts, at, after, np.clip((np.arange(n) - middles[at]) / span, 0, 1)
+
+    ys, y0, y1, fy = axis(a.shape[0])
+    xs, x0, x1, fx = axis(a.shape[1])
+    m = np.array([[np.median(a[np.ix_(p, q)]) for q in xs] for p in ys])
+    fy, fx = fy[:, None], fx[None, :]
+    look = lambda i, j: m[i[:, None], j[None, :]]
+    return (1 - fy) * ((1 - fx) * look(y0, x0) + fx * look(y0, x1)) + fy * ((1 - fx) * look(y1, x0) + fx * look(y1, x1))
+
+
+def blobs(a: np.ndarray, sigmas: float = 2.0, least: float = 10.0, mesh: int = 64, area: int = 1) -> list[tuple[float, float, float]]:
+    """X, y and flux of the connected bright areas over the background, brightest first.
+
+    The background is that of tiles, so a gradient of the sky is none of it; areas of less than
+    ``area`` pixels are noise.
+    """
+    d = a - background(a, mesh)
+    noise = 1.4826 * np.median(np.abs(d - np.median(d)))
     bright = d > max(least, sigmas * noise)
     label = np.where(bright, np.arange(1, a.size + 1).reshape(a.shape), 0)
     while True:  # the least number spreads over each area; areas are small
@@ -113,6 +134,8 @@ def blobs(a: np.ndarray, sigmas: float = 2.0, least: float = 10.0) -> list[tuple
     out = []
     for k in np.unique(label[label > 0]):
         y, x = np.nonzero(label == k)
+        if len(y) < area:
+            continue
         f = d[y, x]
         out.append((float((x * f).sum() / f.sum()), float((y * f).sum() / f.sum()), float(f.sum())))
     return sorted(out, key=lambda s: (-s[2], s[1], s[0]))

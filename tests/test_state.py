@@ -217,6 +217,30 @@ def test_kernels():
     assert np.allclose(kernels.gaussian_filter(np.full((8, 8), 5.0)), 5.0)
 
 
+def test_blobs_over_a_gradient():
+    a = np.add.outer(np.linspace(0, 400, 64), np.linspace(0, 300, 64))
+    a[10:13, 40:43] += 150
+    a[50, 20] += 150
+    got = kernels.blobs(a, mesh=8, least=60.0)
+    assert sorted((round(x), round(y)) for x, y, _ in got) == [(20, 50), (41, 11)]
+    assert [(round(x), round(y)) for x, y, _ in kernels.blobs(a, mesh=8, least=60.0, area=4)] == [(41, 11)]
+
+
+def test_template_hits_by_plain_loops():
+    rng = np.random.default_rng(12)
+    disc = np.array([[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]])
+    for _ in range(20):
+        a = rng.integers(0, 100, (9, 9)).astype(float)
+        want = []
+        for y in range(7):
+            for x in range(7):
+                score = np.corrcoef(a[y : y + 3, x : x + 3].ravel(), disc.ravel())[0, 1]
+                if score >= 0.6 and all((x - p) ** 2 + (y - q) ** 2 > 4 for p, q, _ in want):
+                    want.append((x, y, score))
+        got = kernels.template_hits(a, disc)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_every_line_with_the_votes_is_given():
     assert kernels.lines(np.full((20, 20), 7.0), 5, 10, 8) == [] and kernels.lines(np.random.default_rng(1).normal(0, 1, (30, 30)), 5, 10, 8) == []
     a = np.zeros((40, 40))
