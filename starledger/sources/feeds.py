@@ -70,11 +70,19 @@ def power_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(pattern)).select("line", part(1).alias("observed"), part(3).cast("int").alias("north"), part(4).cast("int").alias("south"))
 
 
+#: What is read of a KML document: folders of the document, their polygons' outer rings.
+KML = "Document struct<Folder:array<struct<name:string,Placemark:array<struct<Polygon:struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>>>>>>"
+
+
 def kml_rings(documents: DataFrame, kml: str = "kml") -> DataFrame:
-    """Folder and ring (array of x, y) of every polygon of a KML document."""
-    parts = lambda c, tag: F.explode(F.regexp_extract_all(c, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)))
-    folders = documents.select("id", parts(F.col(kml), "Folder").alias("inner"))
-    rings = folders.select("id", F.regexp_extract("inner", "(?s)<name>(.*?)</name>", 1).alias("folder"), parts(F.col("inner"), "coordinates").alias("text"))
+    """Folder and ring (array of x, y) of every polygon of a KML document.
+
+    Attributes, name spaces and character data sections are those of any XML document; one that
+    is no XML has no polygon.
+    """
+    read = documents.select("id", F.from_xml(F.col(kml), KML, {"ignoreNamespace": "true"}).alias("d"))
+    folders = read.select("id", F.explode("d.Document.Folder").alias("f")).select("id", F.col("f.name").alias("folder"), F.explode("f.Placemark").alias("p"))
+    rings = folders.select("id", "folder", F.col("p.Polygon.outerBoundaryIs.LinearRing.coordinates").alias("text")).where("text is not null")
     points = F.transform(F.filter(F.split(F.trim("text"), r"\s+"), lambda p: p != ""), lambda p: F.struct(F.get(F.split(p, ","), F.lit(0)).cast("double").alias("x"), F.get(F.split(p, ","), F.lit(1)).cast("double").alias("y")))
     return rings.select("id", "folder", points.alias("ring"))
 

@@ -319,6 +319,14 @@ def test_asof_ignores_equal_times_and_far_rows(spark):
     assert got == {"b": ("a", "d"), "e": (None, None)}
 
 
+def test_polygons_of_any_xml(spark):
+    folder = "<Folder id='f'><name><![CDATA[Smoke (Heavy) & more]]></name>{}</Folder>"
+    placemark = "<Placemark x='1'><Polygon><outerBoundaryIs><LinearRing><coordinates>\n 1,2,0\n 3,4,0 </coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"
+    docs = [(1, f"<?xml version='1.0'?><kml xmlns='http://www.opengis.net/kml/2.2'><Document>{folder.format(placemark * 2)}{folder.format('')}</Document></kml>"), (2, "no xml"), (3, None), (4, "<kml><Document/></kml>")]
+    got = feeds.kml_rings(spark.createDataFrame(docs, "id int, kml string")).collect()
+    assert [(r.id, r.folder, [tuple(p) for p in r.ring]) for r in got] == [(1, "Smoke (Heavy) & more", [(1.0, 2.0), (3.0, 4.0)])] * 2
+
+
 def test_elements_of_a_bad_group_are_all_left_out(spark):
     good = ["TITLE", "1 ".ljust(69, "x"), "2 ".ljust(69, "x")]
     rows = [("a", i, v) for i, v in enumerate(good)] + [("b", i, v) for i, v in enumerate([*good, "T", "1 short", "2 ".ljust(69, "x")])]
