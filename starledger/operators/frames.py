@@ -30,9 +30,14 @@ def stack(px: DataFrame, how: str) -> DataFrame:
     return px.groupBy("stack", "y", "x").agg(made.alias("v"))
 
 
-def sliding_stack(px: DataFrame, n: int, how: str = "maximum") -> DataFrame:
-    """Each frame stacked with the up to n - 1 frames before it."""
-    w = Window.partitionBy("stack", "y", "x").orderBy("frame").rowsBetween(-(n - 1), 0)
+def sliding_stack(px: DataFrame, n: int, how: str = "maximum", same: tuple[str, ...] = (), flagged: str | None = None) -> DataFrame:
+    """Each frame stacked with the up to n - 1 frames before it.
+
+    Flagged frames are in no stack, their own included, and frames are stacked with those that
+    agree in the columns ``same``, such as the exposure.
+    """
+    px = px if flagged is None else px.where(~F.col(flagged))
+    w = Window.partitionBy("stack", *same, "y", "x").orderBy("frame").rowsBetween(-(n - 1), 0)
     return px.withColumn("v", {"maximum": F.max, "minimum": F.min}[how]("v").over(w))
 
 

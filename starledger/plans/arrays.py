@@ -35,6 +35,13 @@ def stack_sliding(t):
     return op.sliding_stack(_px(t), 4)
 
 
+@query(f"with {PX} select frame, stack, y, x, max(v) over (partition by stack, frame % 3, y, x order by frame rows 3 preceding) as v from px where frame % 7 <> 0")
+def stack_sliding_gated(t):
+    """Flagged frames left out, one exposure to a stack."""
+    px = _px(t).withColumns({"exposure": F.col("frame") % 3, "flagged": F.col("frame") % 7 == 0})
+    return op.sliding_stack(px, 4, same=("exposure",), flagged="flagged").select("frame", "stack", "y", "x", "v")
+
+
 @query(f"with {PX}, m as (select stack, y, x, quantile_cont(v, 0.5) as median, stddev_pop(v) as deviation from px group by all) select stack, y, x, count(*) as n, round(avg(v), 6) as mean from px join m using (stack, y, x) where abs(v - median) <= 1.5 * deviation group by all")
 def stack_sigma_clipped(t):
     """N10."""
