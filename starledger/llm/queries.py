@@ -1,10 +1,10 @@
-"""The ten operators over their whole tables."""
+"""The operators over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontam, langid, linededup, mixing, repetition, simhash, sitetemplate, token_records, toxicity
+from . import credentials, decontam, langid, linededup, mixing, repetition, simhash, sitetemplate, token_records, toxicity, whitening
 from .common import table
 
 
@@ -48,7 +48,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_decontamination, op2_toxicity, op3_line_dedup, op4_token_records, op5_language_id, op6_source_mixing, op7_site_templates, op8_secrets, op9_repetition, op10_simhash)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_decontamination,
+    op2_toxicity,
+    op3_line_dedup,
+    op4_token_records,
+    op5_language_id,
+    op6_source_mixing,
+    op7_site_templates,
+    op8_secrets,
+    op9_repetition,
+    op10_simhash,
+    op11_whitening,
+)
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: Trained models, token ids, 64-bit string hashes and html have no SQL form; tests hold them against brute force.
 ORACLES = {"op1_decontamination": decontam.ORACLE, "op3_line_dedup": linededup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op9_repetition": repetition.ORACLE}
