@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontam, langid, linededup, mixing, repetition, simhash, sitetemplate, token_records, toxicity, whitening
+from . import credentials, decontam, langid, linededup, mixing, repetition, simhash, sitetemplate, structure, token_records, toxicity, whitening
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.report(table(spark, sf_dir, "conversations"))
+
+
 OPERATORS = (
     op1_decontamination,
     op2_toxicity,
@@ -64,6 +68,7 @@ OPERATORS = (
     op9_repetition,
     op10_simhash,
     op11_whitening,
+    op13_structure_repair,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: Trained models, token ids, 64-bit string hashes and html have no SQL form; tests hold them against brute force.
