@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, decontam, langid, linededup, mixing, repetition, simhash, sitetemplate, structure, token_records, toxicity, whitening
+from . import credentials, decontam, langid, linededup, minhash, mixing, repetition, simhash, sitetemplate, structure, token_records, toxicity, whitening
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.report(table(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,7 @@ OPERATORS = (
     op9_repetition,
     op10_simhash,
     op11_whitening,
+    op12_minhash_forest,
     op13_structure_repair,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
