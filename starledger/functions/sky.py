@@ -79,22 +79,6 @@ def light_color(sun_alt: Column, day=(150, 200, 255), dusk=(70, 80, 140), night=
     return [F.when(sun_alt >= 0, d).when(sun_alt >= -6, u).when(sun_alt >= -18, w).otherwise(n) for d, u, w, n in zip(day, upper, lower, night, strict=True)]
 
 
-def moon_cycle(moon_minus_sun: Column) -> Column:
-    """how much of the lunation has passed, percent."""
-    return F.pmod(moon_minus_sun, F.lit(360.0)) / 360.0 * 100
-
-
-def day_date(ts: Column, night: Column, last_anti: Column, transit: Column, next_anti: Column) -> Column:
-    """the date of a frame's day; a night keeps the date of its evening.
-
-    Before the last lower transit of the sun it is yesterday; up to its upper transit it is
-    yesterday at night and today by day; up to the next lower transit today; then today at
-    night and tomorrow by day.
-    """
-    today = F.to_date(ts)
-    return F.when(ts < last_anti, F.date_sub(today, 1)).when(ts < transit, F.when(night, F.date_sub(today, 1)).otherwise(today)).when(ts < next_anti, today).otherwise(F.when(night, today).otherwise(F.date_add(today, 1)))
-
-
 def day_date_by_clock(ts: Column) -> Column:
     """F28 without an ephemeris: the date twelve hours before; an approximation."""
     return F.to_date(ts - F.make_dt_interval(hours=F.lit(12)))

@@ -190,15 +190,6 @@ def flush_recent(t):
     return t.frames.where(~(F.col("create_date") > F.lit("2024-01-29").cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(16)))).select("id")
 
 
-@query("select i::bigint as step, round(acos(least(1.0, greatest(-1.0, sin(0.3) * sin(0.4 * sin(i / 900.0::double)) + cos(0.3) * cos(0.4 * sin(i / 900.0::double)) * cos(i / 450.0::double)))) * 180 / pi(), 6) as separation from range(40000) t(i)")
-def sun_moon_separation(t):
-    """Angle between two directions over 40 000 steps."""
-    i = F.col("id").cast("double")
-    dec = 0.4 * F.sin(i / 900.0)
-    cos = F.sin(F.lit(0.3)) * F.sin(dec) + F.cos(F.lit(0.3)) * F.cos(dec) * F.cos(i / 450.0)
-    return t.spark.range(40_000).select(F.col("id").alias("step"), F.round(F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos)))), 6).alias("separation"))
-
-
 @query("select id, title from (select id, filename as title, sqm * 4 - 50 as alt, stars % 2 = 0 as lit from frames) where alt >= 20 and lit")
 def visible_satellites(t):
     """High enough and in the sun; positions are given, as there is no orbit model here."""

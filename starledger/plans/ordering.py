@@ -73,8 +73,8 @@ def transitions(t):
 
 
 @query(f"{_CHANGES} select *, lead(create_date) over (partition by camera_id order by create_date, id) as ends from c")
-def next_transition(t):
-    """W8."""
+def transition_ends(t):
+    """Q5: when each session of night or day ended, from the frames themselves."""
     return op.next_transition(op.transitions(t.frames.select("id", "camera_id", "create_date", "night"), "night"))
 
 

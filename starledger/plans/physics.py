@@ -108,33 +108,3 @@ def degrees_minutes_seconds(t):
     """F21."""
     p = sky.dms(F.col("latitude"))
     return t.cameras.select("id", p["d"].alias("d"), p["m"].alias("m"), F.round(p["s"], 6).alias("s"))
-
-
-def _sql_color(i):
-    day, dusk, night = (150, 200, 255)[i], (70, 80, 140)[i], (10, 10, 40)[i]
-    mix = lambda a, b, s: f"trunc({a} + ({b} - ({a})) * least(1.0, greatest(0.0, {s})))"
-    return f"cast(case when alt >= 0 then {day} when alt >= -6 then {mix(dusk, day, '(alt + 6) / 6')} when alt >= -18 then {mix(night, dusk, '(alt + 18) / 12')} else {night} end as int)"
-
-
-@query(f"select minute::int as minute, {_sql_color(0)} as r, {_sql_color(1)} as g, {_sql_color(2)} as b from (select minute, 50 * sin(radians(minute / 4.0 - 90)) as alt from range(1440) t(minute))")
-def light_graph(t):
-    """a colour for each minute of a day."""
-    day = t.spark.range(1440).select(F.col("id").cast("int").alias("minute")).withColumn("alt", 50 * F.sin(F.radians(F.col("minute") / 4.0 - 90)))
-    return day.select("minute", *[c.alias(n) for n, c in zip("rgb", sky.light_color(F.col("alt")), strict=True)])
-
-
-@query("select id, round((((stars * 7.2 - 100) % 360.0) + 360.0) % 360.0 / 360.0 * 100, 6) as cycle, stars > 50 as up from frames")
-def moon_state(t):
-    """F26."""
-    return t.frames.select("id", F.round(sky.moon_cycle(F.col("stars") * 7.2 - 100), 6).alias("cycle"), (F.col("stars") > 50).alias("up"))
-
-
-@query("""with x as (select id, create_date as ts, night, date_trunc('day', create_date) as d from frames),
-y as (select *, d + interval 13 minutes as lo, d + interval 733 minutes as mid, d + interval 1430 minutes as hi from x)
-select id, cast(case when ts < lo then d - interval 1 day when ts < mid then case when night then d - interval 1 day else d end when ts < hi then d when night then d else d + interval 1 day end as date) as day_date, cast(ts - interval 12 hours as date) as by_clock from y""")
-def day_dates(t):
-    """transits are given, as there is no ephemeris here; by the clock it is an approximation."""
-    d = F.date_trunc("day", "create_date").cast("timestamp_ntz")
-    at = lambda m: d + F.make_dt_interval(mins=F.lit(m))
-    ts = F.col("create_date")
-    return t.frames.select("id", sky.day_date(ts, F.col("night"), at(13), at(733), at(1430)).alias("day_date"), sky.day_date_by_clock(ts).alias("by_clock"))
