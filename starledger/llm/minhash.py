@@ -2,11 +2,11 @@
 
 A document's shingles give ``TREES`` paths of ``DEPTH`` MinHash values. Each tree is a sorted
 order of the distinct sets by their path, dealt over tasks by range, and a set's candidates are
-its neighbours in that order: up to ``NEIGHBOURS`` on each side with a common prefix of
-``LEAST_DEPTH`` values or more. Where few sets share a prefix all of them are neighbours; where
-many do, the neighbours are those with the longest common prefix, so the depth at which sets
-meet follows the density of the region and the number of candidates is in proportion to the
-sets, however many are alike. Tasks hand the ends of their range to the next one.
+its neighbours in that order with a common prefix of ``LEAST_DEPTH`` values or more. Where up to
+``NEIGHBOURS`` sets share a prefix all of them are candidates; where more do, those that share
+a longer one, and the next in order. So the depth at which sets meet follows the density of the
+region, and the number of candidates is in proportion to the sets, however many are alike.
+Tasks hand the ends of their range to the next one.
 
 Candidates are confirmed on the full sets in two steps: first the closest ones of every set,
 then, of the others, those that lie in different components by then; links within a component
@@ -14,9 +14,10 @@ change nothing and are not looked up.
 
 A region with more sets than neighbours, such as a thousand edits of one text, may hold sets
 that are linked to one of them only, commonly the text itself. So every set of a dense region
-is also confirmed against the centre of the component that holds most of the region: the member
-nearest to the set of shingles that more than half of the component has. That goes on while
-components grow, and costs a few candidates a set and region.
+that is not in the component which holds most of the region is confirmed against the centre of
+that component, then against all its members that a link allows by the shingles they share,
+then against its neighbours in a forest without that component. That goes on while components
+grow.
 
 Exact copies are one set throughout. Sets are compared as hashes of 64 bits of all their
 shingles, and known by 128 bits of those.
@@ -39,6 +40,8 @@ from .simhash import components
 #: Fixed by the contract: words to a shingle, and linked from this many hundredths of the union on.
 SHINGLE_WORDS, LEAST_PERCENT = 3, 85
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 16, 10, 3, 12
+#: Neighbours on each side that a set meets on account of a prefix that more than ``NEIGHBOURS`` sets share.
+DENSE_NEIGHBOURS = 2
 #: Bytes of one MinHash value in a path; values are compared as bytes.
 VALUE_BYTES = 3
 #: Closest candidates of each set that are confirmed first.
@@ -116,18 +119,25 @@ class _Window:
 
     def meet(self, group: np.ndarray, path: np.ndarray, n: np.ndarray, node: np.ndarray) -> tuple[list, list]:
         """Candidates as (a, b, depth) arrays, and rows of dense regions as (index, depth) over what is now held."""
+        old = 0
         if self.held is not None:
+            old = len(self.held[0])
             group, path, n, node = (np.concatenate(x) for x in zip(self.held, (group, path, n, node), strict=True))
-        pairs, deep = [], np.zeros(len(group), dtype=np.int64)
+        pairs, deep, depths = [], np.zeros(len(group), dtype=np.int64), []
         for lag in range(1, min(NEIGHBOURS, len(group) - 1) + 1):
             depth = common_prefix(path[lag:], path[:-lag])
             depth[group[lag:] != group[:-lag]] = 0
-            at = np.flatnonzero(depth >= LEAST_DEPTH)
-            if not len(at):
+            if depth.max() < LEAST_DEPTH:
                 break
-            if lag == NEIGHBOURS:
-                for k in range(lag + 1):
-                    np.maximum.at(deep, at + k, depth[at])
+            depths.append((lag, depth))
+        if len(depths) == NEIGHBOURS:
+            at = np.flatnonzero(depths[-1][1] >= LEAST_DEPTH)
+            for k in range(NEIGHBOURS + 1):
+                np.maximum.at(deep, at + k, depths[-1][1][at])
+        for lag, depth in depths:
+            later = np.arange(len(depth)) + lag >= old  # held rows have met each other before
+            # sets that share no more than many others do are left to the next of them and to the region's centre
+            at = np.flatnonzero(later & (depth >= LEAST_DEPTH) & ((depth > deep[:-lag]) | (lag <= DENSE_NEIGHBOURS)))
             small, large = np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag])
             at = at[100 * small >= LEAST_PERCENT * large]  # sizes further apart rule a link out
             pairs.append((node[at], node[at + lag], depth[at]))
@@ -197,9 +207,9 @@ def forest(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = trees.select("tree", F.substring("paths", start, F.lit(DEPTH * VALUE_BYTES)).alias("path"), "n", "node")
     # sets of one path lie in another order in each tree
     order = ["tree", "path", "mix", "node"]
-    ordered = rows.withColumn("mix", F.xxhash64("tree", "node")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.withColumn("mix", F.hash("tree", "node")).repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_neighbours, _FOUND), "forest")
-    edges = found.where("kind = 'edge'").select("side", "tree", "path", "n", F.col("a").alias("node"), F.xxhash64("tree", "a").alias("mix")).distinct()
+    edges = found.where("kind = 'edge'").select("side", "tree", "path", "n", F.col("a").alias("node"), F.hash("tree", "a").alias("mix")).distinct()
     seams = stored(edges.repartition("side").sortWithinPartitions("side", *order).mapInArrow(_seams, _FOUND), "seams")
     both = found.union(seams)
     pairs = both.where("kind = 'pair' and a <> b").groupBy("a", "b").agg(F.sum("depth").alias("closeness"))
@@ -226,32 +236,60 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
-def _centres(comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """(root, centre) of components with more members than neighbours: the member nearest to what most members have."""
-    large = stored(comp.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS), "large")
-    members = comp.join(large, "root").join(sets, "node").select("root", "members", "node", "shingles")
+def _large(comp: DataFrame) -> DataFrame:
+    """(root, members) of components with more members than neighbours."""
+    return comp.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS)
+
+
+def _regions(dense: DataFrame) -> DataFrame:
+    """(region, node): every set under the prefixes down to the depth to which they are dense."""
+    cut = F.explode(F.sequence(F.lit(LEAST_DEPTH), F.col("depth"))).alias("d")
+    return dense.select("node", "tree", "path", cut).select(F.xxhash64("tree", F.substring("path", F.lit(1), F.col("d") * VALUE_BYTES), "d").alias("region"), "node").distinct()
+
+
+def _outside(regions: DataFrame, comp: DataFrame, large: DataFrame) -> DataFrame:
+    """(node, root): sets of dense regions, and the large component that most of the region belongs to but they do not."""
+    rooted = regions.join(comp, "node", "left").select("region", "node", F.coalesce("root", "node").alias("own"))
+    shares = rooted.join(large.select(F.col("root").alias("own")), "own").groupBy("region", "own").count()
+    main = stored(shares.groupBy("region").agg(F.max(F.struct("count", "own")).getField("own").alias("root")), "main")
+    return rooted.join(main, "region").where("own <> root").select("node", "root").distinct()
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _to_centres(outside: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): sets beside the centre of their region's component: the member nearest to the shingles that most members have."""
     counts = members.select("root", "members", F.explode("shingles").alias("s")).groupBy("root", "members", "s").count()
     common = stored(counts.where("2 * count > members").groupBy("root").agg(F.collect_list("s").alias("common")), "common")
     met = members.join(common, "root")
     both = F.size(F.array_intersect("shingles", "common"))
     near = both / (F.size("shingles") + F.size("common") - both)
-    return met.groupBy("root").agg(F.max(F.struct(near.alias("near"), "node")).getField("node").alias("centre"))
+    centres = met.groupBy("root").agg(F.max(F.struct(near.alias("near"), "node")).getField("node").alias("centre"))
+    return outside.join(centres, "root").select(*_pair("node", "centre"))
 
 
-def _regions(dense: DataFrame) -> DataFrame:
-    """(region, node): every set under the prefixes down to the depth to which they are dense."""
-    cut = F.explode(F.sequence(F.lit(LEAST_DEPTH), F.col("depth"))).alias("d")
-    return dense.select("node", "tree", "path", cut).select(F.xxhash64("tree", F.substring("path", F.lit(1), F.col("d") * VALUE_BYTES), "d").alias("region"), "node").distinct()
+def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): sets beside all members of their region's component to which they may be linked.
+
+    A set linked to a member has with it one of the shingles that remain when as many as the
+    link lets it lack, the rarest of the component first, are set aside. Most sets lack more
+    shingles in the whole component than a link allows, and have no candidates.
+    """
+    postings = members.select("root", F.col("node").alias("member"), F.explode("shingles").alias("s"))
+    counts = postings.groupBy("root", "s").agg(F.count("*").alias("count"))
+    size = F.size("shingles")
+    lacking = (size - F.floor((LEAST_PERCENT * size + 99) / 100)).cast("int")
+    spread = outside.join(sets, "node").select("node", "root", lacking.alias("lacking"), F.explode("shingles").alias("s"))
+    rarest = F.row_number().over(Window.partitionBy("node", "root").orderBy("count", "s"))
+    held = spread.join(counts, ["root", "s"], "left").fillna(0, ["count"]).withColumn("nth", rarest).where("nth <= lacking + 1 and count > 0")
+    return held.select("node", "root", "s").join(postings, ["root", "s"]).select(*_pair("node", "member")).distinct()
 
 
-def _to_centres(regions: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): sets of dense regions beside the centre of the component that most of the region belongs to."""
-    rooted = regions.join(comp, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
-    centres = _centres(comp, sets)
-    shares = rooted.join(centres, "root").groupBy("region", "root", "centre").count()
-    main = stored(shares.groupBy("region").agg(F.max(F.struct("count", "root", "centre")).alias("m")).select("region", "m.root", "m.centre").withColumnRenamed("root", "main"), "main")
-    outside = rooted.join(main, "region").where("root <> main")
-    return outside.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _among(outside: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): neighbours in a forest without the components that crowd their regions."""
+    return forest(distinct.join(outside.select("node").distinct(), "node", "left_semi"))[0].select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -283,17 +321,19 @@ def classes(docs: DataFrame) -> DataFrame:
     links = links.union(others)
     comp = comp if others.isEmpty() else stored(components(links), "components")
     regions = stored(_regions(dense), "regions")
-    if not regions.isEmpty():
-        seen = None
-        while True:
-            asked = _to_centres(regions, comp, sets)
-            asked = stored(asked if seen is None else asked.join(seen, ["a", "b"], "left_anti"), "asked")
-            more = stored(_linked(asked, sets), "links")
-            if more.isEmpty():
+    growing = not regions.isEmpty()
+    while growing:
+        large = stored(_large(comp), "large")
+        outside = stored(_outside(regions, comp, large), "outside")
+        members = comp.join(large, "root").join(sets, "node").select("root", "members", "node", "shingles")
+        for propose in (lambda: _to_centres(outside, members), lambda: _to_members(outside, members, sets), lambda: _among(outside, distinct)):  # noqa: B023
+            # each link joins two components, so the rounds end
+            more = stored(_linked(_apart(propose(), comp), sets), "links")
+            growing = not more.isEmpty()
+            if growing:
+                links = links.union(more)
+                comp = stored(components(links), "components")
                 break
-            seen = asked if seen is None else seen.union(asked)
-            links = links.union(more)
-            comp = stored(components(links), "components")
     root = F.coalesce("root", "node")
     rooted = distinct.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", root.alias("root"))
     least = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
