@@ -33,14 +33,15 @@ def kml_feed(t):
     return rings.select("id", "folder", F.size("ring").alias("points"), F.col("ring")[0]["x"].alias("first_x"))
 
 
-@query("select p_brand as grp, count(*) as records from part where p_brand <> 'Brand#3' group by p_brand")
+@query("""select p_brand as grp, row_number() over (partition by p_brand order by p_partkey) - 1 as record, rtrim(substring(p_name, 1, 24)) as title, rpad('1 ' || p_partkey, 69, '0') as line1, rpad('2 ' || p_partkey, 69, '0') as line2
+from part where p_brand <> 'Brand#3'""")
 def element_feed(t):
     """One group has a short line, so none of its records is taken."""
     line = lambda n: F.rpad(F.concat(F.lit(f"{n} "), F.col("p_partkey").cast("string")), 69, "0")
     second = F.when((F.col("p_brand") == "Brand#3") & (F.col("at") == 2), F.lit("2 short")).otherwise(line(2))
     numbered = t.part.withColumn("at", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
     rows = numbered.select(F.col("p_brand").alias("grp"), "at", F.posexplode(F.array(F.substring("p_name", 1, 24), line(1), second)).alias("k", "value")).select("grp", (F.col("at") * 3 + F.col("k")).alias("line"), "value")
-    return feeds.element_records(rows).groupBy("grp").agg(F.count("*").alias("records"))
+    return feeds.element_records(rows).select("grp", "record", "title", "line1", "line2")
 
 
 @query("select flight, lat, lon, height from (select case when stars % 4 = 0 then 'hex' || id else 'FL' || id end as flight, sqm as lat, sqm - 20 as lon, adu as height, 1706000000 + id as now from frames) where abs(1706000500 - now) <= 60")
@@ -190,12 +191,6 @@ def flush_recent(t):
     return t.frames.where(~(F.col("create_date") > F.lit("2024-01-29").cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(16)))).select("id")
 
 
-@query("select id, title from (select id, filename as title, sqm * 4 - 50 as alt, stars % 2 = 0 as lit from frames) where alt >= 20 and lit")
-def visible_satellites(t):
-    """High enough and in the sun; positions are given, as there is no orbit model here."""
-    return t.frames.select("id", F.col("filename").alias("title"), (F.col("sqm") * 4 - 50).alias("alt"), (F.col("stars") % 2 == 0).alias("lit")).where("alt >= 20 and lit").select("id", "title")
-
-
 @query("select cast(year(create_date) as int) as y, cast(month(create_date) as int) as m, floor(epoch(create_date)::bigint / 60)::bigint as bucket, round(avg(adu), 6) as r from frames group by all")
 def year_keogram(t):
     """X20."""
