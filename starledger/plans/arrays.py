@@ -358,12 +358,6 @@ def protection_masks(t):
     return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [(int(kernels.protection_mask(a).sum()),)], "frame bigint, kept int")
 
 
-@query("select vec_id as frame, 1 as dy, 2 as dx from embeddings")
-def registration(t):
-    """The offset of each frame against the one rolled by (1, 2)."""
-    return kernels.over_frames(_frames(t), SIZE, SIZE, lambda a: [kernels.shift_between(a, np.roll(a, (1, 2), axis=(0, 1)))], "frame bigint, dy int, dx int")
-
-
 #: Lenses of the made frames: azimuth, latitude and longitude offset, diameter, offsets, whether mirrored.
 LENSES = ((37.5, 2.0, -1.5, 1700.0, 25.0, -12.0, False), (200.0, -1.0, 0.5, 1600.0, -60.0, 40.0, False), (37.5, 0.0, 0.0, 1700.0, 0.0, 0.0, True))
 
