@@ -100,30 +100,6 @@ def by_any_name(names: DataFrame, things: DataFrame, columns: list[str]) -> Data
     return names.join(exploded, "name").distinct()
 
 
-def box_meets_polygon(lo: tuple[Column, Column], hi: tuple[Column, Column], ring: str) -> Column:
-    """Whether a box and a convex ring (array of x, y structs) meet: no axis parts them."""
-    n = F.size(ring)
-    at = lambda i: F.get(F.col(ring), F.pmod(i, n))
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    boxes = (F.array_min(xs) <= hi[0]) & (F.array_max(xs) >= lo[0]) & (F.array_min(ys) <= hi[1]) & (F.array_max(ys) >= lo[1])
-
-    def parted(i: Column) -> Column:
-        a, b = at(i), at(i + 1)
-        nx, ny = b["y"] - a["y"], a["x"] - b["x"]
-        side = lambda x, y: (x - a["x"]) * nx + (y - a["y"]) * ny
-        corners = F.array(*[side(x, y) for x in (lo[0], hi[0]) for y in (lo[1], hi[1])])
-        own = F.transform(ring, lambda p: side(p["x"], p["y"]))
-        return (F.array_min(corners) > F.array_max(own)) | (F.array_max(corners) < F.array_min(own))
-
-    return boxes & ~F.exists(F.sequence(F.lit(0), n - 1), parted)
-
-
-def in_cells(df: DataFrame, lo: tuple[Column, Column], hi: tuple[Column, Column], size: float) -> DataFrame:
-    """Rows once for each cell (cx, cy) of a grid that their box touches, so that boxes meet by equality."""
-    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
-    return df.withColumn("cx", F.explode(span(lo[0], hi[0]))).withColumn("cy", F.explode(span(lo[1], hi[1])))
-
-
 def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """J13, first half: all pairs of points of one group at most ``radius`` apart, by cells of that size.
 

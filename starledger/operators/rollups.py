@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starledger.sources.sinks import stored
 
 from .filters import all_or_defaults
+from .quantiles import MOST, exact
 
 NIGHT = ["camera_id", "day_date", "night"]
 NIGHT_DEFAULTS = {"max_kpindex": 0.0, "max_ovation_max": 0, "max_smoke_rating": -1, "max_stars": 0, "avg_stars": 0.0, "max_moonphase": -1.0, "avg_sqm": 0.0}
@@ -107,12 +108,14 @@ def index_regression(df: DataFrame, by: list[str], order: list[str], value: str)
     return placed.groupBy(*by).agg(F.regr_slope(value, "at").alias("slope"), F.regr_intercept(value, "at").alias("intercept"), F.max_by(value, "at").alias("last"))
 
 
-def robust(df: DataFrame, by: list[str], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Median, median absolute deviation, median between two quantiles, relative deviation."""
-    first = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.percentile(value, low).alias("q_low"), F.percentile(value, high).alias("q_high"))
-    joined = df.join(first, by)
+def robust(df: DataFrame, by: list[str], value: str, low: float = 0.1, high: float = 0.9, most: int = MOST) -> DataFrame:
+    """Median, median absolute deviation, median between two quantiles, relative deviation; a key of more than ``most`` rows is no one task."""
+    first = stored(exact(df, by, value, [0.5, low, high], ["median", "q_low", "q_high"], most), "quantiles")
+    joined = df.select(*by, value).join(first, by)
     inside = F.when((F.col(value) >= F.col("q_low")) & (F.col(value) <= F.col("q_high")), F.col(value))
-    second = joined.groupBy(*by, "median").agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"), F.percentile(inside, 0.5).alias("trimmed_median"))
+    away = exact(joined, by, F.abs(F.col(value) - F.col("median")), [0.5], ["mad"], most)
+    trimmed = exact(joined, by, inside, [0.5], ["trimmed_median"], most)
+    second = first.select(*by, "median").join(away, by).join(trimmed, by)
     return second.withColumn("relative_mad", F.when(F.col("median") != 0, F.col("mad") / F.abs("median")))
 
 

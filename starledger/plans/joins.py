@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from starledger.operators import joins as op
+from starledger.operators import polygons as areas
 
 from .registry import query
 
@@ -120,18 +121,40 @@ def grid_box(t):
     return op.grid_lookup(points, grid, 9, 7).withColumn("mean_value", F.round("mean_value", 6))
 
 
-@query()
+#: Outlines and holes in a square of four: open on top, with a hole, touching itself.
+SHAPES = (
+    (((0, 0), (4, 0), (4, 4), (3, 4), (3, 1), (1, 1), (1, 4), (0, 4)),),
+    (((0, 0), (4, 0), (4, 4), (0, 4)), ((1, 1), (3, 1), (3, 3), (1, 3))),
+    (((0, 0), (2, 2), (4, 0), (4, 4), (2, 2), (0, 4)),),
+)
+
+
+def _smoke(t):
+    """A polygon for each nation, of three forms, sizes and ranks."""
+    n = F.col("n_nationkey")
+    x, y, size = n * 4 - 12.0, F.col("n_regionkey") * 10.0 - 2, 0.75 + n % 4 * 0.5
+    ring = lambda points: F.array(*[F.struct((x + size * a).alias("x"), (y + size * b).alias("y")) for a, b in points])
+    forms = [F.array(*[ring(r) for r in form]) for form in SHAPES]
+    return t.nation.select(n.alias("polygon"), F.when(n % 3 == 0, forms[0]).when(n % 3 == 1, forms[1]).otherwise(forms[2]).alias("rings"), (F.floor(n / 3) % 3).cast("int").alias("rank"))
+
+
+_EDGES = " union all ".join(f"select n_nationkey as polygon, {ax}.0 as ax, {ay}.0 as ay, {bx}.0 as bx, {by}.0 as by_ from nation where n_nationkey % 3 = {k}" for k, form in enumerate(SHAPES) for ring in form for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True))
+_SIDE = "(({x}) - x1) * (y2 - y1) - (({y}) - y1) * (x2 - x1)"
+_CORNERS = ", ".join(_SIDE.format(x=f"longitude {i} 0.5", y=f"latitude {j} 0.5") for i in "+-" for j in "+-")
+
+
+@query(f"""with p as (select n_nationkey as polygon, n_nationkey * 4 - 12.0::double as x, n_regionkey * 10.0::double - 2 as y, 0.75::double + n_nationkey % 4 * 0.5 as size, (n_nationkey // 3 % 3)::int as rank from nation),
+e as (select polygon, rank, x + size * ax as x1, y + size * ay as y1, x + size * bx as x2, y + size * by_ as y2 from p join ({_EDGES}) using (polygon)),
+m as (select id, polygon, rank, bool_or(least(x1, x2) <= longitude + 0.5 and greatest(x1, x2) >= longitude - 0.5 and least(y1, y2) <= latitude + 0.5 and greatest(y1, y2) >= latitude - 0.5 and least({_CORNERS}) <= 0 and greatest({_CORNERS}) >= 0) as touched,
+ count(*) filter ((y1 > latitude) <> (y2 > latitude) and longitude < x1 + (latitude - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1 as inside from cameras, e group by all)
+select id, min(case when touched or inside then rank end) as rank, count(*) filter (touched or inside) as areas from m group by id""")
 def smoke_polygons(t):
-    """The worst smoke that a box of half a degree around each camera meets; tests hold it against numpy."""
-    ring = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct((F.col("x0") + F.col("r") * F.cos(i * 3.141592653589793 / 3)).alias("x"), (F.col("y0") + F.col("r") * F.sin(i * 3.141592653589793 / 3)).alias("y")))
-    polygons = t.nation.select((F.col("n_nationkey") * 4 - 10.0).alias("x0"), (F.col("n_regionkey") * 10.0).alias("y0"), (1.0 + F.col("n_nationkey") % 3).alias("r"), (F.col("n_nationkey") % 3).alias("rank")).select(ring.alias("ring"), "rank")
-    x, y = F.col("longitude"), F.col("latitude")
-    lo, hi = (x - 0.5, y - 0.5), (x + 0.5, y + 0.5)
-    ends = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    cells = op.in_cells(polygons, (ends(F.array_min, "x"), ends(F.array_min, "y")), (ends(F.array_max, "x"), ends(F.array_max, "y")), 4.0)
-    met = op.in_cells(t.cameras.select("id", "longitude", "latitude"), lo, hi, 4.0).join(cells, ["cx", "cy"]).where(op.box_meets_polygon(lo, hi, "ring"))
-    pairs = t.cameras.select("id").join(met.select("id", "rank"), "id", "left")
-    return pairs.groupBy("id").agg(F.min("rank").alias("rank"))
+    """The worst smoke that a box of half a degree around each camera meets, and how many areas it meets."""
+    smoke, x, y = _smoke(t), F.col("longitude"), F.col("latitude")
+    boxes = t.cameras.select("id", (x - 0.5).alias("left"), (y - 0.5).alias("low"), (x + 0.5).alias("right"), (y + 0.5).alias("high"))
+    met = areas.boxes_meet(boxes, smoke.select("polygon", "rings"), 4.0).join(smoke.select("polygon", "rank"), "polygon")
+    worst = met.groupBy("id").agg(F.min("rank").alias("rank"), F.count("*").alias("areas"))
+    return t.cameras.select("id").join(worst, "id", "left").select("id", "rank", F.coalesce("areas", F.lit(0)).alias("areas"))
 
 
 _SKY = ("camera_id", "day_date")

@@ -69,35 +69,9 @@ def test_two_means_of_the_frames(spark, sf_dir):
     assert np.allclose(got["low"], np.exp(low * deviation + mean), rtol=1e-6) and np.allclose(got["high"], np.exp(high * deviation + mean), rtol=1e-6)
 
 
-def test_smoke_of_every_camera(spark, sf_dir):
-    """Boxes against hexagons by clipping the box with the hexagon's half planes."""
-    nations = duckdb.sql(f"select n_nationkey, n_regionkey from read_parquet('{sf_dir}/nation.parquet')").fetchall()
-    rings = [([(n * 4 - 10 + (1 + n % 3) * np.cos(k * np.pi / 3), r * 10 + (1 + n % 3) * np.sin(k * np.pi / 3)) for k in range(6)], n % 3) for n, r in nations]
-
-    def meets(x, y, ring):
-        box = [(x - 0.5, y - 0.5), (x + 0.5, y - 0.5), (x + 0.5, y + 0.5), (x - 0.5, y + 0.5)]
-        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
-            side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: E731, B023
-            cut = []
-            for p, q in zip(box, box[1:] + box[:1], strict=True):
-                if side(p) >= 0:
-                    cut.append(p)
-                if side(p) * side(q) < 0:
-                    t = side(p) / (side(p) - side(q))
-                    cut.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-            box = cut
-            if not box:
-                return False
-        return True
-
-    cameras = duckdb.sql(f"select s_suppkey, s_acctbal / 100, s_acctbal / 200 from read_parquet('{sf_dir}/supplier.parquet')").fetchall()
-    want = {i: min((k for ring, k in rings if meets(x, y, ring)), default=None) for i, x, y in cameras}
-    assert {r.id: r["rank"] for r in plans.QUERIES["smoke_polygons"](spark, sf_dir).collect()} == want
-
-
 #: Held against plain passes in test_state.py.
 ELSEWHERE = {"star_match", "lens_fit"}
 
 
 def test_every_query_is_checked():
-    assert set(plans.QUERIES) - set(plans.ORACLES) == set(KERNELS) | ELSEWHERE | {"two_means", "smoke_polygons"}
+    assert set(plans.QUERIES) - set(plans.ORACLES) == set(KERNELS) | ELSEWHERE | {"two_means"}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starledger.operators import dml, frames, joins, kernels, ordering, rollups, secondary
+from starledger.operators import dml, frames, joins, kernels, ordering, polygons, rollups, secondary
 from starledger.plans import QUERIES
 from starledger.sources import feeds, sinks, tables
 
@@ -178,10 +178,10 @@ def test_smoke_is_worst_that_meets(spark):
             inside &= (bx - ax) * (g[:, 1] - ay) - (by - ay) * (g[:, 0] - ax) >= -1e-9
         return bool(inside.any())
 
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in hexagon])
-    df = spark.createDataFrame(boxes, "id int, x double, y double").withColumn("ring", ring)
-    got = {r.id: r.hit for r in df.select("id", joins.box_meets_polygon((F.col("x") - 0.5, F.col("y") - 0.5), (F.col("x") + 0.5, F.col("y") + 0.5), "ring").alias("hit")).collect()}
-    wrong = [i for i, x, y in boxes if got[i] != meets(x, y)]
+    shapes = spark.createDataFrame([(0, [[(float(x), float(y)) for x, y in hexagon]])], "polygon int, rings array<array<struct<x:double,y:double>>>")
+    df = spark.createDataFrame([(i, x - 0.5, y - 0.5, x + 0.5, y + 0.5) for i, x, y in boxes], "id int, left double, low double, right double, high double")
+    got = {r.id for r in polygons.boxes_meet(df, shapes, 2.0).collect()}
+    wrong = [i for i, x, y in boxes if (i in got) != meets(x, y)]
     assert len(wrong) <= 2  # the grid of points may miss a touching corner
 
 
