@@ -8,6 +8,10 @@ seed, doc_id and copy.
 
 A mean above ``STEP`` is cut into equal parts with a uniform number each; the sum of Poisson
 counts is Poisson, so no rate is capped and the tables of the inverse stay short.
+
+A lone document of a small source may stand for a third of the mixture. So documents of sources
+whose rate takes more than ``HOT_DRAWS`` draws are drawn for and copied in blocks of ``BLOCK``,
+dealt over all tasks: no task draws or writes more than a block at a time of one document.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ SEED = 20
 STEP = 16.0
 #: Terms of the distribution that are kept; the rest is below 1e-16 for means up to STEP.
 TERMS = 80
+#: Draws of a document from which on they, and its copies, are dealt in blocks; draws or copies to a block.
+HOT_DRAWS, BLOCK = 64, 1000
 #: Sources whose rates a broadcast may hold; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -63,7 +69,30 @@ def _tables(rate: DataFrame) -> DataFrame:
         """if(mean > 0, aggregate(sequence(0, 79), cast(array() as array<double>),
              (a, k) -> concat(a, array(coalesce(try_element_at(a, -1), 0d) + exp(k * ln(mean) - mean - lf[k])))), array(1d))"""
     )
-    return rate.withColumn("draws", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")).withColumn("mean", mean).withColumn("lf", log_factorial).withColumn("cdf", cdf).select("source", "rate", "draws", "cdf")
+    return rate.withColumn("draws", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("bigint")).withColumn("mean", mean).withColumn("lf", log_factorial).withColumn("cdf", cdf).select("source", "rate", "draws", "cdf")
+
+
+def _counted(seed: int, doc: Column, first: Column, last: Column) -> Column:
+    """Copies that the draws from ``first`` to ``last`` of a document give together."""
+    draws = F.sequence(first.cast("bigint"), last.cast("bigint"))
+    # the numbers first: within the filter each would be hashed once a term
+    numbers = F.transform(draws, lambda j: uniform(str(seed), doc, j.cast("string")))
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, u: a + F.size(F.filter("cdf", lambda p: p <= u)))
+
+
+def _in_blocks(joined: DataFrame, doc: Column, seed: int) -> DataFrame:
+    """``joined`` once for each block of a document's copies, with the block's first and last, dealt over the tasks by block."""
+    tasks = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda n: F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / BLOCK).cast("bigint"))
+    edge = lambda b, n: (F.col(b) * BLOCK + 1, F.least((F.col(b) + 1) * BLOCK, F.col(n)))
+    drawn = joined.select(doc.alias("drawn_doc"), F.col("mixed_source").alias("drawn_source"), "draws", "cdf").dropDuplicates(["drawn_doc", "drawn_source"])
+    parts = drawn.select("*", F.explode(blocks("draws")).alias("block")).repartition(tasks, "drawn_doc", "block")
+    counts = parts.groupBy("drawn_doc", "drawn_source").agg(F.sum(_counted(seed, F.col("drawn_doc"), *edge("block", "draws"))).alias("copies"))
+    counts = stored(counts.where("copies > 0"), "copies")
+    met = joined.join(counts, (doc == F.col("drawn_doc")) & F.col("mixed_source").eqNullSafe(F.col("drawn_source"))).drop("cdf", "draws", "drawn_source")
+    dealt = met.withColumn("block", F.explode(blocks("copies"))).repartition(tasks, "drawn_doc", "block")
+    first, last = edge("block", "copies")
+    return dealt.withColumn("first", first).withColumn("last", last)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, numbered: bool = True) -> DataFrame:
@@ -76,19 +105,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     looked at, however long. Rows of one doc_id share their draw, so repeated rows are repeated
     alike; null ids draw as the empty text; an empty table gives an empty one.
     """
-    table = _tables(rates(clash_free(docs, "source"), weights, total))
+    rate = rates(clash_free(docs, "source"), weights, total)
+    table = _tables(rate)
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     # names of its own, so that columns of the documents never clash
     flat, names = by_position(docs), docs.columns
     doc, source = (F.col(f"c{names.index(n)}") for n in ("doc_id", "source"))
     doc = F.coalesce(doc.cast("string"), F.lit(""))
-    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(str(seed), doc, j.cast("string")))
-    count = F.aggregate("numbers", F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda p: p <= u)))
     table = table.withColumnRenamed("source", "mixed_source")
-    joined = flat.join(table, source.eqNullSafe(F.col("mixed_source"))).withColumn("numbers", numbers).withColumn("copies", count).where("copies > 0")
     kept = [i for i, n in enumerate(names) if not (numbered and n in ("copy", "shuffle_key"))]
-    spread = joined.select(*[f"c{i}" for i in kept], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    joined = flat.join(table, source.eqNullSafe(F.col("mixed_source")))
+    few = joined.where(F.col("draws") <= HOT_DRAWS).withColumn("copies", _counted(seed, doc, F.lit(1), F.col("draws"))).where("copies > 0")
+    spread = few.select(*[f"c{i}" for i in kept], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    if not rate.where(F.col("rate") > HOT_DRAWS * STEP).isEmpty():
+        many = _in_blocks(joined.where(F.col("draws") > HOT_DRAWS), doc, seed)
+        spread = spread.union(many.select(*[f"c{i}" for i in kept], F.explode(F.sequence(F.col("first"), F.col("last"))).alias("copy")))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
     mixed = spread.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     return mixed.toDF(*[names[i] for i in kept], "copy", "shuffle_key") if numbered else mixed.drop("copy", "shuffle_key").toDF(*names)
@@ -102,14 +134,14 @@ def report(docs: DataFrame) -> DataFrame:
 ORACLE = """
 with sizes as (select source, count(*) n from documents group by source),
 rates as (select source, 1.0::double / (select count(*) from sizes) * (select sum(n) from sizes)::double / n rate from sizes),
-draws as (select *, greatest(ceil(rate / 16.0), 1)::int draws from rates),
+draws as (select *, greatest(ceil(rate / 16.0), 1)::bigint draws from rates),
 cdf as (select source, k, sum(exp(k * ln(rate / draws) - rate / draws - lgamma(k + 1))) over (partition by source order by k) p
         from draws, range(80) t(k)),
 d as (select doc_id, documents.source, text, draws from documents join draws on documents.source is not distinct from draws.source),
 u as (select doc_id, source, text, j, ('0x' || substr(md5('20:' || coalesce(doc_id::varchar, '') || ':' || j::varchar), 1, 13))::bigint / 4503599627370496.0::double as u
       from d, lateral (select unnest(range(1, draws + 1)) j)),
 c as (select doc_id, source, text, (select count(*) from cdf where cdf.source is not distinct from u.source and p <= u.u) n from u),
-s as (select doc_id, source, text, sum(n)::int n from c group by doc_id, source, text)
-select doc_id, source, copy::int as copy, ('0x' || substr(md5('20-order:' || coalesce(doc_id::varchar, '') || ':' || copy::varchar), 1, 15))::bigint as shuffle_key, text
+s as (select doc_id, source, text, sum(n)::bigint n from c group by doc_id, source, text)
+select doc_id, source, copy::bigint as copy, ('0x' || substr(md5('20-order:' || coalesce(doc_id::varchar, '') || ':' || copy::varchar), 1, 15))::bigint as shuffle_key, text
 from s, lateral (select unnest(range(1, n + 1)) as copy)
 """

@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from starledger.llm import credentials, decontam, langid, linededup, mixing, queries, repetition, simhash, sitetemplate, token_records, toxicity
 
@@ -333,6 +334,31 @@ def test_poisson_inverse(spark):
     assert len(set(order)) == len(order)
 
 
+def test_one_document_for_half_of_the_mixture(spark):
+    """The lone document of a source is drawn for and copied in blocks over all tasks."""
+    many = spark.range(200_000).selectExpr("id as doc_id", "'text' as text", "'en' as lang", "'large' as source", "4L as n_chars")
+    docs = many.union(spark.createDataFrame([(-1, "lone", "en", "small", 4)], DOCS)).union(spark.createDataFrame([(-2, "rare", "en", None, 4)] * 2, DOCS))
+    out = mixing.mix(docs)
+    counts = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(counts["small"] - 66_667) < 1500 and abs(counts["large"] - 66_667) < 1500 and abs(counts[None] - 66_667) < 3000
+    numbers = out.where("doc_id = -1").agg(F.min("copy"), F.max("copy"), F.countDistinct("copy"), F.countDistinct("shuffle_key")).first()
+    assert tuple(numbers) == (1, counts["small"], counts["small"], counts["small"])
+    joined = docs.limit(0).union(spark.createDataFrame([(-1, "lone", "en", "small", 4)], DOCS)).toDF("c0", "c1", "c2", "c3", "c4")
+    rates = mixing._tables(spark.createDataFrame([("small", 300_000.0)], "source string, rate double")).withColumnRenamed("source", "mixed_source")
+    blocks = mixing._in_blocks(joined.join(rates, joined.c3 == rates.mixed_source), F.col("c0").cast("string"), 1)
+    sizes = blocks.groupBy(F.spark_partition_id()).agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.max(F.col("last") - F.col("first")).alias("most")).collect()
+    assert sum(r.n for r in sizes) > 297_000 and max(r.most for r in sizes) < mixing.BLOCK and max(r.n for r in sizes) < 75_000
+    plain = sum(int(r.n) for r in sizes)
+    inline = joined.join(rates, joined.c3 == rates.mixed_source).select(mixing._counted(1, F.col("c0").cast("string"), F.lit(1), F.col("draws")).alias("n")).first().n
+    assert plain == inline
+
+
+def test_more_copies_than_an_array_holds(spark):
+    """A rate of billions is blocks of a thousand: only the plan is made, the draws stay numbers of 64 bits."""
+    table = mixing._tables(spark.createDataFrame([("small", 5e9)], "source string, rate double")).first()
+    assert table.draws == 312_500_000
+
+
 # 7 site templates
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
