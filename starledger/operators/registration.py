@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starledger.sources.sinks import stored
+
 #: Stars of a frame that make triangles.
 STARS = 8
 #: Width of a bin of the sides' ratios, least ratio of the shortest side, least difference of two ratios.
@@ -112,8 +114,8 @@ def registered(pairs: DataFrame, stars: DataFrame) -> DataFrame:
     within ``TOLERANCE`` of one of the target. Pairs with fewer than ``LEAST_VOTES`` votes in a
     bin, or fewer than three stars in the end, have no row.
     """
-    bright = kept(stars)
-    cast = votes(pairs, triangles(bright))
+    bright = stored(kept(stars), "bright")
+    cast = stored(votes(pairs, triangles(bright)), "votes")
     won = winners(cast).where(F.col("votes") >= LEAST_VOTES)
     near = None
     for b in BINS:
