@@ -10,7 +10,7 @@ Tasks hand the ends of their range to the next one.
 
 Candidates are confirmed on the full sets in two steps: first the closest ones of every set,
 then, of the others, those that lie in different components by then; links within a component
-change nothing and are not looked up.
+change nothing and are not looked up. Later links join components, not sets.
 
 A region with more sets than neighbours, such as a thousand edits of one text, may hold sets
 that are linked to one of them only, commonly the text itself. So every set of a dense region
@@ -42,6 +42,8 @@ SHINGLE_WORDS, LEAST_PERCENT = 3, 85
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 16, 10, 3, 12
 #: Neighbours on each side that a set meets on account of a prefix that more than ``NEIGHBOURS`` sets share.
 DENSE_NEIGHBOURS = 2
+#: A shingle is common in a component if this many times its members have it, or more; parts in which a component meets those outside.
+COMMON, SALTS = 8, 16
 #: Bytes of one MinHash value in a path; values are compared as bytes.
 VALUE_BYTES = 3
 #: Closest candidates of each set that are confirmed first.
@@ -255,6 +257,16 @@ def _outside(regions: DataFrame, comp: DataFrame, large: DataFrame) -> DataFrame
     return rooted.join(main, "region").where("own <> root").select("node", "root").distinct()
 
 
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """``comp`` with the components that ``more`` links joined: a graph of components, not of sets."""
+    own = lambda side: comp.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = more.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    graph = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
+    top = components(stored(graph, "graph")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    fresh = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return comp.union(fresh).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -275,16 +287,23 @@ def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame) -> Data
 
     A set linked to a member has with it one of the shingles that remain when as many as the
     link lets it lack, the rarest of the component first, are set aside. Most sets lack more
-    shingles in the whole component than a link allows, and have no candidates.
+    shingles in the whole component than a link allows, and have no candidates; a set that
+    needs a shingle which many members have is laid beside all of them, once each.
     """
     postings = members.select("root", F.col("node").alias("member"), F.explode("shingles").alias("s"))
-    counts = postings.groupBy("root", "s").agg(F.count("*").alias("count"))
+    counts = members.select("root", "members", F.explode("shingles").alias("s")).groupBy("root", "members", "s").agg(F.count("*").alias("count"))
     size = F.size("shingles")
     lacking = (size - F.floor((LEAST_PERCENT * size + 99) / 100)).cast("int")
     spread = outside.join(sets, "node").select("node", "root", lacking.alias("lacking"), F.explode("shingles").alias("s"))
     rarest = F.row_number().over(Window.partitionBy("node", "root").orderBy("count", "s"))
     held = spread.join(counts, ["root", "s"], "left").fillna(0, ["count"]).withColumn("nth", rarest).where("nth <= lacking + 1 and count > 0")
-    return held.select("node", "root", "s").join(postings, ["root", "s"]).select(*_pair("node", "member")).distinct()
+    held = stored(held.select("node", "root", "s", (COMMON * F.col("count") > F.col("members")).alias("often")), "held")
+    common = held.where("often").select("node", "root").distinct()
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    everyone = members.select("root", F.col("node").alias("member"), F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
+    beside_all = common.select("node", "root", salt).join(everyone, ["root", "salt"])
+    beside_some = held.join(common, ["node", "root"], "left_anti").select("node", "root", "s").join(postings, ["root", "s"])
+    return beside_all.select(*_pair("node", "member")).union(beside_some.select(*_pair("node", "member"))).distinct()
 
 
 def _among(outside: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -315,25 +334,26 @@ def classes(docs: DataFrame) -> DataFrame:
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "closeness"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("closeness"), "b"))
     closest = both.withColumn("nth", nth).where(F.col("nth") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(_linked(closest, sets), "links")
-    comp = stored(components(links), "components")
-    others = stored(_linked(_apart(pairs, comp), sets), "links")
-    links = links.union(others)
-    comp = comp if others.isEmpty() else stored(components(links), "components")
+    comp = stored(components(stored(_linked(closest, sets), "links")), "components")
     regions = stored(_regions(dense), "regions")
-    growing = not regions.isEmpty()
-    while growing:
-        large = stored(_large(comp), "large")
-        outside = stored(_outside(regions, comp, large), "outside")
-        members = comp.join(large, "root").join(sets, "node").select("root", "members", "node", "shingles")
-        for propose in (lambda: _to_centres(outside, members), lambda: _to_members(outside, members, sets), lambda: _among(outside, distinct)):  # noqa: B023
-            # each link joins two components, so the rounds end
-            more = stored(_linked(_apart(propose(), comp), sets), "links")
-            growing = not more.isEmpty()
-            if growing:
-                links = links.union(more)
-                comp = stored(components(links), "components")
-                break
+    crowded, asked, last = not regions.isEmpty(), pairs.select("a", "b"), False
+    while True:
+        if crowded:
+            outside = stored(_outside(regions, comp, stored(_large(comp), "large")), "outside")
+            if last:
+                asked = asked.union(_among(outside, distinct))
+            else:
+                members = comp.join(_large(comp), "root").join(sets, "node").select("root", "members", "node", "shingles")
+                asked = asked.union(_to_centres(outside, members)).union(_to_members(outside, members, sets))
+        # each link joins two components, so the rounds end
+        more = stored(_linked(stored(_apart(asked.distinct(), comp), "asked"), sets), "links")
+        if not more.isEmpty():
+            comp, last = stored(_joined(comp, more), "components"), False
+        elif last or not crowded:
+            break
+        else:
+            last = True
+        asked = pairs.select("a", "b").limit(0)
     root = F.coalesce("root", "node")
     rooted = distinct.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", root.alias("root"))
     least = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
