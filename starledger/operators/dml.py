@@ -27,11 +27,17 @@ def replace_groups(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     return old.join(new.select(group).distinct(), group, "left_anti").unionByName(new)
 
 
-def insert_or_reject(old: DataFrame, new: DataFrame, by: list[str], overwrite: bool) -> DataFrame:
-    """U4, K6: per key: inserted, overwritten or rejected; doing it twice changes nothing more."""
+def insert_or_reject(old: DataFrame, new: DataFrame, by: list[str], order: str, overwrite: bool) -> DataFrame:
+    """U4, K6: per key: inserted, overwritten or rejected; doing it twice changes nothing more.
+
+    Of new rows with one key the first by ``order`` is inserted if the key is not there yet; it
+    is there for the others.
+    """
     known = old.select(*by).distinct().withColumn("known", F.lit(True))
-    said = F.when(F.col("known").isNull(), "inserted").otherwise("overwritten" if overwrite else "rejected")
-    return new.join(known, by, "left").withColumn("outcome", said).drop("known")
+    first = new.groupBy(*by).agg(F.min(order).alias("first"))
+    state = first.join(known, by, "left")
+    said = F.when(F.col("known").isNull() & (F.col(order) == F.col("first")), "inserted").otherwise("overwritten" if overwrite else "rejected")
+    return new.join(state, by, "left").withColumn("outcome", said).drop("known", "first")
 
 
 def without(df: DataFrame, condition: Column) -> DataFrame:

@@ -54,7 +54,7 @@ def relative_path(filename: str | Column, root: str) -> Column:
     """The path below ``root``; paths elsewhere and relative ones stay."""
     c = F.col(filename) if isinstance(filename, str) else filename
     prefix = root.rstrip("/") + "/"
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1_000_000)).otherwise(c)
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
 
 
 def asset_url(root: str, s3_prefix: str, local: bool) -> Column:

@@ -68,18 +68,15 @@ def exposure_seeds(rows: DataFrame, levels: int, tolerance: float) -> DataFrame:
     close = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b))
     seeds = rows.select("camera_id").distinct().withColumn("seeds", F.array().cast("array<struct<id:bigint,exposure:double>>"))
     for _ in range(levels):
-        left = rows.join(F.broadcast(seeds), "camera_id").where(~F.exists("seeds", lambda s: close(F.col("exposure"), s["exposure"])))
+        left = rows.join(seeds, "camera_id").where(~F.exists("seeds", lambda s: close(F.col("exposure"), s["exposure"])))
         newest = left.groupBy("camera_id").agg(F.max_by(F.struct(F.col("id").cast("bigint").alias("id"), F.col("exposure").cast("double").alias("exposure")), F.struct("create_date", -F.col("id"))).alias("next"))
         seeds = stored(seeds.join(newest, "camera_id", "left").select("camera_id", F.when(F.col("next").isNull(), F.col("seeds")).otherwise(F.array_append("seeds", F.col("next"))).alias("seeds")), "seeds")
     return seeds
 
 
 def within_budget(rows: DataFrame, files: int, size: int, levels: int, tolerance: float) -> DataFrame:
-    """By camera the seeds of the exposure levels first, then all others newest first; the state is the room left.
-
-    A camera is one row of the seeds, so these are broadcast: a station has few cameras.
-    """
+    """By camera the seeds of the exposure levels first, then all others newest first; the state is the room left."""
     seeds = exposure_seeds(rows, levels, tolerance)
-    dealt = rows.join(F.broadcast(seeds), "camera_id").withColumns({"age": -F.unix_micros(F.col("create_date").cast("timestamp")), "seed": F.exists("seeds", lambda s: s["id"] == F.col("id"))})
+    dealt = rows.join(seeds, "camera_id").withColumns({"age": -F.unix_micros(F.col("create_date").cast("timestamp")), "seed": F.exists("seeds", lambda s: s["id"] == F.col("id"))})
     order = dealt.select("id", "camera_id", "file_size", "seed", (~F.col("seed")).alias("later"), "age")
     return by_batches(order, "camera_id", ["later", "age", "id"], partial(Budget, files, size), "id bigint, camera_id int, taken boolean, seed boolean").where("taken")

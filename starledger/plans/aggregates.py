@@ -143,7 +143,7 @@ def mean_of_bucket_means(t):
     return _rounded(op.mean_of_bucket_means(op.bucket_means(t.frames, 15, ["adu", "sqm"]), ["adu", "sqm"]), "adu", "sqm")
 
 
-@query("select camera_id, arg_max(sqm, create_date) as sqm, max(create_date) as create_date from frames group by camera_id")
+@query("select camera_id, arg_max(sqm, (create_date, id)) as sqm, max(create_date) as create_date from frames group by camera_id")
 def latest_per_camera(t):
     """A14, W5."""
     return op.latest(t.frames, ["camera_id"], ["create_date", "id"], ["sqm", "create_date"])

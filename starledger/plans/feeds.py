@@ -178,11 +178,11 @@ def dark_ladder(t):
     return steps.select(F.explode(F.sequence(F.lit(1), F.lit(15))).alias("exposure"), "gain").select("exposure", "gain", F.explode(F.array(F.lit(1), F.lit(2))).alias("binmode"))
 
 
-@query("select camera_id, arg_max(id, create_date) as id from frames where create_date > timestamp '2024-01-20 00:00:00' - interval 900 minutes and create_date <= timestamp '2024-01-20 00:00:00' group by camera_id")
+@query("select camera_id, arg_max(id, (create_date, id)) as id from frames where create_date > timestamp '2024-01-20 00:00:00' - interval 900 minutes and create_date <= timestamp '2024-01-20 00:00:00' group by camera_id")
 def recent_frame(t):
     """X14."""
     now = F.lit("2024-01-20").cast("timestamp_ntz")
-    return t.frames.where((F.col("create_date") > now - F.make_dt_interval(mins=F.lit(900))) & (F.col("create_date") <= now)).groupBy("camera_id").agg(F.max_by("id", "create_date").alias("id"))
+    return t.frames.where((F.col("create_date") > now - F.make_dt_interval(mins=F.lit(900))) & (F.col("create_date") <= now)).groupBy("camera_id").agg(F.max_by("id", F.struct("create_date", "id")).alias("id"))
 
 
 @query("select id from frames where not (create_date > timestamp '2024-01-29 00:00:00' - interval 16 minutes)")

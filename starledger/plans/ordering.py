@@ -13,11 +13,11 @@ def frame_lag(t):
     return op.lags(t.frames).select("id", "camera_id", F.round("period", 6).alias("period"), F.round("delta", 6).alias("delta"))
 
 
-@query("select id, create_date, camera_id from frames where create_date > timestamp '2024-01-20 00:00:00' - interval 3 hours and create_date <= timestamp '2024-01-20 00:00:00' order by create_date desc limit 50")
+@query("select id, create_date, camera_id from frames where create_date > timestamp '2024-01-20 00:00:00' - interval 3 hours and create_date <= timestamp '2024-01-20 00:00:00' order by create_date desc, id desc limit 50")
 def newest_frames(t):
     """T1-T3."""
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    return t.frames.where((F.col("create_date") > now - F.make_dt_interval(hours=F.lit(3))) & (F.col("create_date") <= now)).orderBy(F.desc("create_date")).limit(50).select("id", "create_date", "camera_id")
+    return t.frames.where((F.col("create_date") > now - F.make_dt_interval(hours=F.lit(3))) & (F.col("create_date") <= now)).orderBy(F.desc("create_date"), F.desc("id")).limit(50).select("id", "create_date", "camera_id")
 
 
 @query("""with r as (select *, sum(case when exclude then 1 else 0 end) over (partition by camera_id order by create_date, id rows unbounded preceding) as run from frames)

@@ -29,11 +29,12 @@ def replace_group(t):
     return op.replace_groups(t.part.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id")).where("grp <> 'Brand#2'"), new, "grp")
 
 
-@query("""select a.id, case when exists (select 1 from videos v where v.camera_id = a.camera_id and v.day_date = a.day_date and v.night = a.night) then 'rejected' else 'inserted' end as outcome from assets a where kind = 'keogram'""")
+@query("""select a.id, case when exists (select 1 from videos v where v.camera_id = a.camera_id and v.day_date = a.day_date and v.night = a.night)
+ or row_number() over (partition by camera_id, day_date, night order by id) > 1 then 'rejected' else 'inserted' end as outcome from assets a where kind = 'keogram'""")
 def insert_or_reject(t):
     """U4, K6."""
     by = ["camera_id", "day_date", "night"]
-    return op.insert_or_reject(t.videos, t.assets.where("kind = 'keogram'").select("id", *by), by, overwrite=False).select("id", "outcome")
+    return op.insert_or_reject(t.videos, t.assets.where("kind = 'keogram'").select("id", *by), by, "id", overwrite=False).select("id", "outcome")
 
 
 @query("select id, event_type from frames where not (create_date < timestamp '2024-01-31 00:00:00' - interval 3 days)")
