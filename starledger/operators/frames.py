@@ -18,10 +18,10 @@ from .ordering import placed
 FRAME_SLOT = 1000
 
 
-def pixels(frames: DataFrame, width: int, values: str = "values") -> DataFrame:
-    """frame, stack, y, x, v from rows of whole frames."""
-    spread = frames.select("frame", "stack", F.posexplode(values).alias("at", "v"))
-    return spread.select("frame", "stack", F.floor(F.col("at") / width).cast("int").alias("y"), (F.col("at") % width).alias("x"), "v")
+def pixels(frames: DataFrame, width: int, values: str = "values", also: tuple[str, ...] = ()) -> DataFrame:
+    """frame, stack, the columns ``also``, y, x, v from rows of whole frames."""
+    spread = frames.select("frame", "stack", *also, F.posexplode(values).alias("at", "v"))
+    return spread.select("frame", "stack", *also, F.floor(F.col("at") / width).cast("int").alias("y"), (F.col("at") % width).alias("x"), "v")
 
 
 def stack(px: DataFrame, how: str) -> DataFrame:
@@ -55,21 +55,10 @@ def hot_pixels(px: DataFrame, threshold: int) -> DataFrame:
     return top.withColumn("hot", F.count_if(F.col("v") > 0).over(Window.partitionBy("stack")))
 
 
-def subtract(px: DataFrame, master: DataFrame, bad: DataFrame | None = None) -> DataFrame:
-    """A master frame, or where it is greater the bad-pixel map, off each frame, never below zero.
-
-    A frame of other width or height than its master, or without one, stays as it is;
-    ``calibrated`` says which.
-    """
-    key = ["stack", "y", "x"]
-    whole = master.select(*key, F.col("v").alias("m"))
-    if bad is not None:
-        whole = whole.join(bad.select(*key, F.col("v").alias("hot")), key, "left").select(*key, F.greatest("m", F.coalesce("hot", F.lit(0))).alias("m"))
-    shape = F.struct(F.max("y").alias("y"), F.max("x").alias("x"))
-    fits = px.groupBy("frame", "stack").agg(shape.alias("own")).join(whole.groupBy("stack").agg(shape.alias("of_master")), "stack", "left")
-    fits = fits.select("frame", "stack", F.coalesce(F.col("own") == F.col("of_master"), F.lit(False)).alias("calibrated"))
-    met = px.join(fits, ["frame", "stack"]).join(whole, key, "left")
-    return met.withColumn("v", F.when(F.col("calibrated"), F.greatest(F.col("v") - F.col("m"), F.lit(0))).otherwise(F.col("v"))).drop("m")
+def master_dark(px: DataFrame, threshold: int) -> DataFrame:
+    """Stack, y, x, v: the mean of each pixel, cut, or its maximum where that is hot, in one aggregation."""
+    top = F.max("v")
+    return px.groupBy("stack", "y", "x").agg(F.greatest(F.floor(F.avg("v")).cast("int"), F.when(top >= threshold, top).otherwise(0)).alias("v"))
 
 
 def gamma(v: Column, g: float, top: int = 255) -> Column:
@@ -109,14 +98,6 @@ def color_matrix(matrix: list[list[float]], r: Column, g: Column, b: Column, top
     return [F.floor(F.least(F.lit(float(top)), F.greatest(F.lit(0.0), a * r + c * g + d * b))).cast("int") for a, c, d in matrix]
 
 
-def grey_world(px: DataFrame, top: int = 255) -> DataFrame:
-    """Channels scaled so that their means agree; a black channel counts as 0.1."""
-    means = px.groupBy("frame").agg(*[F.avg(c).alias(f"m_{c}") for c in "rgb"])
-    grey = (F.col("m_r") + F.col("m_g") + F.col("m_b")) / 3
-    scaled = {c: F.bround(F.least(F.lit(float(top)), F.col(c) * grey / F.when(F.col(f"m_{c}") == 0, 0.1).otherwise(F.col(f"m_{c}")))).cast("int") for c in "rgb"}
-    return px.join(means, "frame").withColumns(scaled).drop("m_r", "m_g", "m_b")
-
-
 def balanced(r: Column, g: Column, b: Column, factors: tuple[float, float, float], top: int = 255) -> list[Column]:
     """Channels times given factors, rounded to the even and clipped."""
     return [F.least(F.lit(top), F.bround(c * f)).cast("int") for c, f in zip((r, g, b), factors, strict=True)]

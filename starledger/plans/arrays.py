@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starledger.operators import frames as op
-from starledger.operators import kernels, rollups, strategies
+from starledger.operators import kernels, rollups, strategies, whole
 
 from .registry import query
 
@@ -57,8 +57,9 @@ def bad_pixel_map(t):
 @query(f"with {PX}, m as (select stack, y, x, greatest(floor(avg(v))::int, case when max(v) >= 230 then max(v) else 0 end) as m from px group by all) select frame, stack, y, x, greatest(v - m, 0) as v, true as calibrated from px join m using (stack, y, x)")
 def dark_subtract(t):
     """The master dark, and the bad-pixel map where it is greater."""
-    px = _px(t)
-    return op.subtract(px, op.stack(px, "average"), op.hot_pixels(px, 230)).select("frame", "stack", "y", "x", "v", "calibrated")
+    masters = op.master_dark(_px(t), 230)
+    made = whole.calibrated(_frames(t), whole.master_of(masters), SIZE)
+    return op.pixels(made, SIZE, also=("calibrated",)).select("frame", "stack", "y", "x", "v", "calibrated")
 
 
 @query("""with recursive base as (select vec_id as frame, [floor((e::double + 0.6) * 200)::int for e in embedding] as o from embeddings),
@@ -79,7 +80,7 @@ def gamma_and_shift(t):
 @query(f"with {PX}, s as (select frame, greatest(0, avg(v) - 1.0 * stddev_pop(v)) as lo from px group by frame) select frame, y, x, floor(round(least(255.0, greatest(0.0, (v - lo) * 255 / (255 - lo))), 6))::int as v from px join s using (frame)")
 def stretch_deviation(t):
     """N13."""
-    return op.deviation_stretch(_px(t), 1.0).select("frame", "y", "x", "v")
+    return op.pixels(_frames(t).withColumn("values", whole.deviation_stretch(F.col("values"), 1.0)), SIZE).select("frame", "y", "x", "v")
 
 
 @query(f"with {PX} select frame, y, x, round((0.25 - 1) * (v / 255.0::double) / ((2 * 0.25 - 1) * (v / 255.0::double) - 0.25), 6) as v from px")
@@ -98,7 +99,7 @@ select frame, y, x, floor(round(case when z <= 0 then 0.0 when z >= 1 then 1.0 e
 @query(_ADAPTIVE)
 def stretch_adaptive(t):
     """N15."""
-    return op.adaptive_midtones(_px(t)).select("frame", "y", "x", "v")
+    return op.pixels(_frames(t).withColumn("values", whole.adaptive_stretch(F.col("values"), SIZE)), SIZE).select("frame", "y", "x", "v")
 
 
 @query(f"with {PX}, {RGB} select frame, y, x, floor(least(255.0, greatest(0.0, 1.5 * r - 0.3 * g - 0.2 * b)))::int as r, floor(least(255.0, greatest(0.0, -0.25 * r + 1.5 * g - 0.25 * b)))::int as g, floor(least(255.0, greatest(0.0, 0.125 * r - 0.5 * g + 1.375 * b)))::int as b from (select frame, y, x, r::double as r, g::double as g, b::double as b from rgb)")
@@ -112,7 +113,10 @@ def color_correction(t):
 @query(f"with {PX}, {RGB}, m as (select frame, avg(r) as mr, avg(g) as mg, avg(b) as mb from rgb group by frame) select frame, y, x, round_even(least(255.0, r * ((mr + mg + mb) / 3) / mr), 0)::int as r, round_even(least(255.0, g * ((mr + mg + mb) / 3) / mg), 0)::int as g, round_even(least(255.0, b * ((mr + mg + mb) / 3) / mb), 0)::int as b from rgb join m using (frame)")
 def white_balance(t):
     """N18."""
-    return op.grey_world(_rgb(t)).select("frame", "y", "x", "r", "g", "b")
+    v = F.col("values")
+    channels = _frames(t).select("frame", "stack", v.alias("r"), F.transform(v, lambda x: (x * 7 + 13) % 256).alias("g"), F.transform(v, lambda x: (x * 3 + 101) % 256).alias("b"))
+    made = channels.select("frame", "stack", F.arrays_zip(*[c.alias(n) for n, c in zip("rgb", whole.grey_world(*map(F.col, "rgb")), strict=True)]).alias("values"))
+    return op.pixels(made, SIZE).select("frame", "y", "x", "v.r", "v.g", "v.b")
 
 
 @query(f"with {PX}, {RGB} select frame, y, x, least(255, round_even(r * 1.3::double, 0))::int as r, least(255, round_even(g * 0.9::double, 0))::int as g, least(255, round_even(b * 1.1::double, 0))::int as b from rgb")

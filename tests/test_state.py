@@ -295,16 +295,6 @@ def test_wavelets_by_plain_transform(spark):
     assert np.allclose(kernels.wavelet_denoise(a), want)
 
 
-def test_frames_of_another_size_are_not_calibrated(spark):
-    px = lambda frame, n: [(frame, 0, y, x, 100) for y in range(n) for x in range(n)]
-    light = spark.createDataFrame(px(1, 3) + px(2, 4), "frame bigint, stack int, y int, x int, v int")
-    master = spark.createDataFrame([(0, y, x, 30 if (y, x) != (1, 1) else 20) for y in range(3) for x in range(3)], "stack int, y int, x int, v int")
-    bad = spark.createDataFrame([(0, 1, 1, 90)], "stack int, y int, x int, v int")
-    got = frames.subtract(light, master, bad).collect()
-    assert {(r.v, r.calibrated) for r in got if r.frame == 2} == {(100, False)}
-    assert {(r.y, r.x): r.v for r in got if r.frame == 1} == {(y, x): 10 if (y, x) == (1, 1) else 70 for y in range(3) for x in range(3)}
-
-
 def test_best_match_falls_back_and_breaks_ties(spark):
     at = "timestamp'2024-01-01 00:00:00'"
     lib = spark.sql(f"select * from values (1, 7, 100, 5, 30.0, {at}), (2, 7, 100, 5, 12.0, {at}), (3, 7, 100, 5, 12.0, {at} + interval 1 day), (4, 8, 50, 5, 40.0, {at}) as t(id, k, gain, exposure, temp, create_date)")
