@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,21 +115,45 @@ def nearest_in_cells(left: DataFrame, right: DataFrame, radius: float, by: tuple
     return a.join(b, [*by, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*by, "lid", "rid", "distance")
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+def _one_pass(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The greedy choice among the pairs of one group, in order."""
+    ordered = pairs.sort_values(["distance", "lid", "rid"])
+    left, right, kept = set(), set(), []
+    for i, a, b in zip(ordered.index, ordered["lid"], ordered["rid"], strict=True):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            kept.append(i)
+    return ordered.loc[kept]
+
+
+def greedy_pairs(pairs: DataFrame, by: tuple[str, ...] = (), rounds: int = 8, most: int = 500_000) -> DataFrame:
     """J13, second half: one partner each in a group, the closest pairs first, ties by lid, then rid.
 
     A pair that is the first of all pairs of both its ends is surely chosen; those are taken
-    in each round and their ends leave, which gives what one ordered pass would.
+    in each round and their ends leave, which gives what one ordered pass would. What is left
+    after ``rounds`` rounds are chains that give way one pair at a time: groups with no more
+    than ``most`` pairs left are settled by one pass each, larger ones by more rounds, however
+    many it takes.
     """
     from starledger.sources.sinks import stored
 
-    order = F.struct("distance", "lid", "rid")
-    left, taken = stored(pairs, "pairs"), None
-    for _ in range(rounds):
-        firsts = left.withColumn("o", order).withColumns({"l": F.min("o").over(Window.partitionBy(*by, "lid")), "r": F.min("o").over(Window.partitionBy(*by, "rid"))}).where("o = l and o = r").select(*by, "lid", "rid", "distance")
-        firsts = stored(firsts, "chosen")
+    order, key = F.struct("distance", "lid", "rid"), list(by) or ["all"]
+    pairs = pairs if by else pairs.withColumn("all", F.lit(0))
+    columns = [*by, "lid", "rid", "distance"]
+    left, taken, n = stored(pairs.select(*key, "lid", "rid", "distance"), "pairs"), None, 0
+    while True:
+        n += 1
+        firsts = left.withColumn("o", order).withColumns({"l": F.min("o").over(Window.partitionBy(*key, "lid")), "r": F.min("o").over(Window.partitionBy(*key, "rid"))}).where("o = l and o = r")
+        firsts = stored(firsts.select(*key, "lid", "rid", "distance"), "chosen")
         taken = firsts if taken is None else taken.union(firsts)
-        left = stored(left.join(firsts.select(*by, "lid"), [*by, "lid"], "left_anti").join(firsts.select(*by, "rid"), [*by, "rid"], "left_anti"), "pairs")
+        left = stored(left.join(firsts.select(*key, "lid"), [*key, "lid"], "left_anti").join(firsts.select(*key, "rid"), [*key, "rid"], "left_anti"), "pairs")
         if left.isEmpty():
-            return taken
-    raise RuntimeError("pairs are left after the last round")
+            return taken.select(*columns)
+        if n >= rounds:
+            sizes = left.groupBy(*key).count()
+            few = left.join(sizes.where(F.col("count") <= most).select(*key), key, "left_semi").select(*key, "lid", "rid", "distance")
+            taken = taken.union(stored(few.groupBy(*key).applyInPandas(_one_pass, few.schema), "chosen"))
+            left = stored(left.join(sizes.where(F.col("count") > most).select(*key), key, "left_semi"), "pairs")
+            if left.isEmpty():
+                return taken.select(*columns)

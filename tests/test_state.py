@@ -148,6 +148,14 @@ def test_greedy_pairs_is_one_ordered_pass(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_greedy_pairs_of_a_long_chain(spark):
+    """Distances that rise along a chain settle one pair a round: the rest is one pass, or more rounds where it is too long for one."""
+    chain = spark.range(5000).selectExpr("id div 2 + id % 2 as lid", "id div 2 as rid", "cast(id as double) as distance")
+    assert {(r.lid, r.rid) for r in joins.greedy_pairs(chain).collect()} == {(k, k) for k in range(2500)}
+    short = chain.where("distance < 24").withColumn("g", F.lit("x"))
+    assert {(r.g, r.lid, r.rid) for r in joins.greedy_pairs(short, by=("g",), rounds=1, most=4).collect()} == {("x", k, k) for k in range(12)}
+
+
 def test_star_match_takes_every_frame_of_a_day(spark):
     sf_dir, groups = "/root/testdata/sf0.01", {}  # in sf0.001 a camera's day has four frames
     for r in tables.table(spark, sf_dir, "frames").select("id", "camera_id", "day_date").collect():
