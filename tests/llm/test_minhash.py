@@ -8,7 +8,7 @@ import pytest
 
 from starledger.llm import minhash, queries
 
-from .test_operators import DOCS, SF, SF_MODEL, edge, empty, texts
+from .test_operators import DOCS, EDGE, SF, SF_MODEL, empty, odd, texts
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -30,15 +30,15 @@ def plain_components(rows):
             i = root[i]
         return i
 
+    first = {}
+    for i, s in enumerate(sets):
+        root[i] = first.setdefault(s, i) if s else i
     holders = collections.defaultdict(list)
     for i, s in enumerate(sets):
         for x in s:
             holders[x].append(i)
     tried = set()
     for group in holders.values():
-        for a, b in itertools.pairwise(group):
-            if sets[a] == sets[b]:
-                root[top(b)] = top(a)
         distinct = list({sets[i]: i for i in group}.values())
         for a, b in itertools.combinations(distinct, 2):
             if (a, b) not in tried:
@@ -96,13 +96,9 @@ def test_odd_documents(spark):
     """Null, empty and wordless texts are linked with nothing; texts of a word or two are sets of one."""
     huge = "".join(f"word{i} " for i in range(600_000))
     rows = [(10, huge), (11, huge + "more"), (12, "x" * 2_000_000), (13, "X" * 2_000_000 + " "), (14, "two words"), (15, "TWO\twords"), (16, "two word"), (None, "two words")]
-    more = [(i, t, "en", None, 0) for i, t in rows]
-    df = edge(spark).select("doc_id", "text", "lang", "source", "n_chars", "copy", "node", "a.b") if "node" in edge(spark).columns else edge(spark)
-    plain = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    both = df.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, DOCS)).selectExpr("*", "'x' as node", "'y' as NODE_", "1 as paths", "2 as `a.b`")
-    key = lambda r: repr(r)
-    assert sorted(found(minhash.near_duplicates(both)), key=key) == sorted(plain_components(plain + rows), key=key)
-    assert sorted(found(minhash.near_duplicates(df)), key=key) == sorted(plain_components(plain), key=key)
+    plain = [*EDGE, *rows]
+    df = odd(spark.createDataFrame([(i, t, "en", None, 0) for i, t in plain], DOCS))
+    assert sorted(found(minhash.near_duplicates(df)), key=repr) == sorted(plain_components(plain), key=repr)
     out = minhash.near_duplicates(empty(spark))
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == 0
 
@@ -125,7 +121,7 @@ def test_neighbours_over_many_tasks(spark):
         finally:
             spark.conf.set("spark.sql.adaptive.enabled", before)
             spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert counts[0] >= counts[1] >= 0.95 * counts[0] > 200
+    assert counts[1] >= 0.95 * counts[0] > 200  # more where a task does not see how dense its ends are
 
 
 def test_candidates_grow_with_the_sets(spark):
