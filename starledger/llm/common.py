@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of a cut of an Arrow batch.
 CUT_BYTES = 1 << 21
+#: Rows of a narrow table that a task writes.
+TASK_ROWS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a narrow table of at most ``rows`` rows, in no more tasks than these need: of a small table no hundreds of files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that ``stored_at`` wrote, once nothing reads it any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

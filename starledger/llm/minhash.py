@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clash_free, cuts, per_batch, stored, texts
-from .simhash import components
+from .common import clash_free, cuts, few, per_batch, stored, texts
+from .stars import components
 
 #: Fixed by the contract: words to a shingle, and linked from this many hundredths of the union on.
 SHINGLE_WORDS, LEAST_PERCENT = 3, 85
@@ -249,20 +249,20 @@ def _regions(dense: DataFrame) -> DataFrame:
     return dense.select("node", "tree", "path", cut).select(F.xxhash64("tree", F.substring("path", F.lit(1), F.col("d") * VALUE_BYTES), "d").alias("region"), "node").distinct()
 
 
-def _outside(regions: DataFrame, comp: DataFrame, large: DataFrame) -> DataFrame:
+def _outside(regions: DataFrame, comp: DataFrame, large: DataFrame, n: int) -> DataFrame:
     """(node, root): sets of dense regions, and the large component that most of the region belongs to but they do not."""
     rooted = regions.join(comp, "node", "left").select("region", "node", F.coalesce("root", "node").alias("own"))
     shares = rooted.join(large.select(F.col("root").alias("own")), "own").groupBy("region", "own").count()
-    main = stored(shares.groupBy("region").agg(F.max(F.struct("count", "own")).getField("own").alias("root")), "main")
+    main = stored(few(shares.groupBy("region").agg(F.max(F.struct("count", "own")).getField("own").alias("root")), TREES * n), "main")
     return rooted.join(main, "region").where("own <> root").select("node", "root").distinct()
 
 
-def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
-    """``comp`` with the components that ``more`` links joined: a graph of components, not of sets."""
+def _joined(comp: DataFrame, more: DataFrame, links: int) -> DataFrame:
+    """``comp`` with the components that ``more``, of so many links, links joined: a graph of components, not of sets."""
     own = lambda side: comp.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     ends = more.join(own("a"), "a", "left").join(own("b"), "b", "left")
     graph = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
-    top = components(stored(graph, "graph")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    top = components(graph, links).select(F.col("node").alias("root"), F.col("root").alias("top"))
     fresh = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("root"))
     return comp.union(fresh).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
@@ -324,40 +324,41 @@ def classes(docs: DataFrame) -> DataFrame:
     sketches = stored(per_batch(rows, _sketch_kernel, "doc_id bigint, mark bigint, n bigint, node binary, paths binary"), "sketches")
     some = sketches.where("n > 0")
     whose = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")).alias("whose"), F.first("n").alias("n"), F.first("paths").alias("paths"))
-    distinct = stored(whose.select("node", "n", "paths", "whose.doc_id", "whose.mark"), "distinct")
+    n = sketches.count()
+    distinct = stored(few(whose.select("node", "n", "paths", "whose.doc_id", "whose.mark"), n), "distinct")
     pairs, dense = forest(distinct)
     pairs = stored(pairs, "candidates")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", F.col("doc_id").alias("i"), F.col("mark").alias("m")), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node")
+    wanted = stored(few(wanted.select("node", F.col("doc_id").alias("i"), F.col("mark").alias("m")), n), "wanted")
     held = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.i) & (rows.mark == wanted.m), "left_semi").select("text")
     sets = stored(per_batch(held, _set_kernel, "node binary, shingles array<bigint>").dropDuplicates(["node"]), "sets")
 
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "closeness"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("closeness"), "b"))
     closest = both.withColumn("nth", nth).where(F.col("nth") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = stored(components(stored(_linked(closest, sets), "links")), "components")
+    comp = components(_linked(closest, sets), FIRST * n)
     regions = stored(_regions(dense), "regions")
-    crowded, asked, last = not regions.isEmpty(), pairs.select("a", "b"), False
+    crowded, asked, among = not regions.isEmpty(), pairs.select("a", "b"), False
     while True:
         if crowded:
-            outside = stored(_outside(regions, comp, stored(_large(comp), "large")), "outside")
-            if last:
+            large = stored(few(_large(comp), n), "large")
+            outside = stored(few(_outside(regions, comp, large, n), TREES * n), "outside")
+            members = comp.join(large, "root").join(sets, "node").select("root", "members", "node", "shingles")
+            asked = asked.union(_to_centres(outside, members)).union(_to_members(outside, members, sets))
+            if among:
                 asked = asked.union(_among(outside, distinct))
-            else:
-                members = comp.join(_large(comp), "root").join(sets, "node").select("root", "members", "node", "shingles")
-                asked = asked.union(_to_centres(outside, members)).union(_to_members(outside, members, sets))
         # each link joins two components, so the rounds end
         more = stored(_linked(stored(_apart(asked.distinct(), comp), "asked"), sets), "links")
-        if not more.isEmpty():
-            comp, last = stored(_joined(comp, more), "components"), False
-        elif last or not crowded:
+        grown = more.count()
+        if grown:
+            comp = stored(few(_joined(comp, more, grown), n), "components")
+        if not crowded or (among and not grown):
             break
-        else:
-            last = True
-        asked = pairs.select("a", "b").limit(0)
+        asked, among = pairs.select("a", "b").limit(0), True
     root = F.coalesce("root", "node")
     rooted = distinct.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", root.alias("root"))
-    least = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    ids = stored(rooted.join(least, "root").select("node", "component_id"), "ids")
+    least = stored(few(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), n), "least")
+    ids = stored(few(rooted.join(least, "root").select("node", "component_id"), n), "ids")
     known = sketches.select("doc_id", F.col("n").alias("n_shingles"), "node")
     # a set may have a third of all rows: the large side is split, and rows without shingles stay out of the join
     linked = known.where("n_shingles > 0").join(ids, "node").select("doc_id", "n_shingles", "component_id")
