@@ -212,7 +212,8 @@ def forest(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = rows.withColumn("mix", F.hash("tree", "node")).repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_neighbours, _FOUND), "forest")
     edges = found.where("kind = 'edge'").select("side", "tree", "path", "n", F.col("a").alias("node"), F.hash("tree", "a").alias("mix")).distinct()
-    seams = stored(edges.repartition("side").sortWithinPartitions("side", *order).mapInArrow(_seams, _FOUND), "seams")
+    ranges = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seams = stored(few(edges.repartition("side"), 2 * NEIGHBOURS * ranges).sortWithinPartitions("side", *order).mapInArrow(_seams, _FOUND), "seams")
     both = found.union(seams)
     pairs = both.where("kind = 'pair' and a <> b").groupBy("a", "b").agg(F.sum("depth").alias("closeness"))
     dense = both.where("kind = 'dense'").groupBy(F.col("a").alias("node"), "tree", "path").agg(F.max("depth").alias("depth"))
@@ -271,9 +272,8 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _to_centres(outside: DataFrame, members: DataFrame) -> DataFrame:
+def _to_centres(outside: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
     """(a, b): sets beside the centre of their region's component: the member nearest to the shingles that most members have."""
-    counts = members.select("root", "members", F.explode("shingles").alias("s")).groupBy("root", "members", "s").count()
     common = stored(counts.where("2 * count > members").groupBy("root").agg(F.collect_list("s").alias("common")), "common")
     met = members.join(common, "root")
     both = F.size(F.array_intersect("shingles", "common"))
@@ -282,7 +282,7 @@ def _to_centres(outside: DataFrame, members: DataFrame) -> DataFrame:
     return outside.join(centres, "root").select(*_pair("node", "centre"))
 
 
-def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
     """(a, b): sets beside all members of their region's component to which they may be linked.
 
     A set linked to a member has with it one of the shingles that remain when as many as the
@@ -290,20 +290,20 @@ def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame) -> Data
     shingles in the whole component than a link allows, and have no candidates; a set that
     needs a shingle which many members have is laid beside all of them, once each.
     """
-    postings = members.select("root", F.col("node").alias("member"), F.explode("shingles").alias("s"))
-    counts = members.select("root", "members", F.explode("shingles").alias("s")).groupBy("root", "members", "s").agg(F.count("*").alias("count"))
+    postings = members.select("root", F.col("node").alias("member"), F.size("shingles").alias("other"), F.explode("shingles").alias("s"))
     size = F.size("shingles")
     lacking = (size - F.floor((LEAST_PERCENT * size + 99) / 100)).cast("int")
-    spread = outside.join(sets, "node").select("node", "root", lacking.alias("lacking"), F.explode("shingles").alias("s"))
+    spread = outside.join(sets, "node").select("node", "root", size.alias("size"), lacking.alias("lacking"), F.explode("shingles").alias("s"))
     rarest = F.row_number().over(Window.partitionBy("node", "root").orderBy("count", "s"))
     held = spread.join(counts, ["root", "s"], "left").fillna(0, ["count"]).withColumn("nth", rarest).where("nth <= lacking + 1 and count > 0")
-    held = stored(held.select("node", "root", "s", (COMMON * F.col("count") > F.col("members")).alias("often")), "held")
-    common = held.where("often").select("node", "root").distinct()
+    held = stored(held.select("node", "root", "size", "s", (COMMON * F.col("count") > F.col("members")).alias("often")), "held")
+    common = held.where("often").select("node", "root", "size").distinct()
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    everyone = members.select("root", F.col("node").alias("member"), F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
-    beside_all = common.select("node", "root", salt).join(everyone, ["root", "salt"])
-    beside_some = held.join(common, ["node", "root"], "left_anti").select("node", "root", "s").join(postings, ["root", "s"])
-    return beside_all.select(*_pair("node", "member")).union(beside_some.select(*_pair("node", "member"))).distinct()
+    everyone = members.select("root", F.col("node").alias("member"), F.size("shingles").alias("other"), F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
+    alike = 100 * F.least("size", "other") >= LEAST_PERCENT * F.greatest("size", "other")  # sizes further apart rule a link out
+    beside_all = common.select("node", "root", "size", salt).join(everyone, ["root", "salt"]).where(alike)
+    beside_some = held.join(common, ["node", "root"], "left_anti").select("node", "root", "size", "s").join(postings, ["root", "s"]).where(alike)
+    return beside_all.select(*_pair("node", "member")).union(beside_some.select(*_pair("node", "member")))
 
 
 def _among(outside: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -344,7 +344,8 @@ def classes(docs: DataFrame) -> DataFrame:
             large = stored(few(_large(comp), n), "large")
             outside = stored(few(_outside(regions, comp, large, n), TREES * n), "outside")
             members = comp.join(large, "root").join(sets, "node").select("root", "members", "node", "shingles")
-            asked = asked.union(_to_centres(outside, members)).union(_to_members(outside, members, sets))
+            counts = stored(members.select("root", "members", F.explode("shingles").alias("s")).groupBy("root", "members", "s").agg(F.count("*").alias("count")), "counts")
+            asked = asked.union(_to_centres(outside, members, counts)).union(_to_members(outside, members, sets, counts))
             if among:
                 asked = asked.union(_among(outside, distinct))
         # each link joins two components, so the rounds end
