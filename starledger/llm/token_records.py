@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clash_free, cuts, discard, per_batch, scratch, stored_at, texts
+from .common import clash_free, cuts, discard, per_batch, scratch, starts_of, stored_at, texts
 
 #: Mask of the checksums, end id of the contract.
 MASK_DELTA = 0xA282EAD8
@@ -48,6 +48,8 @@ MEMORY = 250_000
 LATIN = [c for c in range(0x41, 0x180) if chr(c).isalpha() and c != 0x130]
 LATIN_WORD = re.compile("[" + "".join(map(chr, LATIN)) + "]+")
 MARKS = b".,;:!?*%$&#|)"
+#: Bytes of records that ``read_records`` holds at once in a task, about.
+READ_BYTES = 1 << 22
 #: Shards whose first ids a broadcast may hold; beyond, they are joined by a shuffle.
 BROADCAST_SHARDS = 100_000
 INDEX_SCHEMA = "doc_id bigint, shard string, offset bigint, length bigint, n_tokens bigint, part int, place bigint"
@@ -236,16 +238,27 @@ def open_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, most: int = READ_BYTES) -> DataFrame:
     """The documents of ``index`` read back from the shards, each by its offset.
 
-    doc_id, start, n_tokens, ids (array of ints). Rows may come in any order and any choice.
+    doc_id, start, n_tokens, ids (array of ints). Rows may come in any order and any choice. A
+    task holds records of about ``most`` bytes at once; a longer one is held alone.
     """
-    return _read(index, folder, "ids array<int>", lambda ids: pa.array(ids.astype(np.int64).tolist(), pa.int32()))
+    kernel = _reader(folder, "ids", lambda ids: ids.astype(np.int32), lambda out: pa.ListArray.from_arrays(pa.array(starts_of([len(x) for x in out]).astype(np.int32)), pa.array(np.concatenate(out))))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cuts(batches):
+            lengths = b.column("length").to_numpy(zero_copy_only=False)
+            group = (np.cumsum(lengths) - lengths) // most
+            for rows in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(group)) + 1):
+                if len(rows):
+                    yield kernel(b.slice(rows[0], len(rows)))
 
-def _read(index: DataFrame, folder: str, more: str, digest) -> DataFrame:
-    kind = pa.list_(pa.int32()) if "array" in more else pa.int64()
+    return index.select("doc_id", "shard", "offset", "length", "start", "width").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
+
+
+def _reader(folder: str, name_of: str, digest, gather):
+    """A kernel that reads the records of a batch of the index in file order; ``digest`` of each goes into the column of that name."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         fs, base = _place(folder)
@@ -263,15 +276,15 @@ def _read(index: DataFrame, folder: str, more: str, digest) -> DataFrame:
             counts[i], out[i] = len(ids), digest(ids)
         if f is not None:
             f.close()
-        got = pa.array([x.tolist() for x in out], kind) if "array" in more else pa.array(out, kind)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(counts, pa.int64()), got], names=["doc_id", "start", "n_tokens", more.split()[0]])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(counts, pa.int64()), gather(out)], names=["doc_id", "start", "n_tokens", name_of])
 
-    return per_batch(index.select("doc_id", "shard", "offset", "start", "width"), kernel, f"doc_id bigint, start bigint, n_tokens bigint, {more}")
+    return kernel
 
 
 def digests(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, from the shards."""
-    return _read(index, folder, "ids_crc32 bigint", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    kernel = _reader(folder, "ids_crc32", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), lambda out: pa.array(out, pa.int64()))
+    return per_batch(index.select("doc_id", "shard", "offset", "start", "width"), kernel, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def written(docs: DataFrame, spark: SparkSession, vocabulary: str | None = None) -> DataFrame:

@@ -197,6 +197,8 @@ def test_records_round_trip(spark, tmp_path):
     t = Tokenizer.from_file(token_records.vocabulary_path())
     start = 0
     got = {r.doc_id: r for r in token_records.read_records(index, folder).collect()}
+    by_few_bytes = {r.doc_id: r for r in token_records.read_records(index, folder, most=3000).collect()}
+    assert by_few_bytes == got and token_records.read_records(index.limit(0), folder).isEmpty()
     digest = {r.doc_id: r for r in token_records.digests(index, folder).collect()}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]
