@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position, clash_free, discard, per_batch, stored, stored_at, texts
+from .common import bounded, by_position, clash_free, discard, per_batch, stored, stored_at, texts
 
 #: Fixed by the contract: words to a shingle, hash seed, linked distance.
 SHINGLE_WORDS, HASH_SEED, MAX_DISTANCE = 3, 42, 2
@@ -95,7 +95,8 @@ def _found(a: DataFrame, b: DataFrame) -> DataFrame:
     differ = F.col("a").bitwiseXOR(F.col("b"))
     low = differ.bitwiseAND(F.lit(MASK))
     first = F.when(F.bit_count(low) <= 1, _low_bit(low)).otherwise(F.lit(HALF))
-    met = a.withColumnRenamed("fp", "a").join(b.withColumnRenamed("fp", "b"), "key")
+    # entries are many times the fingerprints by whose size Spark would broadcast them
+    met = a.withColumnRenamed("fp", "a").join(b.withColumnRenamed("fp", "b").hint("merge"), "key")
     return met.where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= MAX_DISTANCE) & (F.col("key").bitwiseAND(F.lit(63)) == first)).select("a", "b")
 
 
@@ -121,7 +122,8 @@ def _stars(members: DataFrame) -> DataFrame:
     key = ["slot", "v", "w", "blanks"]
     entries = by_one.union(by_low).union(by_high)
     least = stored(entries.groupBy(*key).agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-    return entries.join(least, key).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
+    # entries are hundreds of times the members by whose size Spark would broadcast them
+    return entries.join(least.hint("merge"), key).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -137,6 +139,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     keyed = lambda df: df.select("fp", F.shiftleft("v", 6).bitwiseOR(F.col("slot").cast("bigint")).alias("key"))
     if hot.isEmpty():
         return _found(keyed(index), keyed(index))
+    hot = bounded(hot)
     sparse = keyed(index.join(hot, ["slot", "v"], "left_anti"))
     return _found(sparse, sparse).union(_stars(stored(index.join(hot, ["slot", "v"], "left_semi"), "members"))).distinct()
 
@@ -155,10 +158,10 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, least_at = stored_at(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # large star: larger neighbours of u hang on the least node near u
-        large, large_at = stored_at(both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
+        large, large_at = stored_at(both.where("v > u").join(bounded(least), "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
         # small star: u and its smaller neighbours hang on the least of them
         small_least, small_at = stored_at(large.groupBy("v").agg(F.min("u").alias("m")), "small-least")
-        small = large.join(small_least, "v")
+        small = large.join(bounded(small_least), "v")
         hung = small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u <> v").distinct()
         edges, next_at = stored_at(hung, "small")
         for path in (at, least_at, large_at, small_at):
@@ -176,7 +179,7 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fps = stored(fingerprints(docs), "fingerprints")
     distinct = stored(fps.select("fp").distinct(), "distinct")
     comp = components(links(distinct))
-    return fps, stored(distinct.join(comp, distinct.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    return fps, stored(distinct.join(comp.hint("merge"), distinct.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -191,10 +194,10 @@ def classes(docs: DataFrame) -> DataFrame:
     fps, rooted = _rooted(docs)
     # least ids by fingerprint first: map-side combined, so copies never meet in one task
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    ids = stored(least.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    of_fp = stored(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    ids = stored(least.join(rooted.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    of_fp = stored(rooted.join(bounded(ids), "root").select("fp", "component_id"), "components")
     # a fingerprint may hold a third of all rows: the large side is split, never the pairs
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(bounded(of_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -213,7 +216,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # copies are counted by id and text, then combined on the map side: they never meet in one task
     rows = fps.groupBy("fp", "doc_id", "mark").agg((F.count("*") > 1).alias("repeated"))
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark", "repeated")).alias("first"))
-    chosen = least.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = least.join(rooted.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = stored(chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"), "first.repeated"), "kept")
     flat, names = by_position(docs), docs.columns
     doc, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
@@ -223,5 +226,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     once = rows.join(kept.where("not repeated").hint("merge"), of, "left_semi")
     again = kept.where("repeated")
     if not again.isEmpty():
-        once = once.union(rows.join(again, of, "left_semi").dropDuplicates([f"c{names.index('doc_id')}", "mark"]))
+        once = once.union(rows.join(again.hint("merge"), of, "left_semi").dropDuplicates([f"c{names.index('doc_id')}", "mark"]))
     return once.drop("mark").toDF(*names)
