@@ -25,13 +25,16 @@ def best_match(requests: DataFrame, library: DataFrame, equal: list[str], temp_r
     the newest wins; without one the rest compete, with the highest temperature first.
     ``requests``: id, the equal keys, gain, exposure, temp; ``library``: the same and create_date.
     """
-    lib = library.select(*equal, *[F.col(c).alias(f"cal_{c}") for c in ("id", "gain", "exposure", "temp", "create_date")])
+    # of calibrations that agree in all that is compared only the newest can win: what is left grows with the settings, not with the library
+    age = (-F.unix_micros(F.col("create_date").cast("timestamp"))).alias("age")
+    newest = library.groupBy(*equal, "gain", "exposure", "temp").agg(F.min(F.struct(age, "id")).alias("first"))
+    lib = newest.select(*equal, *[F.col(c).alias(f"cal_{c}") for c in ("gain", "exposure", "temp")], F.col("first.age").alias("cal_age"), F.col("first.id").alias("cal_id"))
     # frames share their settings, so each setting is looked up once
     setting = [*equal, "gain", "exposure", "temp"]
     met = requests.select(*setting).distinct().join(lib, equal).where((F.col("cal_gain") >= F.col("gain")) & (F.col("cal_exposure") >= F.col("exposure")))
     near = (F.col("cal_temp") >= F.col("temp")) & (F.col("cal_temp") <= F.col("temp") + temp_range)
     rank = F.struct(
-        F.when(near, 0).otherwise(1).alias("tier"), F.col("cal_gain"), F.col("cal_exposure"), F.when(near, F.col("cal_temp")).otherwise(-F.col("cal_temp")).alias("t"), (-F.unix_micros(F.col("cal_create_date").cast("timestamp"))).alias("age"), F.col("cal_id")
+        F.when(near, 0).otherwise(1).alias("tier"), F.col("cal_gain"), F.col("cal_exposure"), F.when(near, F.col("cal_temp")).otherwise(-F.col("cal_temp")).alias("t"), F.col("cal_age").alias("age"), F.col("cal_id")
     )
     # a minimum combines on the map side; a ranking window would sort all candidates
     best = met.groupBy(*setting).agg(F.min(rank).alias("best"))
