@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from starledger.operators.ordering import Exposure
 from starledger.sources import tables
 from starledger.sources.sinks import shared_dir
 
+#: Rows of a camera for which the controller has Python objects at once.
+STEP_ROWS = 1 << 16
+
 
 def frames(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The frame table, a file or a folder of files, as a stream; event time becomes a timestamp with zone, as watermarks ask for."""
@@ -110,20 +114,25 @@ def _by_camera(stream: DataFrame, step, output: str, state: str) -> DataFrame:
 def exposures(stream: DataFrame) -> DataFrame:
     """The controller over a stream; its state is six values, a flag, a level and an exposure.
 
-    Rows of a micro-batch are ordered by time; the batches come in order.
+    Rows of a micro-batch are ordered by time; the batches come in order. Of a camera's rows in
+    a batch three numbers each are held, and Python's objects of ``STEP_ROWS`` only.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["create_date", "id"])
+        ids, times, values = (np.concatenate(x) for x in zip(*[(b["id"].to_numpy(), b["t"].to_numpy(), b["adu"].to_numpy()) for b in batches], strict=True))
+        order = np.lexsort((ids, times))
+        del times
         machine = Exposure()
         if state.exists:
             history, machine.found, machine.level, machine.exposure = state.get
             machine.history = list(history)
-        out = [(r.id, key[0], *machine.step(r.adu)) for r in rows.itertuples()]
+        for lo in range(0, len(order), STEP_ROWS):
+            at = order[lo : lo + STEP_ROWS]
+            found, exposure = zip(*map(machine.step, values[at].tolist()), strict=True)
+            yield pd.DataFrame({"id": ids[at], "camera_id": key[0], "found": found, "exposure": exposure})
         state.update((machine.history, machine.found, machine.level, machine.exposure))
-        yield pd.DataFrame(out, columns=["id", "camera_id", "found", "exposure"])
 
-    return _by_camera(stream.select("id", "camera_id", "create_date", "adu"), step, "id bigint, camera_id int, found boolean, exposure double", "history array<double>, found boolean, level double, exposure double")
+    return _by_camera(stream.select("id", "camera_id", F.unix_micros("create_date").alias("t"), "adu"), step, "id bigint, camera_id int, found boolean, exposure double", "history array<double>, found boolean, level double, exposure double")
 
 
 def notifications(stream: DataFrame, seconds: int) -> DataFrame:
