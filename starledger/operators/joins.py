@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,3 +162,59 @@ def greedy_pairs(pairs: DataFrame, by: tuple[str, ...] = (), rounds: int = 8, mo
             left = stored(left.join(sizes.where(F.col("count") > most).select(*key), key, "left_semi"), "pairs")
             if left.isEmpty():
                 return taken.select(*columns)
+
+
+def _by_places(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The greedy choice of one group from its places and the pairs of places.
+
+    Points of a place are alike but for their ids, so at each distance a place gives its least
+    ids first: the next point of all left places takes the least point of its right ones.
+    """
+    ids = {side: {(x, y): i.tolist() for x, y, i in zip(r["lx"], r["ly"], r["ids"], strict=True)} for side in "lr" for r in [rows[rows["kind"] == side]]}
+    nth = {side: dict.fromkeys(ids[side], 0) for side in "lr"}
+    met, out = rows[rows["kind"] == "pair"], []
+    for distance, level in met.groupby("distance", sort=True):
+        beside: dict = {}
+        for a, b in zip(zip(level["lx"], level["ly"], strict=True), zip(level["rx"], level["ry"], strict=True), strict=True):
+            beside.setdefault(a, []).append(b)
+        heap = [(ids["l"][a][nth["l"][a]], a) for a in beside if nth["l"][a] < len(ids["l"][a])]
+        heapq.heapify(heap)
+        while heap:
+            lid, a = heapq.heappop(heap)
+            rights = [(ids["r"][b][nth["r"][b]], b) for b in beside[a] if nth["r"][b] < len(ids["r"][b])]
+            if not rights:
+                continue
+            rid, b = min(rights)
+            out.append((lid, rid, distance))
+            nth["r"][b] += 1
+            nth["l"][a] += 1
+            if nth["l"][a] < len(ids["l"][a]):
+                heapq.heappush(heap, (ids["l"][a][nth["l"][a]], a))
+    found = pd.DataFrame(out, columns=["lid", "rid", "distance"])
+    return found.assign(**{c: rows[c].iloc[0] for c in by})[[*by, "lid", "rid", "distance"]]
+
+
+def greedy_match(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...], most: int = 500_000) -> DataFrame:
+    """``greedy_pairs`` of the points within ``radius``, by places: points at one place are never paired one by one.
+
+    ``left``: lid, lx, ly; ``right``: rid, rx, ry; both the columns ``by``. Groups with more than
+    ``most`` points and pairs of places go through ``greedy_pairs``.
+    """
+    from starledger.sources.sinks import stored
+
+    key = list(by)
+    place = lambda df, p: df.groupBy(*key, f"{p}x", f"{p}y").agg(F.array_sort(F.collect_list(f"{p}id")).alias("ids"))
+    lefts, rights = stored(place(left, "l"), "places"), stored(place(right, "r"), "places")
+    heads = lambda df, p: df.select(*key, F.struct(f"{p}x", f"{p}y").alias(f"{p}id"), f"{p}x", f"{p}y")
+    met = nearest_in_cells(heads(lefts, "l"), heads(rights, "r"), radius, by)
+    pairs = met.select(*key, F.lit("pair").alias("kind"), "lid.lx", "lid.ly", "rid.rx", "rid.ry", "distance")
+    points = [df.select(*key, F.lit(p).alias("kind"), F.col(f"{p}x").alias("lx"), F.col(f"{p}y").alias("ly"), F.col(f"{p}x").alias("rx"), F.col(f"{p}y").alias("ry"), "ids") for df, p in ((lefts, "l"), (rights, "r"))]
+    rows = stored(points[0].unionByName(points[1]).unionByName(pairs, allowMissingColumns=True), "met")
+    size = rows.groupBy(*key).agg(F.sum(F.when(F.col("kind") == "pair", F.lit(1)).otherwise(F.size("ids"))).alias("size"))
+    size = size.where(F.col("size") > most).select(*key)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*key, "lid").schema) + f", rid {right.schema['rid'].dataType.simpleString()}, distance double"
+    settled = rows.join(size, key, "left_anti").groupBy(*key).applyInPandas(lambda g: _by_places(g, key), types)
+    if size.isEmpty():
+        return settled
+    crowded = lambda df: df.join(size, key, "left_semi")
+    return settled.unionByName(greedy_pairs(nearest_in_cells(crowded(left), crowded(right), radius, by), by))

@@ -160,11 +160,16 @@ def smoke_polygons(t):
 _SKY = ("camera_id", "day_date")
 
 
-def _sky_pairs(t, radius):
-    """Even against odd frames, which stand for stars and detections, within a camera's day."""
+def _sky_sides(t):
+    """Even and odd frames, which stand for stars and detections."""
     points = t.frames.select(*_SKY, "id", ((F.col("id") * 37) % 1000).alias("x"), ((F.col("id") * 91) % 1000).alias("y"))
     side = lambda k, p: points.where(F.col("id") % 2 == k).select(*_SKY, F.col("id").alias(f"{p}id"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
-    return op.nearest_in_cells(side(0, "l"), side(1, "r"), radius, _SKY)
+    return side(0, "l"), side(1, "r")
+
+
+def _sky_pairs(t, radius):
+    """Stars against detections within a camera's day."""
+    return op.nearest_in_cells(*_sky_sides(t), radius, _SKY)
 
 
 _CANDIDATES = """with s as (select id, camera_id, day_date, (id * 37) % 1000 as x, (id * 91) % 1000 as y from frames)
@@ -183,7 +188,7 @@ query(_CANDIDATES, name="star_match_candidates_all")(star_match_candidates)
 @query()
 def star_match(t):
     """Each star's own detection in its camera's day, the closest pairs first; tests hold it against one ordered pass."""
-    return op.greedy_pairs(_sky_pairs(t, 40.0), by=_SKY).select("lid", "rid", "distance")
+    return op.greedy_match(*_sky_sides(t), 40.0, _SKY).select("lid", "rid", "distance")
 
 
 @query("select distinct n.name, c.id from (select 'Supplier#000000004' as name union all select 'cam-4' union all select 'SUPPLIER#000000006' union all select 'none') n join cameras c on n.name in (c.name, c.name_alt1, c.name_alt2)")
