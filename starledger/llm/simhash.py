@@ -179,7 +179,7 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fps = stored(fingerprints(docs), "fingerprints")
     distinct = stored(fps.select("fp").distinct(), "distinct")
     comp = components(links(distinct))
-    return fps, stored(distinct.join(comp.hint("merge"), distinct.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    return fps, stored(bounded(distinct).join(comp, distinct.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def classes(docs: DataFrame) -> DataFrame:
     fps, rooted = _rooted(docs)
     # least ids by fingerprint first: map-side combined, so copies never meet in one task
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    ids = stored(least.join(rooted.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    ids = stored(least.join(bounded(rooted), "fp").groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     of_fp = stored(rooted.join(bounded(ids), "root").select("fp", "component_id"), "components")
     # a fingerprint may hold a third of all rows: the large side is split, never the pairs
     return fps.join(bounded(of_fp), "fp").select("doc_id", "fp", "component_id")
@@ -216,7 +216,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # copies are counted by id and text, then combined on the map side: they never meet in one task
     rows = fps.groupBy("fp", "doc_id", "mark").agg((F.count("*") > 1).alias("repeated"))
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark", "repeated")).alias("first"))
-    chosen = least.join(rooted.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = least.join(bounded(rooted), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = stored(chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"), "first.repeated"), "kept")
     flat, names = by_position(docs), docs.columns
     doc, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
