@@ -15,8 +15,9 @@ change nothing and are not looked up. Later links join components, not sets.
 A region with more sets than neighbours, such as a thousand edits of one text, may hold sets
 that are linked to one of them only, commonly the text itself. So every set of a dense region
 that is not in the component which holds most of the region is confirmed against the centre of
-that component, then against all its members that a link allows by the shingles they share,
-then against its neighbours in a forest without that component. That goes on while components
+that component, then against all its members that a link allows by the shingles they share
+and by those in which they differ from the centre, then against its neighbours in a forest
+without that component. That goes on while components
 grow.
 
 Exact copies are one set throughout. Sets are compared as hashes of 64 bits of all their
@@ -42,8 +43,10 @@ SHINGLE_WORDS, LEAST_PERCENT = 3, 85
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 16, 10, 3, 12
 #: Neighbours on each side that a set meets on account of a prefix that more than ``NEIGHBOURS`` sets share.
 DENSE_NEIGHBOURS = 2
-#: A shingle is common in a component if this many times its members have it, or more; parts in which a component meets those outside.
-COMMON, SALTS = 8, 16
+#: Sets are linked if WHOLE times the shingles that one of them lacks are at most LOSS times the sum of their sizes.
+WHOLE, LOSS = 100 + LEAST_PERCENT, 100 - LEAST_PERCENT
+#: A shingle is common in a component if more than one in so many of its members have it.
+COMMON = 8
 #: Bytes of one MinHash value in a path; values are compared as bytes.
 VALUE_BYTES = 3
 #: Closest candidates of each set that are confirmed first.
@@ -272,23 +275,28 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _to_centres(outside: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b): sets beside the centre of their region's component: the member nearest to the shingles that most members have."""
+def _centres(members: DataFrame, counts: DataFrame) -> DataFrame:
+    """(root, centre, middle): of every component the member nearest to the shingles that most members have, and its shingles."""
     common = stored(counts.where("2 * count > members").groupBy("root").agg(F.collect_list("s").alias("common")), "common")
-    met = members.join(common, "root")
+    met = members.join(common, "root", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     both = F.size(F.array_intersect("shingles", "common"))
     near = both / (F.size("shingles") + F.size("common") - both)
-    centres = met.groupBy("root").agg(F.max(F.struct(near.alias("near"), "node")).getField("node").alias("centre"))
-    return outside.join(centres, "root").select(*_pair("node", "centre"))
+    nearest = met.groupBy("root").agg(F.max(F.struct(near.alias("near"), "node", "shingles")).alias("nearest"))
+    return nearest.select("root", F.col("nearest.node").alias("centre"), F.col("nearest.shingles").alias("middle"))
 
 
-def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b): sets beside all members of their region's component to which they may be linked.
+def _to_centres(outside: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b): sets beside the centre of their region's component."""
+    return outside.join(centres.select("root", "centre"), "root").select(*_pair("node", "centre"))
+
+
+def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame, counts: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b): sets beside all members of their region's component to which they may be linked, but for links that the centre's makes needless.
 
     A set linked to a member has with it one of the shingles that remain when as many as the
     link lets it lack, the rarest of the component first, are set aside. Most sets lack more
-    shingles in the whole component than a link allows, and have no candidates; a set that
-    needs a shingle which many members have is laid beside all of them, once each.
+    shingles in the whole component than a link allows, and have no candidates. A set that needs
+    a shingle which many members have is compared by what sets it apart from the centre.
     """
     postings = members.select("root", F.col("node").alias("member"), F.size("shingles").alias("other"), F.explode("shingles").alias("s"))
     size = F.size("shingles")
@@ -297,13 +305,55 @@ def _to_members(outside: DataFrame, members: DataFrame, sets: DataFrame, counts:
     rarest = F.row_number().over(Window.partitionBy("node", "root").orderBy("count", "s"))
     held = spread.join(counts, ["root", "s"], "left").fillna(0, ["count"]).withColumn("nth", rarest).where("nth <= lacking + 1 and count > 0")
     held = stored(held.select("node", "root", "size", "s", (COMMON * F.col("count") > F.col("members")).alias("often")), "held")
-    common = held.where("often").select("node", "root", "size").distinct()
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    everyone = members.select("root", F.col("node").alias("member"), F.size("shingles").alias("other"), F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
+    common = held.where("often").select("node", "root").distinct()
     alike = 100 * F.least("size", "other") >= LEAST_PERCENT * F.greatest("size", "other")  # sizes further apart rule a link out
-    beside_all = common.select("node", "root", "size", salt).join(everyone, ["root", "salt"]).where(alike)
     beside_some = held.join(common, ["node", "root"], "left_anti").select("node", "root", "size", "s").join(postings, ["root", "s"]).where(alike)
-    return beside_all.select(*_pair("node", "member")).union(beside_some.select(*_pair("node", "member")))
+    return _by_differences(common, members, sets, counts, centres).union(beside_some.select(*_pair("node", "member")))
+
+
+def _apart_from(laid: DataFrame) -> DataFrame:
+    """``laid`` (root, node, shingles, middle) with ``size``, ``d`` shingles that only the set or only the centre has, and what the bounds of ``_by_differences`` are made of."""
+    size, middle, both = (F.size(x).cast("bigint") for x in ("shingles", "middle", F.array_intersect("shingles", "middle")))
+    found = laid.withColumn("size", size).withColumn("of_middle", middle).withColumn("d", size + middle - 2 * both)
+    differing, alike = WHOLE * F.col("d"), LOSS * F.col("size")
+    return found.withColumn("excess", differing - alike).withColumn("reach", differing + alike)
+
+
+def _rarest_differences(laid: DataFrame, counts: DataFrame, shared: Column) -> DataFrame:
+    """(root, node, size, excess, reach, s): of each set's differences from the centre those that remain when all but one of the ``shared`` ones, the most frequent, are set aside."""
+    fewest = F.greatest(F.lit(1), F.ceil(shared / (2 * WHOLE)))
+    kept = laid.withColumn("keep", F.col("d") - fewest + 1).where("keep > 0")
+    own = F.transform(F.array_except("shingles", "middle"), lambda s: F.struct(s.alias("s"), F.lit(False).alias("lacks")))
+    lacked = F.transform(F.array_except("middle", "shingles"), lambda s: F.struct(s.alias("s"), F.lit(True).alias("lacks")))
+    names = ["root", "node", "size", "excess", "reach"]
+    spread = kept.select(*names, "keep", F.explode(F.concat(own, lacked)).alias("e")).select(*names, "keep", "e.*")
+    count = F.coalesce("count", F.lit(0))
+    often = F.when(F.col("lacks"), F.col("members") - count).otherwise(count)  # members with this difference
+    nth = F.row_number().over(Window.partitionBy("root", "node").orderBy("often", "s"))
+    return spread.join(counts, ["root", "s"], "left").withColumn("often", often).withColumn("nth", nth).where("nth <= keep").select(*names, "s")
+
+
+def _by_differences(beside: DataFrame, members: DataFrame, sets: DataFrame, counts: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b): sets beside the members of a component to which they may be linked if they are not linked to its centre.
+
+    Let d be the number of shingles in which a set differs from the centre. Two sets that share o
+    of these differences differ in d + d' - 2 o shingles, and are linked if WHOLE times that is at
+    most LOSS times the sum of their sizes; that is, if 2 WHOLE o >= excess + excess', where
+    a set's excess is WHOLE d - LOSS size. A set not linked to the centre has an excess
+    above LOSS times the centre's size, so it must share more than about half of a member's
+    differences, and most of those are rare: edits of one text differ from it at different places.
+    As o is at most d or d', each one's excess is at most the other's reach, WHOLE d + LOSS size.
+    """
+    middles = centres.select("root", "middle")
+    laid = _apart_from(beside.join(sets, "node").join(middles, "root")).where(F.col("excess") > LOSS * F.col("of_middle"))
+    largest = F.floor(100 * F.col("size") / LEAST_PERCENT)
+    seeking = stored(_rarest_differences(laid, counts, 2 * F.col("excess") - 2 * LOSS * largest), "seeking")
+    crowd = _apart_from(members.select("root", "node", "shingles").join(middles, "root").join(seeking.select("root").distinct(), "root", "left_semi"))
+    there = _rarest_differences(crowd, counts, F.col("excess") + LOSS * F.col("of_middle") + 1)
+    there = stored(there.toDF("root", "member", "other", "other_excess", "other_reach", "s"), "there")
+    alike = 100 * F.least("size", "other") >= LEAST_PERCENT * F.greatest("size", "other")
+    met = seeking.join(there, ["root", "s"]).where(alike & (F.col("excess") <= F.col("other_reach")) & (F.col("other_excess") <= F.col("reach")))
+    return met.select(*_pair("node", "member")).distinct()
 
 
 def _among(outside: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -345,7 +395,8 @@ def classes(docs: DataFrame) -> DataFrame:
             outside = stored(few(_outside(regions, comp, large, n), TREES * n), "outside")
             members = comp.join(large, "root").join(sets, "node").select("root", "members", "node", "shingles")
             counts = stored(members.select("root", "members", F.explode("shingles").alias("s")).groupBy("root", "members", "s").agg(F.count("*").alias("count")), "counts")
-            asked = asked.union(_to_centres(outside, members, counts)).union(_to_members(outside, members, sets, counts))
+            centres = stored(few(_centres(members, counts), n), "centres")
+            asked = asked.union(_to_centres(outside, centres)).union(_to_members(outside, members, sets, counts, centres))
             if among:
                 asked = asked.union(_among(outside, distinct))
         # each link joins two components, so the rounds end

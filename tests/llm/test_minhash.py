@@ -135,3 +135,51 @@ def test_candidates_grow_with_the_sets(spark):
         distinct = minhash.per_batch(minhash._documents(df), minhash._sketch_kernel, "doc_id bigint, mark bigint, n bigint, node binary, paths binary").select("node", "n", "paths")
         sizes.append(minhash.forest(distinct)[0].count())
     assert sizes[1] <= 600 * minhash.TREES * minhash.NEIGHBOURS and sizes[1] < 8 * sizes[0]
+
+
+def test_pairs_asked_in_a_crowded_region(spark, monkeypatch):
+    """Twice the edits of one text that few and many words set apart: no pairs of those outside its component with all within."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [str(w) for w in rng.choice(words, 150)]
+    asked, linked = [], minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda pairs, sets: (asked.append(pairs.count()), linked(pairs, sets))[1])
+    totals = []
+    for k in (150, 300):
+        rows = [" ".join(base), *family(rng, base, k, words, 3), *family(rng, base, k, words, 7)]
+        edge = family(rng, base, 5, words, 4)
+        rows += [*edge, *(family(rng, e.split(), 1, words, 3)[0] for e in edge)]  # further from the text than a link allows, linked to one edit of it
+        docs = list(enumerate(rows))
+        asked.clear()
+        assert sorted(found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)))) == sorted(plain_components(docs))
+        totals.append(sum(asked))
+    assert totals[1] < 3 * totals[0] and totals[1] < 300 * 300 / 2
+
+
+def test_differences_by_brute_force(spark):
+    """Every link of a set that is not linked to the centre is among the pairs, whatever the sets' sizes and where they differ."""
+    rng = np.random.default_rng(9)
+    middle = frozenset(range(40))
+
+    def changed(s, out, more, pool):
+        return frozenset(s) - set(rng.choice(sorted(s), out, replace=False).tolist()) | set(rng.choice(pool, more).tolist())
+
+    def alike(a, b):
+        return 100 * len(a & b) >= 85 * len(a | b)
+
+    within = [middle, *(changed(middle, rng.integers(0, 6), rng.integers(0, 8), np.arange(40, 55)) for _ in range(150))]
+    beside = [changed(within[i], rng.integers(0, 5), rng.integers(0, 5), np.arange(40, 60)) for i in rng.integers(0, 150, 150)]
+    node = {s: i.to_bytes(4) for i, s in enumerate(dict.fromkeys([*within, *beside]))}
+    beside = [s for s in beside if s not in set(within)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sets = frame([(bytearray(i), sorted(s)) for s, i in node.items()], "node binary, shingles array<bigint>")
+    inside = list(dict.fromkeys(within))
+    members = frame([(bytearray(b"r"), len(inside), bytearray(node[s]), sorted(s)) for s in inside], "root binary, members bigint, node binary, shingles array<bigint>")
+    count = collections.Counter(x for s in inside for x in s)
+    counts = frame([(bytearray(b"r"), len(inside), x, c) for x, c in count.items()], "root binary, members bigint, s bigint, count bigint")
+    outside = frame([(bytearray(node[s]), bytearray(b"r")) for s in dict.fromkeys(beside)], "node binary, root binary")
+    centres = frame([(bytearray(b"r"), bytearray(node[middle]), sorted(middle))], "root binary, centre binary, middle array<bigint>")
+    got = {(bytes(r.a), bytes(r.b)) for r in minhash._by_differences(outside, members, sets, counts, centres).collect()}
+    want = {(min(node[s], node[m]), max(node[s], node[m])) for s in beside if not alike(s, middle) for m in inside if alike(s, m)}
+    assert len(want) > 50 and want <= got
+    assert len(got) < len(set(beside)) * len(inside) / 3
