@@ -5,12 +5,12 @@ first four, five, six and eight bytes, so that unseen forms of a known stem are
 over one, two and three words run along the text, each filter's largest response is kept, and
 a logistic layer over these gives the score. Embeddings start from the evidence of the training
 labels for each feature; stochastic gradient descent with per-weight step sizes trains them
-and all else on a bounded, balanced sample of labelled rows.
+and all else on all labelled rows: in tasks of a few thousand from one start, whose moves are averaged.
 
 A filter over k words is linear in each of them, so once trained a word's responses to all
 filters are one table row; a text's responses are sums of rows, whatever its length.
 
-The score is calibrated on what models of parts of the sample say of the other parts, for the
+The score is calibrated on what models of parts of the rows say of the other parts, for the
 classes' shares among all labelled rows. Thresholds by language are set likewise; they make the
 extra columns ``threshold`` and ``flagged`` and never enter a score.
 """
@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, clash_free, fold, per_batch, starts_of, texts, word_table
+from .common import chunks, clash_free, cuts, fold, per_batch, starts_of, stored, texts, word_table
 
-#: Parameters of the sample: labelled rows to a class, longest text in bytes. A label whose id
-#: stands for several documents brings all their texts, up to four times the rows in total.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 20_000
+#: Texts that a task trains on, about; most times that it goes over fewer.
+TASK_TEXTS, PASSES = 4096, 6
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 12, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6, 8)
 #: Slope of a filter's activation below zero; none dies.
@@ -36,8 +35,12 @@ LEAK = 0.05
 EPOCHS, BATCH, RATE, SEED = 3, 32, 0.05, 11
 #: Least and most steps of training.
 STEPS = 60, 200
-#: Parts of the sample that are told by a model of the other parts, for calibration.
-PARTS = 3
+#: Most words of a batch that has more than one text.
+BATCH_WORDS = 1 << 16
+#: What the squares of a weight's gradients start from; fractions in which moves and logits are counted.
+FIRST_STEP, UNIT, GRID = 1e-2, 1 << 30, 256
+#: Parts of the rows that are told by a model of the other parts, for calibration.
+PARTS = 2
 #: Where an embedding's evidence begins to count no more, and what one unit of it is worth.
 EVIDENCE_MOST, EVIDENCE_UNIT = 24.0, 8.0
 #: Least rows of a language for a threshold of its own; share of clean rows that it may flag.
@@ -49,6 +52,7 @@ PAD = max(WIDTHS) - 1
 #: Where the filters of each width and offset lie in a word's row of responses.
 COLUMNS = {(k, o): slice(FILTERS * i, FILTERS * (i + 1)) for i, (k, o) in enumerate((k, o) for k in WIDTHS for o in range(k))}
 ROW = FILTERS * sum(WIDTHS)
+MOVES = [f"m{d}" for d in range(DIM)]
 #: Words whose responses a Python worker remembers.
 MEMORY = 150_000
 
@@ -142,7 +146,12 @@ def evidence(docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray) -> np.nda
     n = np.zeros((2, BUCKETS))
     for words, label in zip(docs, y, strict=True):
         n[label, np.unique(feats[words])] += 1
-    total, share = n.sum(axis=0), max(float(y.mean()), 1e-9)
+    return evidence_of(n, float(y.mean()))
+
+
+def evidence_of(n: np.ndarray, share: float) -> np.ndarray:
+    """``evidence`` from the numbers of texts with label 0 and 1 that hold each bucket's features."""
+    total, share = n.sum(axis=0), max(share, 1e-9)
     with np.errstate(divide="ignore", invalid="ignore"):
         own = n[1] / total
         gain = n[1] * np.log(own / share) + np.where(n[0] > 0, n[0] * np.log((1 - own) / (1 - share)), 0.0)
@@ -151,6 +160,24 @@ def evidence(docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray) -> np.nda
     return np.clip(gain, 0.0, EVIDENCE_MOST) / EVIDENCE_UNIT
 
 
+def _start(gain: np.ndarray, rng: np.random.Generator | None = None) -> Model:
+    """A model before its first step."""
+    rng = rng or np.random.default_rng(SEED)
+    n_out = FILTERS * len(WIDTHS)
+    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, ROW)), np.zeros(n_out), rng.normal(0, 0.1, n_out))
+    model.emb[:, 0] = gain
+    model.filters[0, :] = 0
+    model.filters[:, 0], model.out[0] = np.eye(DIM)[0], 1.0
+    model.emb[0] = 0
+    return model
+
+
+def _no_steps() -> dict:
+    """Squares of the gradients so far, by weight."""
+    n_out = FILTERS * len(WIDTHS)
+    return {"emb": np.full(BUCKETS, FIRST_STEP), "filters": np.full((DIM, ROW), FIRST_STEP), "bias": np.full(n_out, FIRST_STEP), "out": np.full(n_out, FIRST_STEP), "out_bias": FIRST_STEP}
+
+
 def _trained(docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray) -> Model:
     """A model of the texts, not calibrated.
 
@@ -159,17 +186,12 @@ def _trained(docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray) -> Model:
     and all of it is trained.
     """
     rng = np.random.default_rng(SEED)
-    n_out = FILTERS * len(WIDTHS)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, ROW)), np.zeros(n_out), rng.normal(0, 0.1, n_out))
-    model.emb[:, 0] = evidence(docs, feats, y)
-    model.filters[0, :] = 0
-    model.filters[:, 0], model.out[0] = np.eye(DIM)[0], 1.0
-    model.emb[0] = 0
+    model = _start(evidence(docs, feats, y), rng)
     train = np.arange(len(docs))
     few, many = sorted((train[y == c] for c in (0, 1)), key=len)
     if len(few):  # the rarer class is met as often as the other
         train = np.concatenate((many, np.resize(few, len(many))))
-    state = {"emb": np.full(BUCKETS, 1e-2), "filters": np.full((DIM, ROW), 1e-2), "bias": np.full(n_out, 1e-2), "out": np.full(n_out, 1e-2), "out_bias": 1e-2}
+    state = _no_steps()
     left = min(STEPS[1], max(STEPS[0], EPOCHS * -(-len(train) // BATCH)))
     while left > 0 and len(train):
         rng.shuffle(train)
@@ -205,14 +227,7 @@ def fit(values: list[bytes], labels: list[int], langs: list[str | None], parts:
     model = _trained(docs, feats, y)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    a, b = 1.0, 0.0
-    for _ in range(300):  # logistic regression on the logit, weighted to the natural shares
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g, h = weight * (p - y), np.maximum(weight * p * (1 - p), 1e-6)
-        m = np.array([[(h * z * z).sum() + 1e-1, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
-        da, db = np.linalg.solve(m, [(g * z).sum() + 1e-1 * (a - 1), g.sum() + 1e-3 * b])
-        a, b = a - 0.5 * da, b - 0.5 * db
-    model.scale, model.shift = float(max(a, 1e-2)), float(b)
+    model.scale, model.shift = _calibrated(z, y, weight)
     scores = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -30, 30)))
     for lang in set(langs):
         clean = np.sort([s for s, x, c in zip(scores, langs, labels, strict=True) if x == lang and not c])
@@ -222,7 +237,19 @@ def fit(values: list[bytes], labels: list[int], langs: list[str | None], parts:
     return model
 
 
-def _step(model: Model, state: dict, docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray) -> None:
+def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the logits, by weighted logistic regression."""
+    a, b = 1.0, 0.0
+    for _ in range(300):  # logistic regression on the logit, weighted to the natural shares
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g, h = weight * (p - y), np.maximum(weight * p * (1 - p), 1e-6)
+        m = np.array([[(h * z * z).sum() + 1e-1, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
+        da, db = np.linalg.solve(m, [(g * z).sum() + 1e-1 * (a - 1), g.sum() + 1e-3 * b])
+        a, b = a - 0.5 * da, b - 0.5 * db
+    return float(max(a, 1e-2)), float(b)
+
+
+def _step(model: Model, state: dict, docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> None:
     """One minibatch of gradient descent; the gradient flows through each filter's best place only."""
     words = np.concatenate(docs)
     counts = np.array([len(d) for d in docs])
@@ -242,7 +269,7 @@ def _step(model: Model, state: dict, docs: list[np.ndarray], feats: np.ndarray,
     pre = np.concatenate(tops, axis=1) + model.bias
     act = leaky(pre)
     p = 1 / (1 + np.exp(-np.clip(act @ model.out + model.out_bias, -30, 30)))
-    d = (p - y) / len(y)
+    d = weight * (p - y) / len(y)
     d_act = np.outer(d, model.out) * np.where(pre > 0, 1.0, LEAK)
     d_filters, hit, grads = np.zeros_like(model.filters), [], []
     for i, k in enumerate(WIDTHS):
@@ -266,25 +293,151 @@ def _step(model: Model, state: dict, docs: list[np.ndarray], feats: np.ndarray,
     model.out_bias -= RATE * d.sum() / np.sqrt(state["out_bias"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``rows`` labelled rows of each class.
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, lang, part): every row with a text and a label (0 or 1) outside the held-out fold, in a stored table."""
+    rated = clash_free(labels, "doc_id", "toxic").where("toxic in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    known = clash_free(docs, "doc_id", "text", "lang").where(F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
+    met = known.join(rated.hint("merge"), "doc_id").select("text", F.col("toxic").cast("int"), "lang", F.pmod(key, F.lit(PARTS)).cast("int").alias("part"), key.alias("key"))
+    return stored(met.sortWithinPartitions("key", "text", "toxic").drop("key"), "labelled")
+
 
-    Rows of the held-out fold, without an id, a label (0 or 1) or a text, or with a text over
-    ``SAMPLE_BYTES`` are left out; of the others those with the least hash of the id are taken.
-    Without any, all scores are 0.
+def _read(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of each text, features of each word, labels, parts."""
+    vocabulary: dict[bytes, int] = {b"": 0}
+    docs = [np.array([*[vocabulary.setdefault(w, len(vocabulary)) for w in words_of(v)], *[0] * PAD]) for v in texts(batch.column(0))]
+    feats = features(list(vocabulary))
+    feats[0] = 0
+    return docs, feats, batch.column(1).to_numpy(), batch.column(3).to_numpy()
+
+
+def _holders(labelled: DataFrame) -> np.ndarray:
+    """Texts that hold each bucket's features, by part and label: summed over all rows."""
+
+    def kernel(batches):
+        n = np.zeros((PARTS, 2, BUCKETS), dtype=np.int64)
+        for b in cuts(batches):
+            docs, feats, y, part = _read(b)
+            for words, label, p in zip(docs, y, part, strict=True):
+                n[p, label, np.unique(feats[words])] += 1
+        at = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in at] + [pa.array(n[at])], names=["part", "toxic", "bucket", "n"])
+
+    found = labelled.mapInArrow(kernel, "part int, toxic int, bucket int, n bigint").groupBy("part", "toxic", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((PARTS, 2, BUCKETS), dtype=np.int64)
+    n[tuple(found.column(c).to_numpy() for c in ("part", "toxic", "bucket"))] = found.column("n").to_numpy()
+    return n
+
+
+def _moved(starts: list[Model], left_out: list[int], weights: np.ndarray, passes: int):
+    """A kernel: each task steps from each start over its rows but those of the part left out, and gives how far every weight came."""
+
+    def kernel(batches):
+        models = [dataclasses.replace(m, **{k: getattr(m, k).copy() for k in ("emb", "filters", "bias", "out")}) for m in starts]
+        states, rng = [_no_steps() for _ in starts], np.random.default_rng(SEED)
+        for b in cuts(batches):
+            docs, feats, y, part = _read(b)
+            for model, state, p in zip(models, states, left_out, strict=True):
+                train = np.flatnonzero(part != p)
+                for _ in range(passes):
+                    rng.shuffle(train)
+                    for batch in _batches(train, docs):
+                        _step(model, state, [docs[j] for j in batch], feats, y[batch], weights[y[batch]])
+        for i, (model, start, state) in enumerate(zip(models, starts, states, strict=True)):
+            at = np.flatnonzero(state["emb"] > FIRST_STEP)
+            moved = np.concatenate((model.emb[at] - start.emb[at], (_dense(model) - _dense(start)).reshape(-1, DIM)))
+            rows = np.concatenate((at, BUCKETS + np.arange(len(moved) - len(at))))
+            steps = np.rint(moved * UNIT).astype(np.int64)
+            columns = [pa.array(np.full(len(rows), i, dtype=np.int32)), pa.array(rows.astype(np.int32)), *(pa.array(steps[:, d].copy()) for d in range(DIM))]
+            yield pa.RecordBatch.from_arrays(columns, names=["model", "row", *MOVES])
+
+    return kernel
+
+
+def _batches(train: np.ndarray, docs: list[np.ndarray]):
+    """``train`` in batches of ``BATCH`` texts, fewer where these have more than ``BATCH_WORDS`` words."""
+    batch, size = [], 0
+    for j in train:
+        if batch and (len(batch) == BATCH or size + len(docs[j]) > BATCH_WORDS):
+            yield np.array(batch)
+            batch, size = [], 0
+        batch.append(j)
+        size += len(docs[j])
+    if batch:
+        yield np.array(batch)
+
+
+def _dense(model: Model) -> np.ndarray:
+    """All weights but the embeddings, in whole rows of ``DIM``."""
+    flat = np.concatenate((model.filters.ravel(), model.bias, model.out, [model.out_bias]))
+    return np.concatenate((flat, np.zeros(-len(flat) % DIM)))
+
+
+def _averaged(labelled: DataFrame, starts: list[Model], left_out: list[int], weights: np.ndarray, rows: int) -> list[Model]:
+    """The starts moved by the average of what the tasks say: of an embedding, of those tasks that met it.
+
+    Moves are whole numbers of 1 / ``UNIT``, so that their sums do not hang on an order.
     """
-    rated = clash_free(labels, "doc_id", "toxic").where("toxic in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    shares = {r.toxic: r["count"] for r in rated.groupBy("toxic").count().collect()}
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30))
-    parts = [rated.where(F.col("toxic") == c).withColumn("key", key).orderBy("key", "doc_id").limit(rows) for c in sorted(shares)]
-    if not parts:
-        return fit([], [], [], [])
-    chosen = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
-    texts_of = clash_free(docs, "doc_id", "text", "lang").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    sample = texts_of.join(F.broadcast(chosen), "doc_id").select("toxic", "lang", F.col("text").cast("binary").alias("text"), "key").orderBy("key", "text").limit(4 * rows)
-    got = [(bytes(r.text), r.toxic, r.lang, r.key) for r in sample.toLocalIterator()]
-    prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    return fit([x[0] for x in got], [x[1] for x in got], [x[2] for x in got], [x[3] for x in got], prior)
+    tasks = -(-rows // TASK_TEXTS)
+    passes = min(PASSES, max(1, TASK_TEXTS * tasks // rows))
+    kernel = _moved(starts, left_out, weights, passes)
+    told = labelled.coalesce(tasks).mapInArrow(kernel, "model int, row int, " + ", ".join(f"{d} bigint" for d in MOVES))
+    summed = stored(told.groupBy("model", "row").agg(F.count("*").alias("n"), *(F.sum(d).alias(d) for d in MOVES)), "moves")
+    out = []
+    for i, start in enumerate(starts):
+        found = summed.where(F.col("model") == i).toArrow()
+        move = np.zeros((BUCKETS + len(_dense(start)) // DIM, DIM))
+        move[found.column("row").to_numpy()] = np.stack([found.column(d).to_numpy() for d in MOVES], axis=1) / found.column("n").to_numpy()[:, None] / UNIT
+        dense = _dense(start) + move[BUCKETS:].ravel()
+        filters, bias, last, out_bias = np.split(dense[: DIM * ROW + 2 * len(start.bias) + 1], np.cumsum((DIM * ROW, len(start.bias), len(start.out))))
+        out.append(Model((start.emb + move[:BUCKETS]).astype(np.float32), filters.reshape(DIM, ROW), bias, last, float(out_bias[0])))
+    return out
+
+
+def _told(labelled: DataFrame, models: list[Model]) -> dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray]]:
+    """For each language and label: logits by the model without the row's part, in steps of 1 / ``GRID``, and how many of all rows have each."""
+    shared = labelled.sparkSession.sparkContext.broadcast(models)
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        values, part = texts(b.column(0)), b.column(3).to_numpy()
+        z = np.zeros(len(values))
+        for p in set(part.tolist()):
+            at = np.flatnonzero(part == p)
+            z[at] = shared.value[p].logits([values[i] for i in at])
+        return pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(np.rint(np.clip(z, -30, 30) * GRID).astype(np.int32))], names=["lang", "toxic", "z"])
+
+    rows = per_batch(labelled, kernel, "lang string, toxic int, z int").groupBy("lang", "toxic", "z").count().toArrow().to_pylist()
+    found: dict = {}
+    for r in sorted(rows, key=lambda r: r["z"]):
+        found.setdefault((r["lang"], r["toxic"]), []).append((r["z"] / GRID, r["count"]))
+    return {k: tuple(np.array(x, dtype=float) for x in zip(*v, strict=True)) for k, v in found.items()}
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled rows.
+
+    Rows of the held-out fold and those without an id, a label (0 or 1) or a text are left out;
+    all others count, with their whole texts, for the embeddings' evidence, the weights, the
+    calibration and the thresholds. Tasks step over their rows from one start and their moves are
+    averaged. Without both classes all scores are the one there is, and 0 without any.
+    """
+    labelled = _labelled(docs, labels)
+    count = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    if len(count) < 2:
+        return fit([b""] * len(count), list(count), [None] * len(count), [0] * len(count))
+    n = np.array([count[0], count[1]], dtype=float)
+    holders = _holders(labelled)
+    left_out = [*range(PARTS), -1]
+    starts = [_start(evidence_of(holders[[q for q in range(PARTS) if q != p]].sum(axis=0), n[1] / n.sum())) for p in left_out]
+    *others, model = _averaged(labelled, starts, left_out, n.sum() / (2 * n), int(n.sum()))
+    told = _told(labelled, others)
+    z, y, weight = (np.concatenate([x[k] for x in ((v[0], np.full(len(v[0]), c), v[1]) for (_, c), v in told.items())]) for k in range(3))
+    model.scale, model.shift = _calibrated(z, y, weight)
+    for (lang, c), (at, k) in told.items():
+        if lang is not None and c == 0 and k.sum() >= LEAST_ROWS:
+            least = at[np.searchsorted(np.cumsum(k), (1 - FALSE_SHARE) * k.sum())]
+            model.thresholds[lang] = float(min(0.9, max(0.1, 1 / (1 + np.exp(-np.clip(model.scale * least + model.shift, -30, 30))))))
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -151,6 +151,26 @@ def test_evidence_by_brute_force():
     assert abs(got[5] - want) < 1e-9 and got[6] == got[7] == got[0] == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Texts of any length, and rows of any task, count for what is learned; those of the held-out fold never do."""
+    rng = np.random.default_rng(4)
+    plain = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]
+    long = lambda i: " ".join([*rng.choice(plain, 4500), *(["blorgox"] if i % 2 else [])])
+    rows = [(i, long(i), "en") for i in range(1, 81)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id bigint, toxic int")
+    labelled = toxicity._labelled(docs, labels)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert sorted((r.text, r.toxic) for r in labelled.collect()) == sorted((t, i % 2) for i, t, _ in learned)
+    held = toxicity._holders(labelled).sum(axis=0)
+    for word in (b"alpha", b"blorgox"):
+        bucket = toxicity.features([word])[0][0]
+        assert [held[c, bucket] for c in (0, 1)] == [sum(word.decode() in t.split() and i % 2 == c for i, t, _ in learned) for c in (0, 1)]
+    model = toxicity.train(docs, labels)
+    s = model.scores([b"alpha beta", b"alpha blorgox beta"])
+    assert s[0] < 0.5 < s[1]
+
+
 # 3 line dedup
 
 
