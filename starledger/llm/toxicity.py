@@ -255,8 +255,11 @@ def _step(model: Model, state: dict, docs: list[np.ndarray], feats: np.ndarray,
     counts = np.array([len(d) for d in docs])
     starts = starts_of(counts)[:-1]
     owner = np.repeat(np.arange(len(docs)), counts)
-    x = model.emb[feats[words]].sum(axis=1)
-    responses = x @ model.filters
+    met = np.zeros(len(feats), dtype=bool)
+    met[words] = True
+    nth = np.cumsum(met) - 1  # each word of the batch is looked up once
+    x = model.emb[feats[met]].sum(axis=1)
+    responses = (x @ model.filters)[nth[words]]
     tops, places = [], []
     for k in WIDTHS:
         c = convolved(responses, k, words == 0)
@@ -276,7 +279,7 @@ def _step(model: Model, state: dict, docs: list[np.ndarray], feats: np.ndarray,
         g = d_act[:, i * FILTERS : (i + 1) * FILTERS] * (words[places[i]] != 0)
         for o in range(k):
             at = np.minimum(places[i] + o, len(words) - 1)
-            d_filters[:, COLUMNS[k, o]] += np.einsum("bfd,bf->df", x[at], g)
+            d_filters[:, COLUMNS[k, o]] += np.einsum("bfd,bf->df", x[nth[words[at]]], g)
             hit.append(words[at].ravel())
             grads.append((g[:, :, None] * model.filters[:, COLUMNS[k, o]].T[None]).reshape(-1, DIM))
     rows = feats[np.concatenate(hit)]
